@@ -1,7 +1,8 @@
 """License detection by ordered signature rules, in DataFrame functions only.
 
 ``RULES`` holds hundreds of regular expressions, written out below as licence names times the forms in which texts cite them.
-Each rule has a keyword; a text's keywords are found in one pass and only the rules whose keyword occurs are run. Detections are resolved by
+Each rule has a keyword for its name and most have one for their form; a text's keywords are found in one pass and only the rules whose keywords
+all occur are run. Detections are resolved by
 priority and containment: one that lies inside another goes, and of two over the same span the one of the earlier rule
 stays. The four base phrases of ``BASE`` are looked for by words, whatever stands between those, and their labels always stay.
 
@@ -13,6 +14,7 @@ and score 0; a null doc_id and repeated rows come out as they came in; columns o
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -71,14 +73,14 @@ NAMES = (
     ("proprietary", "proprietary", ("proprietary and confidential", "proprietary license")),
 )
 
-#: (form of citation around a name, score), most specific first.
+#: (form of citation around a name, keyword that it needs besides the name's, score), most specific first.
 FORMS = (
-    ("SPDX-License-Identifier: ?{}", 1.0),
-    ("(?:is |are )?licensed under (?:the )?(?:terms of (?:the )?)?{}", 0.95),
-    ("(?:re)?distributed under (?:the )?(?:terms of (?:the )?)?{}", 0.95),
-    ("(?:released|available|published|provided) under (?:the )?(?:terms of (?:the )?)?{}", 0.9),
-    ("(?:under|subject to) (?:the )?(?:terms|conditions) of (?:the )?{}", 0.85),
-    ("{}", 0.6),
+    ("SPDX-License-Identifier: ?{}", "spdx", 1.0),
+    ("(?:is |are )?licensed under (?:the )?(?:terms of (?:the )?)?{}", "licensed", 0.95),
+    ("(?:re)?distributed under (?:the )?(?:terms of (?:the )?)?{}", "distributed", 0.95),
+    ("(?:released|available|published|provided) under (?:the )?(?:terms of (?:the )?)?{}", "under", 0.9),
+    ("(?:under|subject to) (?:the )?(?:terms|conditions) of (?:the )?{}", "of", 0.85),
+    ("{}", "", 0.6),
 )
 
 
@@ -86,6 +88,7 @@ FORMS = (
 class Rule:
     label: str
     keyword: str
+    form_keyword: str
     pattern: str
     score: float
 
@@ -96,31 +99,44 @@ def _spaced(pattern: str) -> str:
 
 
 RULES = tuple(
-    Rule(label, keyword, "(?i)(?<![A-Za-z0-9])" + _spaced(form.format(f"(?:{name})")) + "(?![A-Za-z0-9])", score)
-    for form, score in FORMS
+    Rule(label, keyword, form_keyword, "(?i)(?<![A-Za-z0-9])" + _spaced(form.format(f"(?:{name})")) + "(?![A-Za-z0-9])", score)
+    for form, form_keyword, score in FORMS
     for label, keyword, names in NAMES
     for name in names
 )
 
-_KEYWORDS = sorted({r.keyword for r in RULES})
-_ANY_KEYWORD = "(?i)(?<![A-Za-z0-9])(?:" + "|".join(_KEYWORDS) + ")(?![A-Za-z])"
-_RULE = "array<struct<rank:int,label:string,keyword:string,pattern:string,score:double>>"
+def _any_of(words: set[str]) -> str:
+    return "(?i)(?<![A-Za-z0-9])(?:" + "|".join(sorted(words)) + ")(?![A-Za-z])"
+
+
+_NAMED = _any_of({r.keyword for r in RULES})
+_KEYWORDS = _any_of({r.keyword for r in RULES} | {r.form_keyword for r in RULES} - {""} | {"redistributed"})
+_RULE = "array<struct<rank:int,label:string,keyword:string,form_keyword:string,pattern:string,score:double>>"
 _SPAN = "array<struct<start:int,end:int,rank:int,label:string,score:double>>"
 _BASE_PATTERN = "(?i)(?<!" + WORD + ")(?:" + "|".join((GAP + "++").join(p.split(" ")) for p, _ in BASE) + ")(?!" + WORD + ")"
 
 
 def _rules() -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.score).alias("score")) for i, r in enumerate(RULES)]).cast(_RULE)
+    """All rules as one constant: parsed once by the optimizer, where hundreds of literals would be compiled into every plan."""
+    rows = [{"rank": i, "label": r.label, "keyword": r.keyword, "form_keyword": r.form_keyword, "pattern": r.pattern, "score": r.score} for i, r in enumerate(RULES)]
+    return F.from_json(F.lit(json.dumps(rows)), _RULE)
 
 
 def words_in(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD + "++")).cast("long")
 
 
+def _ascii_lower(word: Column) -> Column:
+    return F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, which is evaluated once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _rule_spans(text: Column, rule: Column) -> Column:
     """array of spans of one rule's matches, in code points."""
-    found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-    between = F.call_function("split", text, rule["pattern"], F.lit(-1))
     acc = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
@@ -129,14 +145,18 @@ def _rule_spans(text: Column, rule: Column) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["score"].alias("score"))
         return F.struct(end.alias("at"), F.array_append(a["out"], span).alias("out"))
 
-    zipped = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("before"), found.alias("match"))
-    return F.when(F.size(found) > 0, F.aggregate(zipped, acc, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
+    def located(found: Column) -> Column:
+        between = F.slice(F.call_function("split", text, rule["pattern"], F.lit(-1)), F.lit(1), F.size(found))
+        spans = F.aggregate(F.arrays_zip(between.alias("before"), found.alias("match")), acc, step, lambda a: a["out"])
+        return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_SPAN))
+
+    return _let(F.regexp_extract_all(text, rule["pattern"], F.lit(0)), located)
 
 
 def detections(text: Column) -> Column:
     """array<struct<start, end, rank, label, score>> that stay, by start. Runs the rules whose keyword the text has."""
-    present = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_ANY_KEYWORD), F.lit(0)), F.lower))
-    gated = F.filter(_rules(), lambda r: F.array_contains(present, r["keyword"]))
+    present = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_KEYWORDS), F.lit(0)), lambda w: F.replace(_ascii_lower(w), F.lit("redistributed"), F.lit("distributed"))))
+    gated = _let(present, lambda words: F.filter(_rules(), lambda r: F.array_contains(words, r["keyword"]) & ((r["form_keyword"] == "") | F.array_contains(words, r["form_keyword"]))))
     found = F.flatten(F.transform(gated, lambda r: _rule_spans(text, r)))
     # by start, longest first, earlier rule first: a span then lies inside one before it exactly if it ends no later than the furthest end so far
     keyed = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["rank"].alias("rank"), s["label"].alias("label"), s["score"].alias("score"))))
@@ -147,7 +167,7 @@ def detections(text: Column) -> Column:
         kept = F.struct(s["start"].alias("start"), end.alias("end"), s["rank"].alias("rank"), s["label"].alias("label"), s["score"].alias("score"))
         return F.when(end > a["reach"], F.struct(end.alias("reach"), F.array_append(a["out"], kept).alias("out"))).otherwise(a)
 
-    return F.when(text.rlike(_ANY_KEYWORD), F.aggregate(keyed, acc, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(_NAMED), F.aggregate(keyed, acc, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -157,7 +177,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("t"), words_in(text).alias("n_words"), base.alias("base"), detections(text).alias("detections"))
     parts = F.split("t", _BASE_PATTERN, -1)
     any_base = F.size("base") > 0
-    plain = F.transform("base", lambda m: F.lower(F.regexp_replace(m, GAP + "+", " ")))
+    plain = F.transform("base", lambda m: _ascii_lower(F.regexp_replace(m, GAP + "+", " ")))
     labels = F.array_sort(F.array_distinct(F.transform(plain, lambda p: F.coalesce(*[F.when(p == phrase, label) for phrase, label in BASE]))))
     return rows.select(
         "doc_id",

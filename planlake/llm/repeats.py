@@ -35,7 +35,7 @@ WINDOW = 400
 GRAM = 40
 DIGIT = 100
 #: Classes of an anchor that are compared in one task.
-CROWD = 2000
+CROWD = 8192
 #: Bytes scanned at a time, and classes compared at a time.
 CHUNK, SLICE = 1 << 18, 2000
 
