@@ -4,8 +4,8 @@ Integers go through ORC's run-length encoding, rows are indexed by stride, and a
 takes stripes in parallel and skips those whose bounds or filter rule a document out.
 
 Every text is encoded with the tokenizers library. A byte-level BPE vocabulary splits a text before every blank that follows a
-non-blank, so such pieces are encoded on their own and remembered, and a text's ids are its pieces' ids in order. A text with white space beside
-a blank is encoded in one call instead.
+non-blank, and between a word and the full stop or comma after it. So pieces are encoded on their own and remembered, and a text's ids are its
+pieces' ids in order. A text with white space beside a blank is encoded in one call instead.
 
 Edge cases: null text is empty and holds the end id only; rows without doc_id come first; rows that repeat a doc_id stand next to each
 other, shortest first, each with its own start; an empty table gives empty files; columns other than doc_id and text are not written.
@@ -13,8 +13,10 @@ other, shortest first, each with its own start; an empty table gives empty files
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,56 +44,64 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable ones as they are, the others, in order, from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
-    """A tokenizer that remembers its pieces' ids, as little-endian 32-bit integers."""
+    """A byte-level BPE tokenizer that remembers the ids of pieces between blanks, as little-endian 32-bit integers.
+
+    Pieces are remembered in two generations: when the younger is full the older goes, and what is met again is young again.
+    """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remembered, self.known = Tokenizer.from_file(path), remembered, {}
-
-    def _encoded(self, pieces: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            yield np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """ids of the unknown pieces. A piece of letters before one full stop or comma is encoded without that, as the vocabulary splits there."""
-        stems, whole = {}, set()
-        for p in pieces:
-            if p[-1] in ".," and p[1:-1].isalpha() and p[0] == " ":
-                stems[p] = p[:-1]
-                whole.add(p[:-1])
-                whole.add(p[-1])
-            else:
-                whole.add(p)
-        known = self.known
-        asked = [p for p in whole if p not in known]
-        got = dict(zip(asked, self._encoded(asked), strict=True)) if asked else {}
-        for p, stem in stems.items():
-            got[p] = (known.get(stem) or got[stem]) + (known.get(p[-1]) or got[p[-1]])
-        return got
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        known, split, unknown, once = self.known, [], set(), []
-        if len(known) > self.remembered:
-            known.clear()
-        for t in texts:
-            if not t:
-                pieces = []
-            elif _AWKWARD.search(t):
-                pieces = [t]
-                once.append(t)
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        form = json.loads(self.tokenizer.to_str())
+        kind = form["pre_tokenizer"] or {}
+        if form["normalizer"] or form["post_processor"] or kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex", True):
+            raise ValueError(f"{path} is no plain byte-level vocabulary")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.stop, self.comma, self.blank = self._whole("."), self._whole(","), self.letters[32]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _after_blank(self, piece: str) -> bytes:
+        """The ids of a blank and piece, which the young generation then holds."""
+        ids = self.old.get(piece)
+        if ids is None:
+            if piece.isalpha():  # one word to the vocabulary: straight to the library's merges
+                spelt = self.blank + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))
+                ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            elif piece[-1] == "." and piece[:-1].isalpha():
+                ids = (self.young.get(piece[:-1]) or self._after_blank(piece[:-1])) + self.stop
+            elif piece[-1] == "," and piece[:-1].isalpha():
+                ids = (self.young.get(piece[:-1]) or self._after_blank(piece[:-1])) + self.comma
             else:
-                head, *rest = t.split(" ")
-                pieces = [head, *map(" ".__add__, rest)]
-            split.append(pieces)
-            unknown.update(p for p in pieces if p not in known)
-        known.update(self._learn(unknown))
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        for t in once:
-            known.pop(t, None)
-        return out
+                ids = self._whole(" " + piece)
+        self.young[piece] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """The ids of text."""
+        if _AWKWARD.search(text):
+            return self._whole(text)
+        head, *pieces = text.split(" ")
+        if len(self.young) > self.remembered:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, pieces))
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self._after_blank(pieces[at])
+        return (self._whole(head) if head else b"") + b"".join(found)
 
 
 @lru_cache(maxsize=2)
@@ -107,7 +117,7 @@ def _encode(path: str, end_id: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                rows = [b + end for b in encoder.encode(batch.column("text").to_pylist())]
+                rows = [encoder.encode(t) + end for t in batch.column("text").to_pylist()]
                 ids = np.frombuffer(b"".join(rows), "<i4")
                 n = np.fromiter((len(r) // 4 for r in rows), np.int32, len(rows))
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
