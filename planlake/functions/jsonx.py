@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from planlake.functions.text import without_fences
 
@@ -74,7 +75,7 @@ def _balanced(text: str | None) -> str | None:
     return found
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def last_object(texts: pd.Series) -> pd.Series:
     """The last balanced {...} of each text: a scan with state, which no regular expression expresses."""
     return texts.map(_balanced)
@@ -101,13 +102,13 @@ def _payload(text: str | None) -> str:
     return text or ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def payload_text(texts: pd.Series) -> pd.Series:
     """A preference payload's text: JSON, else a literal list, else as it stands; what assistants say goes first."""
     return texts.map(_payload)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def python_json(texts: pd.Series) -> pd.Series:
     """JSON text with the spacing of Python's writer, non-ASCII kept."""
     return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), ensure_ascii=False))
