@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from planlake import schemas
 from planlake.functions.nested import all_in, arrayed, let, multiset_jaccard, ratio, repeats, same_set, set_jaccard
 from planlake.functions.normalize import filled
-from planlake.functions.text import matches, pedagogy_flags, skeleton_flags, strip
+from planlake.functions.text import PEDAGOGY, matches, pedagogy_flags, skeleton_flags, strip
 
 STRINGS = "array<string>"
 
@@ -247,9 +247,11 @@ def pedagogy(rows: DataFrame) -> DataFrame:
     names = F.array_join(F.flatten(F.transform("subtasks", lambda s: F.array(F.coalesce(s["name"], F.lit("")), F.coalesce(s["subtask_objective"], F.lit(""))))), "\n")
     rows = rows.withColumns({"body": body, "outline_text": names})
     flags = {f"has_{k}": v for k, v in pedagogy_flags(F.col("body")).items()}
-    from planlake.functions.text import PEDAGOGY
 
-    hits = {f"n_{k}": F.size(F.filter("steps", lambda s, p=p: matches(F.coalesce(s["instruction"], F.lit("")), p))) for k, p in PEDAGOGY}
+    def hits_of(pattern: str) -> Column:
+        return F.size(F.filter("steps", lambda s: matches(F.coalesce(s["instruction"], F.lit("")), pattern)))
+
+    hits = {f"n_{k}": hits_of(p) for k, p in PEDAGOGY}
     acts = {f"act_{k}": v for k, v in skeleton_flags(F.col("outline_text")).items()}
     rows = rows.withColumns(flags | hits | acts)
     return rows.withColumn("diversity", sum((F.col(k).cast("int") for k in list(flags)[1:]), F.col(next(iter(flags))).cast("int")))

@@ -21,9 +21,11 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad lines as text). A byte-order mark is dropped by the reader."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt_record IS NULL").drop("_corrupt_record"), rows.where("_corrupt_record IS NOT NULL").select(F.col("_corrupt_record").alias("line"))
+    """(good rows, bad lines as text). Blank lines and a byte-order mark are nothing."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line")).where("trim(line) <> ''")
+    parsed = lines.select("line", F.from_json("line", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"}).alias("r"))
+    good = parsed.where("r._corrupt_record IS NULL").select("r.*").drop("_corrupt_record")
+    return good, parsed.where("r._corrupt_record IS NOT NULL").select("line")
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +70,7 @@ def split_index(spark: SparkSession, path: str, strict: bool = True) -> DataFram
     missing = [s for s in ("train", "dev", "test") if f"{s}_qids" not in wide.columns]
     if missing and strict:
         raise ValueError(f"split index without {', '.join(missing)}")
-    parts = [wide.select(F.explode(f"{s}_qids").cast("string").alias("question_id"), F.lit(s).alias("split")) for s in ("train", "dev", "test") if s not in missing]
+    parts = [wide.select(F.explode(F.col(f"{s}_qids").cast("array<string>")).alias("question_id"), F.lit(s).alias("split")) for s in ("train", "dev", "test") if s not in missing]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
