@@ -32,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_preference_format": preference.OP7_SQL}
+    return {"op7_preference_format": preference.OP7_SQL, "op8_fair_queueing": mixing.OP8_SQL}

@@ -169,3 +169,19 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     times = F.when(F.col("__rows") == 1, F.col("__taken").cast("int")).otherwise(times)
     rows = joined.withColumn("__times", times).where("__times > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+
+
+OP8_SQL = f"""
+WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+b AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, source_size::DOUBLE * {MAX_REPEATS} AS cap FROM b),
+l AS (SELECT *, row_number() OVER o AS place, (sum(source_size) OVER () * {SHARE}::DOUBLE - coalesce(sum(cap) OVER p, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0)) AS level FROM w
+  WINDOW o AS (ORDER BY cap / weight, source NULLS LAST), p AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+water AS (SELECT arg_min(level, place) FILTER (level * weight <= cap) AS water FROM l),
+t AS (SELECT source, source_size, least(cap, coalesce(water * weight, cap)) AS target FROM l, water),
+q AS (SELECT s.*, source_size, target, sum(size) OVER (PARTITION BY s.source ORDER BY key, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, (upto + r * source_size)::DOUBLE / target AS finish FROM q, (SELECT unnest(range({MAX_REPEATS})) AS r) WHERE size > 0 AND target > 0),
+d AS (SELECT doc_id, key, size, sum(size) OVER (ORDER BY finish, source NULLS LAST, key, size, r ROWS UNBOUNDED PRECEDING) <= (SELECT sum(target) FROM t) AS paid FROM c),
+n AS (SELECT doc_id, count(*) FILTER (paid)::INTEGER AS n_copies FROM d GROUP BY doc_id)
+SELECT q.doc_id, size, source_size, target, size * coalesce(n_copies, 0) AS taken, coalesce(n_copies, 0) AS n_copies FROM q LEFT JOIN n USING (doc_id)
+"""
