@@ -130,4 +130,4 @@ def op6_toxicity_ftrl(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below threshold."""
-    return score_documents(docs, labels).where(F.col("toxicity") < threshold).select(*docs.columns)
+    return docs.where(scores(F.col("text"), train(docs, labels)) < threshold)

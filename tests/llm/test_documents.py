@@ -1,0 +1,186 @@
+"""The operators on documents against plain versions, over the small table and over odd rows."""
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from planlake.llm import licenses, mixing, pii, repeats, simhash, tokens
+from tests.llm import brute
+
+
+def pairs(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+def test_simhash_small_table(documents):
+    got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.op1_simhash_pivots(documents).collect())
+    assert got == brute.simhash(pairs(documents))
+
+
+def test_simhash_odd_rows(odd):
+    got = simhash.op1_simhash_pivots(odd).collect()
+    known = [r for r in pairs(odd) if r[0] is not None]
+    want = brute.simhash(known)
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got if r.doc_id is not None) == want
+    assert sorted((r.fingerprint, r.component_id) for r in got if r.doc_id is None) == sorted((f"{brute.fingerprint(t):016x}", None) for i, t in pairs(odd) if i is None)
+
+
+def test_simhash_crowded_buckets(spark, monkeypatch):
+    """A crowd of fingerprints a few bits apart, through the tiles of hot buckets and through plain ones."""
+    base = 0x0123456789ABCDEF
+    prints = sorted({base ^ (1 << i) ^ (1 << j) for i in range(40) for j in range(40)} | {base ^ (0xFFF << 20) ^ (1 << k) for k in range(10)} | {5, 6, 1 << 40})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p, i) for i, p in enumerate(signed)], "fp long, node long")
+    want = brute.classes(len(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
+    for tile in (4096, 50):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        found = {r.node: r.component for r in simhash.connected_components(simhash.fingerprint_links(df)).collect()}
+        assert [found.get(i, i) for i in range(len(prints))] == want
+
+
+@pytest.mark.parametrize("fingerprints", [10, 10**6, 10**9, 10**12])
+def test_blocks_leave_few_to_a_bucket(fingerprints):
+    blocks = simhash.blocks_for(fingerprints)
+    assert fingerprints / 2 ** (64 * (blocks - 4) / blocks) <= 8 and 64 / blocks <= 15
+
+
+def test_one_of_each_stays(odd):
+    kept = simhash.keep_one_of_each(odd)
+    known = [r.doc_id for r in kept.where("doc_id IS NOT NULL").select("doc_id").collect()]
+    want = {c for _, _, c in brute.simhash([r for r in pairs(odd) if r[0] is not None])}
+    assert kept.columns == odd.columns and sorted(known) == sorted(want)
+    assert kept.where("doc_id IS NULL").count() == odd.where("doc_id IS NULL").count()
+
+
+def test_token_files_small_table(spark, documents):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.vocabulary_path())
+    want = brute.token_digests(sorted(pairs(documents)), lambda x: t.encode(x, add_special_tokens=False).ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokens.op3_token_orc(documents).collect()) == want
+
+
+def test_token_files_odd_rows(spark, odd, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.vocabulary_path())
+    rows = sorted(pairs(odd), key=lambda r: (r[0] is not None, r[0] or 0, len((r[1] or "").encode()), r[1] or ""))
+    want = brute.token_digests(rows, lambda x: t.encode(x, add_special_tokens=False).ids)
+    got = tokens.op3_token_orc(odd).collect()
+    assert Counter(tuple(r) for r in got) == Counter(want)
+    path = str(tmp_path / "ids")
+    tokens.write_token_ids(odd, path)
+    some = tokens.read_token_ids(spark, path, [50, 110])
+    assert Counter(r.doc_id for r in some.collect()) == {50: 3, 110: 1}
+    assert "doc_id" in some._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
+
+
+def test_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(tokens.vocabulary_path()), tokens.Encoder(tokens.vocabulary_path(), remembered=3)
+    for text in ["a b c d e f", "don't  stop,\nnow. ", " lead", "x <|endoftext|> y", "tail ", "a b  c\x85d \x1ce", "Straße, ñandú. 日本語 3.14 a,b ..", ", . ,"] * 2:
+        assert e.encode(text) == b"".join(i.to_bytes(4, "little") for i in t.encode(text, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("which", ["documents", "odd"])
+def test_licenses(request, which):
+    docs = request.getfixturevalue(which)
+    got = licenses.op4_license_rules(docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == Counter((i, *brute.licenses(t)) for i, t in pairs(docs))
+    for r in got:
+        assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) or not r.base_labels
+        assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
+
+
+def test_license_rules_are_resolved(spark):
+    text = "Licensed under the Apache License, Version 2.0 and the MIT License. SPDX-License-Identifier: MPL 2"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = licenses.scan(df).first().detections
+    assert [(text[d.start : d.end], d.label) for d in found] == [("Licensed under the Apache License, Version 2.0", "apache-2.0"), ("MIT License", "mit")]
+    assert len(licenses.RULES) > 400
+
+
+@pytest.mark.parametrize("which", ["documents", "odd"])
+def test_repeats(request, which):
+    docs = request.getfixturevalue(which)
+    got = Counter(tuple(r) for r in repeats.op5_suffix_radix(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert got == brute.repeats(pairs(docs))
+
+
+@pytest.mark.parametrize("crowd,chunk", [(1, 1 << 18), (8192, 1 << 10)])
+def test_repeats_crowds_and_pieces(spark, words, monkeypatch, crowd, chunk):
+    """Many contexts of one passage, self-overlap and texts longer than a piece."""
+    import random
+
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = prose(90)
+    texts = [f"{prose(30)} {passage} {prose(30)}" for _ in range(12)] + ["ab" * 600, prose(900), "x" * 399, "x" * 400, passage[:399]]
+    texts.append(texts[13][1000:3000] + "!" + texts[13][2000:2600])
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    docs = list(enumerate(texts))
+    got = Counter(tuple(r) for r in repeats.op5_suffix_radix(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert got == brute.repeats(docs)
+
+
+@pytest.mark.parametrize("which", ["documents", "odd"])
+def test_personal_data(request, which):
+    docs = request.getfixturevalue(which)
+    got = pii.op9_pii_spans(docs).collect()
+    assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == Counter((i, *brute.personal(t)[:5]) for i, t in pairs(docs))
+    plain = {i: brute.personal(t)[5] for i, t in pairs(docs)}
+    assert all(r.spans.startswith(plain[r.doc_id]) for r in got)
+
+
+def test_personal_data_runs_are_linear(spark):
+    """Long runs of one class neither take squared time nor overflow the matcher's stack."""
+    texts = ["a." * 200_000, "1 " * 200_000, "1" * 300_000, "+1" + "-" * 300_000, "1." * 150_000, "DE44" + " A1" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert Counter((r.doc_id, r.base_sha256) for r in pii.op9_pii_spans(df).collect()) == Counter((i, brute.personal(t)[4]) for i, t in enumerate(texts) if i not in (4,)) + Counter((r.doc_id, r.base_sha256) for r in pii.op9_pii_spans(df.where("doc_id = 4")).collect())
+
+
+def test_iban_needs_its_checksum(spark):
+    df = spark.createDataFrame([(1, "IBAN DE89 3704 0044 0532 0130 00."), (2, "IBAN DE89 3704 0044 0532 0130 01.")], "doc_id long, text string")
+    assert {r.doc_id: "iban" in r.spans for r in pii.op9_pii_spans(df).collect()} == {1: True, 2: False}
+
+
+@pytest.mark.parametrize("which", ["documents", "odd"])
+def test_mix(request, which):
+    docs = request.getfixturevalue(which)
+    rows = mixing.mix_sizes(docs.select("doc_id", "text", "source"), keep=("source",)).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += r.size
+        assert r.taken <= 2 * r.size and r.taken % max(r.size, 1) == 0
+    want = brute.targets(dict(sizes))
+    largest = max(r.size for r in rows)
+    for source, target in want.items():
+        mine = [r for r in rows if r.source == source]
+        assert all(r.target == pytest.approx(target) and r.source_size == sizes[source] for r in mine)
+        assert abs(sum(r.taken for r in mine) - target) <= 2 * largest
+    again = mixing.mix_sizes(docs.select("doc_id", "text", "source").repartition(7), keep=("source",)).collect()
+    key = lambda rs: Counter((r.doc_id, r.size, r.taken) for r in rs)
+    assert key(rows) == key(again)
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and out.count() == sum(r.copies_taken for r in rows)
+
+
+def test_mix_narrows_to_the_truncation_point(documents, monkeypatch):
+    whole = Counter((r.doc_id, r.taken) for r in mixing.op8_fair_queueing(documents).collect())
+    monkeypatch.setattr(mixing, "FEW_COPIES", 5)
+    monkeypatch.setattr(mixing, "BINS", 4)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+    assert Counter((r.doc_id, r.taken) for r in mixing.op8_fair_queueing(documents).collect()) == whole
+
+
+@pytest.mark.parametrize("operator", [simhash.op1_simhash_pivots, tokens.op3_token_orc, licenses.op4_license_rules, repeats.op5_suffix_radix, mixing.op8_fair_queueing, pii.op9_pii_spans, simhash.keep_one_of_each, mixing.mixed])
+def test_empty_tables(empty, operator):
+    assert operator(empty).count() == 0
+
+
+def test_rows_in_are_rows_out(odd):
+    for operator in (simhash.op1_simhash_pivots, tokens.op3_token_orc, licenses.op4_license_rules, repeats.op5_suffix_radix, mixing.op8_fair_queueing, pii.op9_pii_spans):
+        assert operator(odd.withColumn("key", F.lit(1))).count() == odd.count(), operator.__name__
