@@ -114,6 +114,15 @@ def _encoder(books: np.ndarray):
     return run
 
 
+def _best(score: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n greatest scores; of equal ones at the edge the first."""
+    if len(score) <= n:
+        return np.arange(len(score))
+    edge = np.partition(score, len(score) - n)[len(score) - n]
+    above = np.flatnonzero(score > edge)
+    return np.concatenate([above, np.flatnonzero(score == edge)[: n - len(above)]])
+
+
 def _scan(books: np.ndarray, rerank: int):
     """Rows (block, query_block) with lists of codes and queries: each query's best candidates in the block by lookup tables."""
 
@@ -121,8 +130,10 @@ def _scan(books: np.ndarray, rerank: int):
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.array(row["vec_ids"], np.int64)
-                codes = np.frombuffer(b"".join(row["codes"]), np.uint8).reshape(len(ids), -1)
-                norms = np.array(row["norms"], np.float32)
+                by_id = np.argsort(ids, kind="stable")
+                ids = ids[by_id]
+                codes = np.frombuffer(b"".join(row["codes"]), np.uint8).reshape(len(ids), -1)[by_id]
+                norms = np.array(row["norms"], np.float32)[by_id]
                 queries, vectors = np.array(row["query_ids"], np.int64), _units(np.array(row["query_vs"], np.float64))
                 tables = np.einsum("qd,mkd->qmk", vectors, books)
                 found = []
@@ -131,7 +142,7 @@ def _scan(books: np.ndarray, rerank: int):
                     for j in range(1, len(table)):
                         score = score + table[j][codes[:, j]]
                     score = np.where(ids == q, -np.inf, score / np.maximum(norms, 1e-9))
-                    best = np.argpartition(-score, rerank - 1)[:rerank] if len(score) > rerank else np.arange(len(score))
+                    best = _best(score, rerank)
                     best = best[ids[best] != q]
                     found.append((np.full(len(best), q), ids[best], score[best]))
                 q, v, s = (np.concatenate(c) for c in zip(*found, strict=True))

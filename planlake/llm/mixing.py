@@ -130,7 +130,7 @@ def truncation(queue: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame |
 
 def mix_sizes(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, copies_taken, taken, first_finish, keep...) for each row of docs (doc_id, source, text)."""
-    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep), "mix-sizes")
+    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[k for k in keep if k != "source"]), "mix-sizes")
     targets = source_targets(sizes, weights, share, max_repeats)
     queue = materialize(offered(sizes, targets, seed), "mix-queue")
     edge = truncation(queue, max_repeats)

@@ -60,6 +60,14 @@ def test_neighbours_over_blocks(spark, monkeypatch):
     assert sum(len({i for i, _ in want[q]} & got[q]) for q in want) >= 0.95 * 5 * len(want)
 
 
+def test_copies_of_a_vector_come_by_id(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(700)] + [(1000 + i, [1.0, float(i), -1.0]) for i in range(50)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.op2_additive_quantisation(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got[0] == [1, 2, 3, 4, 5] and got[50] == got[650] == [0, 1, 2, 3, 4]
+
+
 def test_beam_search_beats_greedy_encoding():
     rng = np.random.default_rng(2)
     x = ann._units(rng.normal(size=(800, 16)))
