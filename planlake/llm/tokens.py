@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planlake.llm.common import fresh_path
+from planlake.llm.common import fresh_path, materialize
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -36,6 +36,14 @@ REMEMBERED = 400_000
 SCHEMA = "doc_id bigint, n_tokens int, ids array<int>"
 
 _AWKWARD = re.compile(r"^ | (?:\s|$)|\s ")
+_RARE_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def _awkward(text: str) -> bool:
+    """Whether white space stands beside a blank or a blank at an end: by plain searches where the text is ASCII."""
+    if not text.isascii() or any(c in text for c in _RARE_SPACES):
+        return _AWKWARD.search(text) is not None
+    return text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -91,7 +99,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of text."""
-        if _AWKWARD.search(text):
+        if _awkward(text):
             return self._whole(text)
         head, *pieces = text.split(" ")
         if len(self.young) > self.remembered:
@@ -151,7 +159,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("ids")
         values, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
-        sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+        sums = [zlib.crc32(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         n = pa.array(np.diff(at).astype(np.int64))
         names = ["doc_id", "n_tokens", "ids_crc32", "file", "block", "row"]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(sums, pa.int64()), batch.column("file"), batch.column("block"), batch.column("row")], names)
@@ -164,6 +172,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = read_token_ids(spark, path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     known = rows.mapInArrow(_digest, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, file string, block bigint, row bigint")
+    known = materialize(known, "token-digests")  # else the ids would be read once for the totals and once for the places
     totals = known.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("file").alias("of_file"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
