@@ -249,6 +249,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = materialize(docs.mapInArrow(_scan, _RECORDS), "anchors")
     keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("a"), F.max("cls").alias("b"))
     shared = keys.where("n > 1").select(F.col("key").alias("of_key"), (F.col("a") == F.col("b")).alias("alike"))
+    shared = materialize(shared, "shared-keys")  # an aggregate right below the join would keep a hot anchor's rows in one task
     members = found.join(shared, F.col("key") == F.col("of_key")).drop("of_key")
     members = materialize(members, "shared-anchors")
     lo, length = F.shiftright("pos", 18), F.col("pos").bitwiseAND(F.lit(511))
