@@ -16,6 +16,10 @@ the block itself does. Hence
 Both tests only ever drop pairs that are not linked, so no link is lost. The number of blocks follows the
 number of fingerprints, so that buckets of unlike fingerprints keep a handful of members at any size.
 
+The corpus pipeline's near copies have a contract of their own: five-word shingles and a Jaccard similarity of 0.8 or more, at which
+fingerprints differ in a dozen bits and more, too many for buckets of equal blocks. ``near_copies`` finds its candidates by bands of
+least hashes instead and verifies them by their exact shingle sets.
+
 Edge cases: text that is null, empty or without words has fingerprint zero and is linked like any other; fewer words
 than a shingle make one shingle of the whole sequence; a row without doc_id gets its fingerprint, component_id null,
 and takes no part in links; repeated rows come out as often as they came in; other columns are ignored.
@@ -31,7 +35,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from planlake.llm.common import materialize
 from planlake.llm.components import connected_components
@@ -43,6 +47,15 @@ REFERENCES = 8
 #: Buckets above this size are compared tile by tile, in tasks of their own.
 TILE = 4096
 
+#: The corpus pipeline's near copies: words in a shingle, and the Jaccard similarity of shingle sets from which texts are copies.
+COPY_WORDS = 5
+COPY_SIMILARITY = 0.8
+#: Texts of similarity s share none of the bands with probability (1 - s ** BAND_ROWS) ** BANDS: 1.3e-7 at 0.8.
+BANDS, BAND_ROWS = 40, 5
+#: Candidates of more characters than this are compared tile by tile.
+TILE_CHARS = 8_000_000
+
+_MULTIPLIERS = np.random.default_rng(HASH_SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE_AT = 256 * np.arange(8)
 
@@ -217,9 +230,109 @@ def op1_simhash_pivots(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _signature(hashes: np.ndarray) -> np.ndarray:
+    """The least product of the shingles' hashes with each multiplier."""
+    out = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(hashes), 256):
+        out = np.minimum(out, (_MULTIPLIERS[:, None] * hashes[None, lo : lo + 256]).min(axis=1))
+    return out
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def band_keys(texts: pd.Series) -> pd.Series:
+    """One key for each band of the signature; texts without words share all of theirs."""
+    rows = np.array([_signature(shingle_hashes(t, COPY_WORDS)) for t in texts], np.uint64).reshape(len(texts), BANDS, BAND_ROWS)
+    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None], len(texts), axis=0)
+    for i in range(BAND_ROWS):
+        keys = (keys ^ rows[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(31)
+    return pd.Series(list(keys.view(np.int64)))
+
+
+def similar(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """(root, member) over sets of hashes by breadth-first search along the pairs whose Jaccard similarity is COPY_SIMILARITY or more."""
+    sizes = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    order = np.argsort(ids, kind="stable")
+    holders = np.repeat(np.arange(len(sets)), sizes)[order]  # of each hash in turn
+    count = np.bincount(ids, minlength=1)
+    first = np.cumsum(count) - count
+
+    def near(k: int) -> np.ndarray:
+        mine = ids[ends[k] - sizes[k] : ends[k]]
+        n = count[mine]
+        at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(holders[at], minlength=len(sets))
+        # two empty sets are alike
+        return shared >= COPY_SIMILARITY * (sizes + sizes[k] - shared) - 1e-9 if sizes[k] else sizes == 0
+
+    left = np.ones(len(sets), bool)
+    for root in range(len(sets)):
+        if not left[root]:
+            continue
+        left[root], frontier = False, [root]
+        while frontier and left.any():
+            new = np.flatnonzero(near(frontier.pop()) & left)
+            left[new] = False
+            frontier.extend(new.tolist())
+            yield from ((root, k) for k in new.tolist())
+
+
+def _similar_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas function over rows (bucket, node, text) sorted by bucket; holds one bucket at a time."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("node")
+        nodes = rows["node"].to_numpy()
+        pairs = np.array(list(similar([np.unique(shingle_hashes(t, COPY_WORDS)) for t in rows["text"]])), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": nodes[pairs[:, 0]], "b": nodes[pairs[:, 1]]})
+
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        for bucket, rows in batch.groupby("bucket", sort=False):
+            if held and held[-1]["bucket"].iloc[0] != bucket:
+                yield links(pd.concat(held))
+                held = []
+            held.append(rows)
+    if held:
+        yield links(pd.concat(held))
+
+
+def text_tag() -> Column:
+    """MD5 of the text, as bytes; null is empty."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(tag, component) for each distinct text of docs: texts joined by similarities of COPY_SIMILARITY or more share a component.
+
+    Texts that share a band are candidates. What candidates connect meets in one task, or tile by tile where it is
+    more than TILE_CHARS characters, and there all pairs are held against each other by their exact shingle sets.
+    """
+    keyed = docs.select(text_tag().alias("tag"), F.length(F.coalesce("text", F.lit(""))).alias("chars"), band_keys("text").alias("bands"))
+    distinct = keyed.groupBy("tag").agg(F.min("chars").alias("chars"), F.min("bands").alias("bands"))
+    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
+    rows = distinct.select("node", F.explode("bands").alias("band"))
+    least = rows.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
+    groups = connected_components(rows.join(least, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    groups = groups.union(groups.select(F.col("component").alias("node"), "component").distinct())
+    members = materialize(distinct.select("tag", "chars", "node").join(groups, "node"), "candidate-groups")
+    sizes = members.groupBy("component").agg(F.ceil(F.sum("chars") / TILE_CHARS).cast("int").alias("tiles"))
+    tiles = F.greatest(F.col("tiles"), F.lit(1))
+    dealt = members.join(sizes, "component").select("tag", "node", "component", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("own"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = dealt.select("tag", "node", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
+    texts = docs.select(text_tag().alias("tag"), F.coalesce("text", F.lit("")).alias("text")).join(members.select("tag"), "tag", "left_semi").dropDuplicates(["tag"])
+    held = texts.join(met, "tag").select("bucket", "node", "text").repartition("bucket").sortWithinPartitions("bucket")
+    components = connected_components(materialize(held.mapInPandas(_similar_nodes, "a long, b long"), "similar-texts"))
+    return distinct.select("tag", "node").join(components, "node", "left").select("tag", F.coalesce("component", "node").alias("component"))
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the near copies: of each component the row with the least doc_id stays, and rows without doc_id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    """docs without the near copies: of each component of ``near_copies`` the row with the least doc_id stays, and rows without doc_id stay."""
     known = docs.where("doc_id IS NOT NULL")
+    ids = known.select("doc_id", text_tag().alias("tag")).join(near_copies(known), "tag")
+    kept = ids.groupBy("component").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
     stay = known.join(kept, known["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return stay.union(docs.where("doc_id IS NULL"))

@@ -53,6 +53,40 @@ def test_one_of_each_stays(odd):
     assert kept.where("doc_id IS NULL").count() == odd.where("doc_id IS NULL").count()
 
 
+def shingle_sets(texts):
+    split = [(t or "").lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+
+
+def test_near_copies_are_held_to_similarity(spark, words, monkeypatch):
+    """Copies of similarity 0.8 and more go, many bits apart as they are; less similar texts stay. In one piece and tile by tile."""
+    import random
+
+    rng = random.Random(17)
+    texts = []
+    for n, changes in [(127, 2), (200, 4), (230, 4), (300, 6), (200, 5), (100, 3), (60, 1), (40, 2)] * 4:
+        base = [rng.choice(words) for _ in range(n)]
+        edited = list(base)
+        for k in range(changes):
+            edited[(2 * k + 1) * n // (2 * changes)] = f"changed{k}"
+        texts += [" ".join(base), " ".join(edited)]
+    sets = shingle_sets(texts)
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    want = sorted(set(brute.classes(len(texts), alike)))
+    assert len(texts) // 2 < len(want) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chars in (simhash.TILE_CHARS, 1000):
+        monkeypatch.setattr(simhash, "TILE_CHARS", chars)
+        assert sorted(r.doc_id for r in simhash.keep_one_of_each(df).collect()) == want
+
+
+def test_near_copies_small_table(documents):
+    docs = sorted(pairs(documents))
+    sets = shingle_sets([t for _, t in docs])
+    roots = brute.classes(len(docs), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(documents).collect()) == sorted({docs[r][0] for r in roots})
+
+
 def test_token_files_small_table(spark, documents):
     from tokenizers import Tokenizer
 
