@@ -20,7 +20,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"), keep_unnamed=False)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

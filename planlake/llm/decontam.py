@@ -202,7 +202,11 @@ def op10_rare_seed_alignment(docs: DataFrame, benchmark: DataFrame) -> DataFrame
     return leaks(docs, benchmark)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs in which no item is found."""
-    hit = leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["leaked"], "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, keep_unnamed: bool = True) -> DataFrame:
+    """The rows of docs in which no item is found, each judged by its own text; keep_unnamed: rows without doc_id stay in any case."""
+    tagged = docs.withColumn("__tag", F.xxhash64(F.coalesce("text", F.lit(""))))
+    hit = leaks(tagged.select(F.col("__tag").alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("leaked")).distinct()
+    same = tagged["__tag"] == hit["leaked"]
+    if keep_unnamed:
+        same = same & tagged["doc_id"].isNotNull()
+    return tagged.join(hit, same, "left_anti").select(docs.columns)

@@ -330,9 +330,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the near copies: of each component of ``near_copies`` the row with the least doc_id stays, and rows without doc_id stay."""
-    known = docs.where("doc_id IS NOT NULL")
-    ids = known.select("doc_id", text_tag().alias("tag")).join(near_copies(known), "tag")
-    kept = ids.groupBy("component").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
-    stay = known.join(kept, known["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return stay.union(docs.where("doc_id IS NULL"))
+    """docs without the near copies: of each component of ``near_copies`` the row of least doc_id stays, and rows without doc_id stay.
+
+    Rows are told apart by doc_id and text, so unlike texts that share a doc_id are judged each by itself; of rows alike in both the one of
+    the least digest of the other columns stays.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.xxhash64(F.col("text").isNull(), *[x for c in others for x in (c, c.isNull())])
+    known = docs.where("doc_id IS NOT NULL").withColumns({"__tag": text_tag(), "__rest": rest})
+    rows = known.select("doc_id", "__tag", "__rest").join(near_copies(docs.where("doc_id IS NOT NULL")), F.col("__tag") == F.col("tag"))
+    least = rows.groupBy("component").agg(F.min(F.struct("doc_id", "__tag", "__rest")).alias("row"))
+    kept = least.select(F.col("row.doc_id").alias("kept_id"), F.col("row.__tag").alias("kept_tag"), F.col("row.__rest").alias("kept_rest"))
+    same = (known["doc_id"] == kept["kept_id"]) & (known["__tag"] == kept["kept_tag"]) & (known["__rest"] == kept["kept_rest"])
+    stay = known.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__tag", "__rest"])
+    return stay.select(docs.columns).union(docs.where("doc_id IS NULL"))

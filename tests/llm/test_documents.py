@@ -87,6 +87,18 @@ def test_near_copies_small_table(documents):
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(documents).collect()) == sorted({docs[r][0] for r in roots})
 
 
+def test_unlike_texts_of_one_id_stay(spark, words):
+    import random
+
+    rng = random.Random(21)
+    a, b, c = (" ".join(rng.choice(words) for _ in range(80)) for _ in range(3))
+    rows = [(1, a, "x"), (2, b, "x"), (2, a, "x"), (3, b, "x"), (4, c, "y"), (4, c, "z"), (4, a, "x"), (None, a, "x"), (0, None, "x"), (0, c + " more", "x")]
+    for seed in (1, 2):
+        df = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id long, text string, source string").repartition(3)
+        got = simhash.keep_one_of_each(df).collect()
+        assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, a), (2, b), (None, a), (0, None), (0, c + " more")])
+
+
 def test_token_files_small_table(spark, documents):
     from tokenizers import Tokenizer
 

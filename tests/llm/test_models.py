@@ -161,6 +161,17 @@ def test_leaks(spark, words):
     assert kept.columns == df.columns and sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 3, 4, 7, 8]
 
 
+def test_leaks_are_judged_by_row(spark, words):
+    rng = random.Random(13)
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item = prose(20)
+    rows = [(1, prose(30) + " " + item), (1, "clean " + prose(30)), (None, item), (None, "fresh " + prose(30)), (None, None)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = [rows[1], rows[3], rows[4]]
+    assert Counter(map(tuple, decontam.without_leaks(df, bench, keep_unnamed=False).collect())) == Counter(clean)
+    assert Counter(map(tuple, decontam.without_leaks(df, bench).collect())) == Counter([*clean, rows[2]])
+
+
 def test_leaks_in_blocks(spark, sf, monkeypatch):
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     whole = Counter((r.doc_id, r.item_id, round(r.score, 9)) for r in decontam.leaks(docs, bench).collect())
