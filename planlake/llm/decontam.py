@@ -15,6 +15,7 @@ best alignment; repeated benchmark rows give repeated rows.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -141,19 +142,22 @@ def rare(seeds: Seeds, n_docs: np.ndarray) -> list[np.ndarray]:
     return keep
 
 
-def aligned(words: np.ndarray, seeds: Seeds) -> list[tuple[int, float, int, int, int]]:
-    """(item, score, first word, end word, seeds) of each item that has seeds in words: its best alignment."""
+def aligned(words: np.ndarray, seeds: Seeds, threshold: float = THRESHOLD) -> list[tuple[int, float, int, int, int]]:
+    """(item, score, first word, end word, seeds) of each item that has seeds in words: its best alignment, or one below threshold if none reaches it.
+
+    An alignment that reaches threshold has at most (MATCH - threshold) / -GAP gaps to a word of the item, which bounds how far it
+    goes from a seed, and matches no word of the item that its surroundings lack, which spares most alignments that can't reach it.
+    """
     at, row = seeds.hits(words)
     out = []
     for i in np.unique(seeds.item[row]):
         mine = np.sort(at[seeds.item[row] == i])
         item, best = seeds.items[i], (0.0, 0, 0)
-        reach = len(item) + len(item) // 2
-        n_grams = len(grams(item, GRAM))
+        reach = len(item) + math.ceil(len(item) * max(0.0, MATCH - threshold) / -GAP)
         for part in np.split(mine, np.flatnonzero(np.diff(mine) > 2 * reach) + 1):
-            if len(part) < 2 <= n_grams // 4:  # one seed of many: no alignment of it reaches the threshold
-                continue
             lo, hi = max(0, part[0] - reach), min(len(words), part[-1] + reach)
+            if np.isin(item, words[lo:hi]).sum() < threshold * len(item):
+                continue
             score, first, end = align(item, words[lo:hi])
             if score > best[0]:
                 best = (score, lo + first, lo + end)
@@ -167,7 +171,7 @@ def _matches(seeds: Seeds, item_ids: list, threshold: float):
             rows = [
                 (doc_id, item_ids[i], score, first, end, n)
                 for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)
-                for i, score, first, end, n in aligned(word_hashes(text), seeds)
+                for i, score, first, end, n in aligned(word_hashes(text), seeds, threshold)
                 if score >= threshold
             ]
             if rows:

@@ -161,6 +161,25 @@ def test_leaks(spark, words):
     assert kept.columns == df.columns and sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 3, 4, 7, 8]
 
 
+def test_leaks_with_one_seed_left(spark, words):
+    """Insertions that leave an item one trigram, far from the copy's other end."""
+    short, long = words[:10], words[20:40]
+    copies = [[*short[:2], "x", *short[2:4], "x", *short[4:7], "x", *short[7:9], "x", short[9]]]
+    copies.append([w for k, a in enumerate(long) for w in ([a] if k in (0, 2, 19) or k % 2 else [a, "x"])])
+    copies.append([w for k, a in enumerate(long) for w in ([a, "x"] if k % 2 == 1 and k < 18 else [a])])
+    df = spark.createDataFrame([(i, " ".join(c)) for i, c in enumerate(copies)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(short)), (1, " ".join(long))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_seeds, r.score) for r in decontam.op10_rare_seed_alignment(df, bench).collect()}
+    assert got[0, 0] == (1, 0.8)
+    items = {0: short, 1: long}
+    for i, c in enumerate(copies):
+        for k, item in items.items():
+            shared = {tuple(item[j : j + 3]) for j in range(len(item) - 2)} & {tuple(c[j : j + 3]) for j in range(len(c) - 2)}
+            score = plain_alignment(item, c)
+            assert ((i, k) in got) == bool(shared and score >= 0.6)
+            assert (i, k) not in got or got[i, k][1] == pytest.approx(score)
+
+
 def test_leaks_are_judged_by_row(spark, words):
     rng = random.Random(13)
     prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
