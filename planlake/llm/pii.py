@@ -47,8 +47,31 @@ BASE = (
     Kind("card", CARD, CARD, 0.8, "card|visa|credit|debit|payment"),
     Kind("phone", PHONE, "\\+[0-9]", 0.7, "phone|tel|call|mobile|fax"),
 )
+#: Countries by the length of their IBANs. A run of capitals and digits over blanks is cut at its country's length, so that words after it don't count.
+IBAN_COUNTRIES = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FO GL NL FK SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU XK MN",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM TL SO",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY PT ST MZ",
+    26: "IR IS TR DZ",
+    27: "BF BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC NI",
+    33: "RU",
+}
+IBAN = "\\b(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}+(?![A-Za-z0-9])" for n, c in IBAN_COUNTRIES.items()) + ")"
+
 FURTHER = (
-    Kind("iban", "\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "\\b[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank"),
+    Kind("iban", IBAN, "\\b[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank"),
     Kind("mac", "(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])", "[0-9A-Fa-f]:[0-9A-Fa-f]{2}:", 0.6, "mac|device|address"),
     Kind("ssn", "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]{2}-[0-9]", 0.3, "ssn|social|security"),
 )

@@ -194,6 +194,17 @@ def test_iban_needs_its_checksum(spark):
     assert {r.doc_id: "iban" in r.spans for r in pii.op9_pii_spans(df).collect()} == {1: True, 2: False}
 
 
+def test_iban_before_words(spark):
+    """Words in capitals and digits after an IBAN, and a second IBAN, are not taken for a part of it."""
+    spaced, plain, french, norse, maltese = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "FR14 2004 1010 0505 0001 3M02 606", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"
+    after = ["", ".", " The rest", " Please pay", " BIC COBADEFF", " 2024", " A1 B2", f" {french} X"]
+    rows = [(i, x + end, [x, french] if french in end else [x]) for i, (x, end) in enumerate((x, end) for x in (spaced, plain, french, norse, maltese) for end in after)]
+    rows += [(900, "DE88 3704 0044 0532 0130 00 The", []), (901, plain + "X", []), (902, "DE89 3704 0044", [])]
+    df = spark.createDataFrame([(i, "to " + t) for i, t, _ in rows], "doc_id long, text string")
+    got = {r.doc_id: [("to " + rows_by[r.doc_id])[int(a) : int(b)] for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "iban"] for rows_by in [{i: t for i, t, _ in rows}] for r in pii.op9_pii_spans(df).collect()}
+    assert got == {i: w for i, _, w in rows}
+
+
 @pytest.mark.parametrize("which", ["documents", "odd"])
 def test_mix(request, which):
     docs = request.getfixturevalue(which)
