@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by additive quantisation.
 
-Unit vectors are approximated by sums of ``BOOKS`` codewords, one from each of as many codebooks over the full dimension. Codebooks
+Unit vectors are approximated by sums of codewords, one from each of ``books_for`` codebooks over the full dimension. Codebooks
 are fitted to a bounded sample, residual by residual with Lloyd steps, and then jointly by least squares. Encoding is a beam search over
 the codebooks. The norm of each sum is stored beside its codes. A query's products with all codewords make a lookup table; a code's score is the sum of its
-entries over the stored norm, and the best ``RERANK`` candidates are ranked by cosine on the original vectors.
+entries over the stored norm, and the rows of the best ``RERANK`` distinct codes are ranked by cosine on the original vectors. The number of
+codebooks follows the dimension, so that an estimate's error is small beside the gap between the nearest rows and the last ones reranked, which
+narrows slowly with the number of rows. Of equal vectors only those ids are indexed that can be among a query's nearest.
 
 Queries and codes meet block by block: codes lie in blocks of ``CODE_ROWS`` rows, queries in blocks of ``QUERY_ROWS``, and each two
 blocks share a task, which passes on its best candidates only.
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 
 from planlake.llm.common import materialize
 
-BOOKS, WORDS, BEAM = 8, 256, 4
+#: Codebooks at least, and the dimensions that each may have to describe.
+BOOKS, BOOK_DIMENSIONS = 8, 4
+WORDS, BEAM = 256, 4
 #: Rows, of least vec_id digest, to which codebooks are fitted.
 SAMPLE_ROWS = 16_384
 LLOYD_STEPS, JOINT_STEPS = 8, 1
@@ -77,9 +81,14 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes, np.linalg.norm(sum(books[j][codes[:, j]] for j in range(m)), axis=1).astype(np.float32)
 
 
-def fit(x: np.ndarray, m: int = BOOKS, k: int = WORDS) -> np.ndarray:
+def books_for(dimension: int) -> int:
+    return max(BOOKS, -(-dimension // BOOK_DIMENSIONS))
+
+
+def fit(x: np.ndarray, m: int | None = None, k: int = WORDS) -> np.ndarray:
     """Codebooks (m, k, d) for unit vectors x."""
     rng, d = np.random.default_rng(_SEED), x.shape[1]
+    m = m or books_for(d)
     books, rest = np.zeros((m, k, d), np.float32), x.copy()
     for j in range(m):
         books[j] = rest[rng.choice(len(rest), k, replace=len(rest) < k)]
@@ -115,25 +124,25 @@ def _encoder(books: np.ndarray):
 
 
 def _best(score: np.ndarray, n: int) -> np.ndarray:
-    """Places of the n greatest scores; of equal ones at the edge the first."""
+    """Places of the n greatest scores, and of all equal to the least of these."""
     if len(score) <= n:
         return np.arange(len(score))
-    edge = np.partition(score, len(score) - n)[len(score) - n]
-    above = np.flatnonzero(score > edge)
-    return np.concatenate([above, np.flatnonzero(score == edge)[: n - len(above)]])
+    return np.flatnonzero(score >= np.partition(score, len(score) - n)[len(score) - n])
 
 
 def _scan(books: np.ndarray, rerank: int):
-    """Rows (block, query_block) with lists of codes and queries: each query's best candidates in the block by lookup tables."""
+    """Rows (block, query_block) with lists of codes and queries: the rows of each query's best distinct codes in the block by lookup tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.array(row["vec_ids"], np.int64)
-                by_id = np.argsort(ids, kind="stable")
-                ids = ids[by_id]
-                codes = np.frombuffer(b"".join(row["codes"]), np.uint8).reshape(len(ids), -1)[by_id]
-                norms = np.array(row["norms"], np.float32)[by_id]
+                codes = np.frombuffer(b"".join(row["codes"]), np.uint8).reshape(len(ids), -1)
+                _, first, code_of = np.unique(codes.view(f"V{codes.shape[1]}").ravel(), return_index=True, return_inverse=True)
+                by_code = np.argsort(code_of, kind="stable")
+                n_rows = np.bincount(code_of)
+                starts = np.cumsum(n_rows) - n_rows
+                codes, norms = codes[first], np.array(row["norms"], np.float32)[first]
                 queries, vectors = np.array(row["query_ids"], np.int64), _units(np.array(row["query_vs"], np.float64))
                 tables = np.einsum("qd,mkd->qmk", vectors, books)
                 found = []
@@ -141,10 +150,12 @@ def _scan(books: np.ndarray, rerank: int):
                     score = table[0][codes[:, 0]]
                     for j in range(1, len(table)):
                         score = score + table[j][codes[:, j]]
-                    score = np.where(ids == q, -np.inf, score / np.maximum(norms, 1e-9))
-                    best = _best(score, rerank)
-                    best = best[ids[best] != q]
-                    found.append((np.full(len(best), q), ids[best], score[best]))
+                    score = score / np.maximum(norms, 1e-9)
+                    best = _best(score, rerank + 1)  # one may be the query's own
+                    n = n_rows[best]
+                    at = by_code[np.repeat(starts[best] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    other = ids[at] != q
+                    found.append((np.full(other.sum(), q), ids[at][other], np.repeat(score[best], n)[other]))
                 q, v, s = (np.concatenate(c) for c in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "estimate"])
 
@@ -175,6 +186,9 @@ def _dot(a: str, b: str) -> F.Column:
 
 def search(queries: DataFrame, rows: DataFrame, nearest: int = NEAREST, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each of queries, the nearest other rows; both tables have (vec_id, v)."""
+    # ties go to the smaller id: behind `nearest` others and the query itself, a copy of theirs never comes in
+    nth = F.row_number().over(_by("v", "vec_id"))
+    rows = materialize(rows.withColumn("nth", nth).where(F.col("nth") <= nearest + 1).select("vec_id", "v"), "unlike-vectors")
     books, codes = index(rows, sample_rows)
     spark = rows.sparkSession
     if not len(books):
@@ -186,8 +200,8 @@ def search(queries: DataFrame, rows: DataFrame, nearest: int = NEAREST, rerank:
     met = asked.join(code_blocks.select("block", F.col("ids").alias("vec_ids"), F.col("code").alias("codes"), F.col("norm").alias("norms")), "block")
     met = met.repartition("block", "query_block")
     candidates = met.select("vec_ids", "codes", "norms", "query_ids", "query_vs").mapInArrow(_scan(books, rerank), "query_id long, vec_id long, estimate double")
-    first = F.row_number().over(_by("query_id", F.desc("estimate"), "vec_id"))
-    short = candidates.withColumn("place", first).where(F.col("place") <= rerank).select("query_id", "vec_id")
+    place = F.dense_rank().over(_by("query_id", F.desc("estimate")))
+    short = candidates.withColumn("place", place).where(F.col("place") <= rerank).select("query_id", "vec_id")
     exact = short.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(rows.select("vec_id", "v"), "vec_id")
     scored = exact.select("query_id", "vec_id", (_dot("q", "v") / (F.sqrt(_dot("q", "q")) * F.sqrt(_dot("v", "v")))).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(_by("query_id", F.desc("score"), "vec_id")))

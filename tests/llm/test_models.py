@@ -68,6 +68,35 @@ def test_copies_of_a_vector_come_by_id(spark):
     assert got[0] == [1, 2, 3, 4, 5] and got[50] == got[650] == [0, 1, 2, 3, 4]
 
 
+def test_neighbours_stay_found_as_the_table_grows():
+    """40,000 vectors without clusters, where the nearest stand out least: recall of the candidates before reranking."""
+    rng = np.random.default_rng(3)
+    x = ann._units(rng.normal(size=(40_000, 64)))
+    books = ann.fit(x[: ann.SAMPLE_ROWS])
+    codes, norms = (np.concatenate(c) for c in zip(*[ann.encode(x[i : i + 1024], books) for i in range(0, len(x), 1024)], strict=True))
+    hits = 0
+    for q in range(0, 40_000, 400):
+        exact, table = x @ x[q], books @ x[q]
+        estimate = sum(table[j][codes[:, j]] for j in range(len(books))) / norms
+        exact[q] = estimate[q] = -np.inf
+        hits += len(set(np.argsort(-exact)[:5].tolist()) & set(np.argsort(-estimate)[: ann.RERANK].tolist()))
+    assert hits >= 0.95 * 5 * 100
+
+
+def test_copies_do_not_crowd_out_neighbours(spark):
+    """Thousands of scaled and plain copies of vectors near a query, and a nearer one whose estimate may come behind theirs."""
+    rng = np.random.default_rng(4)
+    q, far = rng.normal(size=(2, 16))
+    near = [q + 0.02 * rng.normal(size=16) for _ in range(5)]
+    crowd = q + 0.3 * rng.normal(size=16)
+    vectors = [q, *near, *[crowd * (2.0 ** (i % 12)) for i in range(3000)], *rng.normal(size=(1000, 16))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    queries = ann.usable(df.where("vec_id = 0"))
+    got = ann.search(queries, ann.usable(df), rerank=10).orderBy("rank").collect()
+    assert {r.vec_id for r in got} == {1, 2, 3, 4, 5}
+    assert ann.search(queries, ann.usable(df.where("vec_id = 0 OR vec_id > 5")), rerank=10).orderBy("rank").first().vec_id <= 17
+
+
 def test_beam_search_beats_greedy_encoding():
     rng = np.random.default_rng(2)
     x = ann._units(rng.normal(size=(800, 16)))
