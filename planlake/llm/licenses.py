@@ -106,7 +106,8 @@ RULES = tuple(
 )
 
 def _any_of(words: set[str]) -> str:
-    return "(?i)(?<![A-Za-z0-9])(?:" + "|".join(sorted(words)) + ")(?![A-Za-z])"
+    # longest first: a digit may follow a keyword, so "cc" would be found in place of "cc0"
+    return "(?i)(?<![A-Za-z0-9])(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")(?![A-Za-z])"
 
 
 _NAMED = _any_of({r.keyword for r in RULES})

@@ -148,6 +148,15 @@ def test_license_rules_are_resolved(spark):
     assert len(licenses.RULES) > 400
 
 
+def labels_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.labels.split(",") for r in licenses.op4_license_rules(df).collect()}
+
+
+def test_license_cc0(spark):
+    assert labels_of(spark, ["under CC0 1.0 Universal"]) == {0: ["cc0"]}
+
+
 @pytest.mark.parametrize("which", ["documents", "odd"])
 def test_repeats(request, which):
     docs = request.getfixturevalue(which)
