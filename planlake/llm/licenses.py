@@ -73,6 +73,49 @@ NAMES = (
     ("proprietary", "proprietary", ("proprietary and confidential", "proprietary license")),
 )
 
+_ONLY = "(?:-only|-or-later|\\+)?"
+#: (label, SPDX identifiers as regular expressions). Those with a version also stand alone, the others only in a form of citation.
+SPDX = (
+    ("agpl-3.0", (f"AGPL-3\\.0{_ONLY}",)),
+    ("agpl", (f"AGPL-1\\.0{_ONLY}",)),
+    ("lgpl-2.1", (f"LGPL-2\\.1{_ONLY}",)),
+    ("lgpl-3.0", (f"LGPL-3\\.0{_ONLY}",)),
+    ("lgpl", (f"LGPL-2\\.0{_ONLY}",)),
+    ("gpl-2.0", (f"GPL-2\\.0{_ONLY}",)),
+    ("gpl-3.0", (f"GPL-3\\.0{_ONLY}",)),
+    ("gpl", (f"GPL-1\\.0{_ONLY}",)),
+    ("gfdl", (f"GFDL-1\\.[123](?:-no-invariants|-invariants)?{_ONLY}",)),
+    ("apache-1.1", ("Apache-1\\.1",)),
+    ("apache-2.0", ("Apache-2\\.0",)),
+    ("apache", ("Apache-1\\.0",)),
+    ("bsd-2-clause", ("BSD-2-Clause",)),
+    ("bsd-3-clause", ("BSD-3-Clause",)),
+    ("bsd", ("0BSD", "BSD-4-Clause")),
+    ("mit-0", ("MIT-0",)),
+    ("mit", ("MIT",)),
+    ("mpl-1.1", ("MPL-1\\.1",)),
+    ("mpl-2.0", ("MPL-2\\.0",)),
+    ("mpl", ("MPL-1\\.0",)),
+    ("epl-2.0", ("EPL-2\\.0",)),
+    ("epl", ("EPL-1\\.0",)),
+    ("cddl", ("CDDL-1\\.[01]",)),
+    ("isc", ("ISC",)),
+    ("zlib", ("Zlib",)),
+    ("boost", ("BSL-1\\.0",)),
+    ("artistic-2.0", ("Artistic-2\\.0",)),
+    ("artistic", ("Artistic-1\\.0(?:-Perl|-cl8)?",)),
+    ("python", ("PSF-2\\.0", "Python-2\\.0(?:\\.1)?")),
+    ("eupl", ("EUPL-1\\.[012]",)),
+    ("ofl", ("OFL-1\\.[01]",)),
+    ("cc0", ("CC0-1\\.0",)),
+    ("cc-by-nc-nd", ("CC-BY-NC-ND-[1-4]\\.[05]",)),
+    ("cc-by-nc-sa", ("CC-BY-NC-SA-[1-4]\\.[05]",)),
+    ("cc-by-nc", ("CC-BY-NC-[1-4]\\.[05]",)),
+    ("cc-by-nd", ("CC-BY-ND-[1-4]\\.[05]",)),
+    ("cc-by-sa", ("CC-BY-SA-[1-4]\\.[05]",)),
+    ("cc-by", ("CC-BY-[1-4]\\.[05]",)),
+)
+
 #: (form of citation around a name, keyword that it needs besides the name's, score), most specific first.
 FORMS = (
     ("SPDX-License-Identifier: ?{}", "spdx", 1.0),
@@ -94,15 +137,21 @@ class Rule:
 
 
 def _spaced(pattern: str) -> str:
-    """Blanks stand for any run of separators that prose puts between words."""
-    return pattern.replace(" ", "[\\s]+").replace("[[\\s]+", "[ ")
+    """Blanks stand for any run of separators that prose puts between words, optional blanks for none as well."""
+    return pattern.replace(" ?", "[\\s]*").replace(" ", "[\\s]+").replace("[[\\s]+", "[ ")
+
+
+def _named() -> tuple[tuple[str, str, str], ...]:
+    """(label, keyword, name): the spelled-out names, then the identifiers, whose keyword is what precedes their first hyphen."""
+    spelled = tuple((label, keyword, name) for label, keyword, names in NAMES for name in names)
+    return spelled + tuple((label, name.split("-")[0].lower(), name) for label, names in SPDX for name in names)
 
 
 RULES = tuple(
     Rule(label, keyword, form_keyword, "(?i)(?<![A-Za-z0-9])" + _spaced(form.format(f"(?:{name})")) + "(?![A-Za-z0-9])", score)
     for form, form_keyword, score in FORMS
-    for label, keyword, names in NAMES
-    for name in names
+    for label, keyword, name in _named()
+    if form != "{}" or name not in {"MIT", "ISC", "Zlib"}
 )
 
 def _any_of(words: set[str]) -> str:

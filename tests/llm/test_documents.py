@@ -148,6 +148,30 @@ def test_license_rules_are_resolved(spark):
     assert len(licenses.RULES) > 400
 
 
+def samples(pattern):
+    """The shortest and the longest text of a pattern, optional parts once at most and the first of alternatives."""
+    from re import _constants as c
+    from re import _parser
+
+    def text(parts, most):
+        out = ""
+        for op, arg in parts:
+            if op == c.LITERAL:
+                out += chr(arg)
+            elif op == c.IN:
+                out += chr(arg[0][1] if arg[0][0] == c.LITERAL else arg[0][1][0])
+            elif op == c.MAX_REPEAT:
+                out += text(arg[2], most) * (1 if most else arg[0])
+            elif op == c.SUBPATTERN:
+                out += text(arg[3], most)
+            else:
+                assert op == c.BRANCH, op
+                out += text(arg[1][0], most)
+        return out
+
+    return {text(_parser.parse(pattern), most) for most in (False, True)}
+
+
 def labels_of(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r.doc_id: r.labels.split(",") for r in licenses.op4_license_rules(df).collect()}
@@ -157,6 +181,31 @@ def test_license_cc0(spark):
     assert labels_of(spark, ["under CC0 1.0 Universal"]) == {0: ["cc0"]}
 
 
+def test_license_keywords_of_every_rule(spark):
+    """Each name, bare and in each form, is found in a text that it describes."""
+    cases = [(f"Terms: {t}; end", label) for form, _, _ in licenses.FORMS for label, _, names in licenses.NAMES for n in names for t in samples(form.format(f"(?:{n})"))]
+    got = labels_of(spark, [t for t, _ in cases])
+    assert [c for i, c in enumerate(cases) if c[1] not in got[i]] == []
+
+
+def test_license_names_as_texts_cite_them(spark):
+    cited = {
+        "Apache License 2.0": "apache-2.0", "Apache License v2": "apache-2.0", "Apache License, Version 2.0": "apache-2.0", "Mozilla Public License 2.0": "mpl-2.0", "SIL Open Font License 1.1": "ofl",
+        "GNU General Public License v3": "gpl-3.0", "GNU GPLv3": "gpl-3.0", "GNU GPL v2": "gpl-2.0", "Affero GPLv3": "agpl-3.0", "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier:Apache-2.0": "apache-2.0",
+        "SPDX-License-Identifier: GPL-3.0-only": "gpl-3.0", "SPDX-License-Identifier: LGPL-2.1+": "lgpl-2.1", "SPDX-License-Identifier: ISC": "isc", "licensed under MIT": "mit", "GPL-2.0-or-later": "gpl-2.0", "SPDX-License-Identifier: 0BSD": "bsd",
+    }
+    got = labels_of(spark, cited)
+    assert {t: got[i] for i, t in enumerate(cited) if label_missing(cited[t], got[i])} == {}
+    ids = [(f"SPDX-License-Identifier: {t}", label) for label, names in licenses.SPDX for n in names for t in samples(n)]
+    got = labels_of(spark, [t for t, _ in ids])
+    assert [c for i, c in enumerate(ids) if set(got[i]) - {"cc-by"} != {c[1]} - {"cc-by"}] == []  # the base label cc-by always stays
+    assert labels_of(spark, ["at MIT, the ISC and zlib"]) == {0: [""]}
+
+
+def label_missing(label, got):
+    return label not in got or len(got) > 2
+
+
 @pytest.mark.parametrize("which", ["documents", "odd"])
 def test_repeats(request, which):
     docs = request.getfixturevalue(which)
