@@ -5,13 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers each that may be broadcast: some megabytes.
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """name, with underscores before it as long as df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns_of(df: DataFrame, *but: str) -> list[Column]:
+    """All columns of df except but, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in but]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors: ``spark.checkpoint.dir`` of the session.
 
@@ -21,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="planlake-")
         spark.sparkContext.setCheckpointDir(found)
@@ -32,14 +49,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the driver remove path when it ends; a driver that is killed leaves it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: later plans start from files that outlive any executor."""
+    """Writes df as Parquet in the shared folder and reads it back: later plans start from files that outlive any executor.
+
+    The files go when the driver ends, as lazy results may still read them.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joinable(df: DataFrame, name: str) -> DataFrame:
+    """df, of a few numbers a row, written and made ready for the right side of a join on a hot key.
+
+    Up to BROADCAST_ROWS rows are broadcast. More are shuffled, and as they come from files the join's left side is a shuffle of its own, whose
+    hot partitions AQE can split; an aggregate right below the join would keep them whole.
+    """
+    written = materialize(df, name)
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder, for the small tables of iterative steps."""
     shared_dir(df.sparkSession)

@@ -3,12 +3,12 @@
 Integers go through ORC's run-length encoding, rows are indexed by stride, and a Bloom filter on doc_id stands beside the index, so a reader
 takes stripes in parallel and skips those whose bounds or filter rule a document out.
 
-Every text is encoded with the tokenizers library. A byte-level BPE vocabulary splits a text before every blank that follows a
-non-blank, and between a word and the full stop or comma after it. So pieces are encoded on their own and remembered, and a text's ids are its
-pieces' ids in order. A text with white space beside a blank is encoded in one call instead.
+Every text is encoded with the tokenizers library. A byte-level BPE vocabulary splits a text before every blank and about every line end between
+non-blanks, and between a word and the marks after it. So pieces are encoded on their own and remembered, and a text's ids are its
+pieces' ids in order. A text in which white space stands beside white space is encoded in one call instead.
 
 Edge cases: null text is empty and holds the end id only; rows without doc_id come first; rows that repeat a doc_id stand next to each
-other, shortest first, each with its own start; an empty table gives empty files; columns other than doc_id and text are not written.
+other, shortest first, each with its own start, over several files if they are many; an empty table gives empty files; columns other than doc_id and text are not written.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,24 +25,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planlake.llm.common import fresh_path, materialize
+from planlake.llm.common import fresh_path, materialize, remove_at_exit
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-#: Documents in a file, about; pieces that a worker remembers.
-FILE_ROWS = 8192
+#: Documents in a file, about; files at most, so that the order over files stays a small table; pieces that a worker remembers.
+FILE_ROWS, MAX_FILES = 8192, 65_536
 REMEMBERED = 400_000
 SCHEMA = "doc_id bigint, n_tokens int, ids array<int>"
 
-_AWKWARD = re.compile(r"^ | (?:\s|$)|\s ")
-_RARE_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_AWKWARD = re.compile(r"^ | $|\s\s")
+#: Marks that, one or several, are a piece of their own to the vocabulary when they follow a word; an apostrophe may begin a suffix instead.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: White space other than blanks and line ends.
+_RARE_SPACES = "".join(c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n")
+_RARE_ASCII_SPACES = _RARE_SPACES.encode("ascii", "ignore").decode()
 
 
 def _awkward(text: str) -> bool:
-    """Whether white space stands beside a blank or a blank at an end: by plain searches where the text is ASCII."""
-    if not text.isascii() or any(c in text for c in _RARE_SPACES):
-        return _AWKWARD.search(text) is not None
-    return text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text
+    """Whether white space stands beside white space or a blank at an end: by plain searches where white space is blanks and line ends."""
+    for c in _RARE_ASCII_SPACES if text.isascii() else _RARE_SPACES:
+        if c in text:
+            return _AWKWARD.search(text) is not None
+    return text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or "\n\n" in text
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -62,6 +66,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """A byte-level BPE tokenizer that remembers the ids of pieces between blanks, as little-endian 32-bit integers.
 
+    A piece stands for itself after a blank, or, if it begins with a line end, at the start of a line.
     Pieces are remembered in two generations: when the younger is full the older goes, and what is met again is young again.
     """
 
@@ -76,24 +81,45 @@ class Encoder:
             raise ValueError(f"{path} is no plain byte-level vocabulary")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.stop, self.comma, self.blank = self._whole("."), self._whole(","), self.letters[32]
+        self.blank, self.line_end = self.letters[32], self._whole("\n")
+        self.marks: dict[str, bytes] = {}
+        self.four_bytes = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _after_blank(self, piece: str) -> bytes:
-        """The ids of a blank and piece, which the young generation then holds."""
-        ids = self.old.get(piece)
+    def _word(self, word: str, before: str) -> bytes:
+        """The ids of before and a word, which is one to the vocabulary: straight to the library's merges."""
+        spelt = before + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+        return b"".join([self.four_bytes[t.id] for t in self.model.tokenize(spelt)])
+
+    def _after_word(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
         if ids is None:
-            if piece.isalpha():  # one word to the vocabulary: straight to the library's merges
-                spelt = self.blank + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))
-                ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-            elif piece[-1] == "." and piece[:-1].isalpha():
-                ids = (self.young.get(piece[:-1]) or self._after_blank(piece[:-1])) + self.stop
-            elif piece[-1] == "," and piece[:-1].isalpha():
-                ids = (self.young.get(piece[:-1]) or self._after_blank(piece[:-1])) + self.comma
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            ids = self.marks[marks] = self._whole(marks)
+        return ids
+
+    def _learn(self, piece: str) -> bytes:
+        """The ids of piece, which the young generation then holds."""
+        ids = self.young.get(piece)
+        if ids is not None:  # met before in the same text
+            return ids
+        ids = self.old.get(piece)
+        if ids is None and piece.isalpha():
+            ids = self._word(piece, self.blank)
+        elif ids is None:
+            starts_line = piece[:1] == "\n"
+            word = piece[1:] if starts_line else piece
+            bare = word.rstrip(_MARKS)
+            if not bare.isalpha():
+                ids = self._whole(piece if starts_line else " " + piece)
+            elif len(bare) < len(word):
+                n = len(word) - len(bare)
+                ids = self._learn(piece[:-n]) + self._after_word(piece[-n:])
             else:
-                ids = self._whole(" " + piece)
+                ids = self.line_end + self._word(word, "")
         self.young[piece] = ids
         return ids
 
@@ -101,14 +127,14 @@ class Encoder:
         """The ids of text."""
         if _awkward(text):
             return self._whole(text)
-        head, *pieces = text.split(" ")
+        head, *pieces = text.replace("\n", " \n").split(" ")
         if len(self.young) > self.remembered:
             self.young, self.old = {}, self.young
         found = list(map(self.young.get, pieces))
         at = -1
         for _ in range(found.count(None)):
             at = found.index(None, at + 1)
-            found[at] = self._after_blank(pieces[at])
+            found[at] = self._learn(pieces[at])
         return (self._whole(head) if head else b"") + b"".join(found)
 
 
@@ -138,14 +164,16 @@ def _encode(path: str, end_id: int):
 def write_token_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, files: int | None = None, stripe_bytes: int = 8 << 20) -> None:
     """Writes the ids of docs (doc_id, text) as ORC files under path, whose name order is doc_id order.
 
-    The range partitioner samples doc_ids; texts cross the network once and are encoded where they are written.
+    The range partitioner samples doc_ids and, to spread unlike texts of one doc_id, lengths and digests; texts cross the network once and are
+    encoded where they are written.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     if files is None:
-        files = max(docs.sparkSession.sparkContext.defaultParallelism, docs.count() // FILE_ROWS)
-    ranged = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.octet_length("text"), "text")
+        files = max(docs.sparkSession.sparkContext.defaultParallelism, min(MAX_FILES, docs.count() // FILE_ROWS))
+    order = [F.col("doc_id"), F.octet_length("text"), F.xxhash64("text")]
+    ranged = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
     encoded = ranged.mapInArrow(_encode(vocabulary or vocabulary_path(), end_id), SCHEMA)
-    options = {"compression": "zstd", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
+    options = {"compression": "lz4", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
     encoded.write.options(**options).orc(path)
 
 
@@ -186,4 +214,5 @@ def op3_token_orc(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     path = fresh_path(spark, "token-ids")
     write_token_ids(docs, path)
+    remove_at_exit(spark, path)
     return digests(spark, path)
