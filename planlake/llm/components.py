@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlake.llm.common import cut
+from planlake.llm.common import cut, joinable
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hangs its larger neighbours on the least of its neighbourhood."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return both.join(joinable(least, "least-neighbours"), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node hangs its smaller neighbours, and itself, on the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = joinable(edges.groupBy("a").agg(F.min("b").alias("m")), "least-neighbours")
     moved = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -26,8 +26,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that is not the least of its component.
 
     edges: long columns a and b, any order, repeats and loops allowed, no nulls. component is the least node reachable.
-    Alternates large and small stars until the edges stop changing. Minima are pre-aggregated
-    before the shuffle, and the joins leave a hot node's rows free for AQE to split, so no neighbourhood is
+    Alternates large and small stars until the edges stop changing. Minima are pre-aggregated before the shuffle and written before they
+    are joined back, so a hot node's rows need not meet in one task and no neighbourhood is
     ever gathered. Each round ends in a reliable checkpoint.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

@@ -14,11 +14,12 @@ the block itself does. Hence
 * the survivors are verified by counting the differing bits.
 
 Both tests only ever drop pairs that are not linked, so no link is lost. The number of blocks follows the
-number of fingerprints, so that buckets of unlike fingerprints keep a handful of members at any size.
+number of fingerprints, so that buckets of unlike fingerprints keep a handful of members. A block's coordinates tell a little less than its
+bits, 9.6 bits of collision entropy for 10, which ``blocks_for`` counts in.
 
 The corpus pipeline's near copies have a contract of their own: five-word shingles and a Jaccard similarity of 0.8 or more, at which
-fingerprints differ in a dozen bits and more, too many for buckets of equal blocks. ``near_copies`` finds its candidates by bands of
-least hashes instead and verifies them by their exact shingle sets.
+fingerprints differ in a dozen bits and more, too many for buckets of equal blocks. ``near_copies`` takes as candidates what the pivot tables
+link, adds texts that share a band of least hashes, and verifies all of them by their exact shingle sets.
 
 Edge cases: text that is null, empty or without words has fingerprint zero and is linked like any other; fewer words
 than a shingle make one shingle of the whole sequence; a row without doc_id gets its fingerprint, component_id null,
@@ -35,9 +36,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from planlake.llm.common import materialize
+from planlake.llm.common import joinable, materialize
 from planlake.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -46,6 +47,8 @@ LINK_BITS = 4
 REFERENCES = 8
 #: Buckets above this size are compared tile by tile, in tasks of their own.
 TILE = 4096
+#: Rows of buckets that a task compares at a time.
+HELD_ROWS = 100_000
 
 #: The corpus pipeline's near copies: words in a shingle, and the Jaccard similarity of shingle sets from which texts are copies.
 COPY_WORDS = 5
@@ -103,9 +106,9 @@ def _masks(blocks: int) -> list[int]:
 
 
 def blocks_for(fingerprints: int) -> int:
-    """The least number of blocks whose keys, of 64 * (1 - LINK_BITS / blocks) bits, leave unlike fingerprints a few to a bucket."""
+    """The least number of blocks whose keys, which tell apart about 61 * (1 - LINK_BITS / blocks) bits, leave unlike fingerprints a few to a bucket."""
     blocks = LINK_BITS + 2
-    while blocks < 4 * LINK_BITS and 2.0 ** (64 * (blocks - LINK_BITS) / blocks) * 8 < fingerprints:
+    while blocks < 4 * LINK_BITS and 2.0 ** (61 * (blocks - LINK_BITS) / blocks) * 8 < fingerprints:
         blocks += 1
     return blocks
 
@@ -155,37 +158,50 @@ def _flood(fps: np.ndarray, pivots: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _links(blocks: int):
-    """mapInPandas function over rows (bucket, fp, node) sorted by bucket: a spanning forest of the links in each bucket."""
+    """mapInPandas function over rows (bucket, fp, node) sorted by bucket: a spanning forest of the links in each bucket.
+
+    Holds whole buckets of together HELD_ROWS rows, or one bucket more.
+    """
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        if not parts:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= HELD_ROWS:
+                rows = pd.concat(held, ignore_index=True)
+                last = rows["bucket"].to_numpy()
+                cut = int(np.flatnonzero(last != last[-1])[-1]) + 1 if last[0] != last[-1] else 0  # the last bucket may go on
+                yield from found(rows.iloc[:cut])
+                held, n = [rows.iloc[cut:]], len(rows) - cut
+        if held:
+            yield from found(pd.concat(held, ignore_index=True))
+
+    def found(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not len(rows):
             return
-        rows = pd.concat(parts, ignore_index=True)
         keys, nodes = rows["bucket"].to_numpy(), rows["node"].to_numpy()
         fps = rows["fp"].to_numpy().view(np.uint64)
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[starts, len(keys)])
         of = np.repeat(np.arange(len(starts)), sizes)
         small = np.flatnonzero((sizes <= 64)[of])
-        found = []
-        for lo in range(0, len(small), 200_000):  # in slices, with what follows each in its bucket
-            take = small[lo : lo + 200_064]
-            pivots = pivot_table(fps[take], blocks)
-            for step in range(1, 64):
-                i = np.arange(0, len(take) - step)
-                i = i[of[take[i]] == of[take[i + step]]]
-                if not len(i):
-                    break
-                a, b = _verified(fps[take], pivots, i, i + step)
-                found.append(np.stack([nodes[take[a]], nodes[take[b]]]))
+        edges = []
+        pivots = pivot_table(fps[small], blocks)
+        for step in range(1, 64):
+            i = np.arange(0, len(small) - step)
+            i = i[of[small[i]] == of[small[i + step]]]
+            if not len(i):
+                break
+            a, b = _verified(fps[small], pivots, i, i + step)
+            edges.append(np.stack([nodes[small[a]], nodes[small[b]]]))
         for g in np.flatnonzero(sizes > 64):
             at = slice(starts[g], starts[g] + sizes[g])
             pairs = list(_flood(fps[at], pivot_table(fps[at], blocks)))
             if pairs:
-                found.append(nodes[at][np.array(pairs).T])
-        if found:
-            a, b = np.concatenate(found, axis=1)
+                edges.append(nodes[at][np.array(pairs).T])
+        if edges:
+            a, b = np.concatenate(edges, axis=1)
             yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
 
     return links
@@ -199,9 +215,10 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """
     blocks = blocks_for(distinct.count())
     rows = distinct.select("fp", "node", F.explode(bucket_keys(F.col("fp"), blocks)).alias("bucket"))
-    sized = rows.select("bucket", "fp", "node", F.expr("count(*) OVER (PARTITION BY bucket)").alias("n"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sized = materialize(rows.join(joinable(sizes, "bucket-sizes"), "bucket"), "shared-buckets")
     schema = "a long, b long"
-    few = sized.where(f"n BETWEEN 2 AND {TILE}").select("bucket", "fp", "node").sortWithinPartitions("bucket").mapInPandas(_links(blocks), schema)
+    few = sized.where(f"n <= {TILE}").select("bucket", "fp", "node").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_links(blocks), schema)
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("fp"), tiles).cast("int")
     hot = (
@@ -238,15 +255,19 @@ def _signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def band_keys(texts: pd.Series) -> pd.Series:
-    """One key for each band of the signature; texts without words share all of theirs."""
-    rows = np.array([_signature(shingle_hashes(t, COPY_WORDS)) for t in texts], np.uint64).reshape(len(texts), BANDS, BAND_ROWS)
+@F.pandas_udf(StructType().add("fp", LongType()).add("bands", ArrayType(LongType())))
+def sketch(texts: pd.Series) -> pd.DataFrame:
+    """The fingerprint of five-word shingles, and one key for each band of the signature; texts without words share all of theirs."""
+    fps, rows = np.zeros(len(texts), np.uint64), np.zeros((len(texts), BANDS * BAND_ROWS), np.uint64)
+    for i, text in enumerate(texts):
+        hashes = shingle_hashes(text, COPY_WORDS)
+        fps[i], rows[i] = majority(hashes), _signature(hashes)
+    rows = rows.reshape(len(texts), BANDS, BAND_ROWS)
     keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None], len(texts), axis=0)
     for i in range(BAND_ROWS):
         keys = (keys ^ rows[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(31)
-    return pd.Series(list(keys.view(np.int64)))
+    return pd.DataFrame({"fp": fps.view(np.int64), "bands": list(keys.view(np.int64))})
 
 
 def similar(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -307,20 +328,26 @@ def text_tag() -> Column:
 def near_copies(docs: DataFrame) -> DataFrame:
     """(tag, component) for each distinct text of docs: texts joined by similarities of COPY_SIMILARITY or more share a component.
 
-    Texts that share a band are candidates. What candidates connect meets in one task, or tile by tile where it is
-    more than TILE_CHARS characters, and there all pairs are held against each other by their exact shingle sets.
+    Texts whose fingerprints the pivot tables link, and texts that share a band, are candidates. What candidates connect meets in one task, or
+    tile by tile where it is more than TILE_CHARS characters, and there all pairs are held against each other by their exact shingle sets.
     """
-    keyed = docs.select(text_tag().alias("tag"), F.length(F.coalesce("text", F.lit(""))).alias("chars"), band_keys("text").alias("bands"))
-    distinct = keyed.groupBy("tag").agg(F.min("chars").alias("chars"), F.min("bands").alias("bands"))
-    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
+    keyed = docs.select(text_tag().alias("tag"), F.length(F.coalesce("text", F.lit(""))).alias("chars"), sketch("text").alias("sketch"))
+    distinct = keyed.groupBy("tag").agg(F.min("chars").alias("chars"), F.min("sketch").alias("sketch"))
+    distinct = materialize(distinct.select("tag", "chars", "sketch.fp", "sketch.bands", F.monotonically_increasing_id().alias("node")), "distinct-texts")
+    alike = materialize(distinct.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+    linked = fingerprint_links(alike.select("fp", F.col("least").alias("node")))
+    same = distinct.select("fp", "node").join(joinable(alike.where("n > 1").select("fp", "least"), "shared-fingerprints"), "fp")
     rows = distinct.select("node", F.explode("bands").alias("band"))
     least = rows.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
-    groups = connected_components(rows.join(least, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    banded = rows.join(joinable(least, "shared-bands"), "band")
+    stars = same.select("node", "least").union(banded.select("node", "least")).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    groups = connected_components(linked.union(stars))
     groups = groups.union(groups.select(F.col("component").alias("node"), "component").distinct())
     members = materialize(distinct.select("tag", "chars", "node").join(groups, "node"), "candidate-groups")
     sizes = members.groupBy("component").agg(F.ceil(F.sum("chars") / TILE_CHARS).cast("int").alias("tiles"))
     tiles = F.greatest(F.col("tiles"), F.lit(1))
-    dealt = members.join(sizes, "component").select("tag", "node", "component", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("own"))
+    dealt = members.join(joinable(sizes, "group-sizes"), "component")
+    dealt = dealt.select("tag", "node", "component", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("own"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = dealt.select("tag", "node", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
     texts = docs.select(text_tag().alias("tag"), F.coalesce("text", F.lit("")).alias("text")).join(members.select("tag"), "tag", "left_semi").dropDuplicates(["tag"])
