@@ -5,28 +5,32 @@ words its source has offered up to and with it, divided by the source's target.
 finish time (then source, shuffle key and repeat), and the order is truncated where the budget, the sum of the
 targets, is spent.
 
-Running sums are two-level: the shuffle key's leading bits deal a source into buckets of bounded size, buckets are summed before any
-shuffle of their offsets, and rows are only ordered within a bucket. A hot source is thus spread over as many tasks as its
-rows need. The truncation point is found by histograms of fixed width over ever shorter ranges of finish times.
+Running sums are two-level: the shuffle key's leading bits deal a source into buckets, about as many as rows in a bucket, buckets are summed
+before any shuffle of their offsets, and rows are only ordered within a bucket. A hot source is thus spread over as many tasks as its
+rows need. The key digests doc_id and size, so that rows without doc_id are spread as well; rows of size 0 count for nothing and stay out of the
+sums. The truncation point is found by histograms of fixed width over ever shorter ranges of finish times. Targets are computed
+over one row a source, in one task.
 
 Edge cases: null text has size 0; a document of size 0 is never taken; null doc_ids and repeated rows are documents
-of their own, ordered by size within equal keys; a null source is a source, last in order; an empty table gives
+of their own; a null source is a source, last in order; an empty table gives
 no rows; columns of other names are ignored by ``mix_sizes`` and kept by ``mixed``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planlake.llm.common import materialize
+from planlake.llm.common import BROADCAST_ROWS, columns_of, materialize, spare
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_REPEATS = 2
 SEED = "mix-1"
-#: Rows a bucket of a hot source holds, about.
-BUCKET_ROWS = 4096
+#: Rows a bucket of a hot source holds at least, if it has as many.
+BUCKET_ROWS = 512
 #: Bins of a histogram of finish times, and the copies below which they are ordered outright.
 BINS, FEW_COPIES = 1024, 20_000
 
@@ -63,10 +67,11 @@ def _bucket(key: Column, buckets: int) -> Column:
 
 
 def offered(sizes: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
-    """sizes (doc_id, source, size, more) with key, source_size, target and upto: its source's words up to and with it, in shuffled order."""
-    keyed = sizes.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    buckets = max(1, sizes.count() // BUCKET_ROWS)
-    keyed = keyed.withColumn("bucket", _bucket(F.col("key"), buckets))
+    """sizes (doc_id, source, size, more) above 0 with key, source_size, target and upto: its source's words up to and with it, in shuffled order."""
+    told = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string"))
+    keyed = sizes.where("size > 0").withColumn("key", F.md5(told))
+    n = sizes.count()
+    keyed = keyed.withColumn("bucket", _bucket(F.col("key"), max(1, n // max(BUCKET_ROWS, math.isqrt(n)))))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"))
@@ -79,9 +84,9 @@ def offered(sizes: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame
 
 
 def copies(queue: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """A row for each offer of a document, with its repeat (from 0) and virtual finish time; sizes of 0 are not offered."""
+    """A row for each offer of a document, with its repeat (from 0) and virtual finish time."""
     repeat = F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("repeat")
-    rows = queue.where("size > 0 AND target > 0").select("*", repeat)
+    rows = queue.where("target > 0").select("*", repeat)
     return rows.withColumn("finish", (F.col("upto") + F.col("repeat") * F.col("source_size")).cast("double") / F.col("target"))
 
 
@@ -131,7 +136,7 @@ def truncation(queue: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame |
 def mix_sizes(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, copies_taken, taken, first_finish, keep...) for each row of docs (doc_id, source, text)."""
     sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[k for k in keep if k != "source"]), "mix-sizes")
-    targets = source_targets(sizes, weights, share, max_repeats)
+    targets = materialize(source_targets(sizes, weights, share, max_repeats), "mix-targets")
     queue = materialize(offered(sizes, targets, seed), "mix-queue")
     edge = truncation(queue, max_repeats)
     if edge is None:
@@ -141,11 +146,14 @@ def mix_sizes(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeat
         def within(r: int) -> Column:
             finish = (F.col("upto") + F.lit(r) * F.col("source_size")).cast("double") / F.col("target")
             own = F.struct(finish.alias("finish"), F.col("source").isNull().alias("null_last"), F.coalesce("source", F.lit("")).alias("name"), F.col("key").alias("key"), F.col("size").alias("size"), F.lit(r).alias("repeat"))
-            return F.when((F.col("size") > 0) & (F.col("target") > 0), (own <= cutoff).cast("int")).otherwise(0)
+            return F.when(F.col("target") > 0, (own <= cutoff).cast("int")).otherwise(0)
         taken = sum((within(r) for r in range(1, max_repeats)), within(0))
-    out = queue.withColumn("copies_taken", taken)
-    first = F.when((F.col("size") > 0) & (F.col("target") > 0), F.col("upto").cast("double") / F.col("target"))
-    return out.select("doc_id", "size", "source_size", "target", "copies_taken", (F.col("size") * F.col("copies_taken")).alias("taken"), first.alias("first_finish"), *keep)
+    first = F.when(F.col("target") > 0, F.col("upto").cast("double") / F.col("target"))
+    names = ["doc_id", "size", "source_size", "target"]
+    offers = queue.select(*names, taken.alias("copies_taken"), (F.col("size") * taken).alias("taken"), first.alias("first_finish"), *keep)
+    own = targets.select(F.col("source").alias("of_source"), "source_size", "target")
+    none = sizes.where("size = 0").join(own, F.col("source").eqNullSafe(F.col("of_source")))
+    return offers.union(none.select(*names, F.lit(0).alias("copies_taken"), F.col("size").alias("taken"), F.lit(None).cast("double").alias("first_finish"), *keep))
 
 
 def op8_fair_queueing(docs: DataFrame) -> DataFrame:
@@ -155,24 +163,34 @@ def op8_fair_queueing(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the mix takes, as often as it takes them, with the columns of docs.
 
-    Rows are matched by doc_id and a digest of text and source, and rows that repeat in both share what was taken of them.
+    Rows are matched by doc_id and a digest of text and source, and rows that repeat in both share what was taken of them: of n alike rows the
+    k-th comes out floor or ceil of taken / n times, together exactly taken times. Texts move once, to meet what is taken of them, and
+    not at all where that is few enough to be broadcast and no rows are alike.
     """
-    tag = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")), F.col("text").isNull())
-    tagged = docs.withColumn("__tag", tag)
-    got = mix_sizes(tagged, keep=("__tag",), **options).groupBy("doc_id", "__tag").agg(F.sum("copies_taken").alias("__taken"), F.count("*").alias("__rows"))
-    got = got.where("__taken > 0").select(F.col("doc_id").alias("__id"), F.col("__tag").alias("__of"), "__taken", "__rows")
-    alike = Window.partitionBy("doc_id", "__tag").orderBy(F.lit(1))
-    joined = tagged.join(got, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tag") == F.col("__of")))
-    # the k-th of n alike rows comes out floor or ceil of taken / n times, together exactly taken times
-    nth = F.row_number().over(alike) - 1
-    times = F.floor((F.col("__taken") - nth - 1) / F.col("__rows")).cast("int") + 1
-    times = F.when(F.col("__rows") == 1, F.col("__taken").cast("int")).otherwise(times)
-    rows = joined.withColumn("__times", times).where("__times > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    doc, tag = spare(docs, "of_doc"), spare(docs, "of_text")
+    told = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")), F.col("text").isNull(), F.col("source").isNull(), F.col("doc_id").isNull())
+    tagged = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), tag: told})
+    kept = tagged.select(F.col(doc).alias("doc_id"), "source", "text", F.col(tag).alias("tag"))
+    sizes = mix_sizes(kept, keep=("tag",), **options)
+    got = sizes.groupBy("doc_id", "tag").agg(F.sum("copies_taken").cast("int").alias("n_taken"), F.count("*").alias("n_rows")).where("n_taken > 0")
+    got = materialize(got, "mix-taken")
+    several = got.where("n_rows > 1").limit(1).count() > 0
+    right = F.broadcast(got) if got.count() <= BROADCAST_ROWS else got
+    right = right.select(F.struct("doc_id", "tag", "n_taken", "n_rows").alias(spare(docs, "got")))
+    taken = F.col(right.columns[0])
+    joined = tagged.join(right, (F.col(doc) == taken["doc_id"]) & (F.col(tag) == taken["tag"]))
+    times = taken["n_taken"]
+    if several:
+        nth = F.row_number().over(Window.partitionBy(doc, tag).orderBy(F.lit(1))) - 1
+        times = F.when(taken["n_rows"] > 1, F.floor((taken["n_taken"] - nth - 1) / taken["n_rows"]).cast("int") + 1).otherwise(times)
+    again = spare(docs, "times")
+    rows = joined.withColumn(again, times).where(F.col(again) > 0)
+    return rows.select(*columns_of(docs), F.explode(F.sequence(F.lit(1), F.col(again))).alias(spare(docs, "copy"))).select(*columns_of(docs))
 
 
 OP8_SQL = f"""
-WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+WITH z AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT *, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || size) AS key FROM z),
 b AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, source_size::DOUBLE * {MAX_REPEATS} AS cap FROM b),
 l AS (SELECT *, row_number() OVER o AS place, (sum(source_size) OVER () * {SHARE}::DOUBLE - coalesce(sum(cap) OVER p, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0)) AS level FROM w
