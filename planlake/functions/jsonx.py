@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from planlake.functions.nested import let
 from planlake.functions.text import without_fences
 
 # The labels of questions, in reporting order.
@@ -21,19 +22,49 @@ def outermost(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
+def outermost_list(text: Column) -> Column:
+    """From the first opening to the last closing bracket; null if there is none."""
+    return F.nullif(F.regexp_extract(text, r"(?s)(\[.*\])", 1), F.lit(""))
+
+
+def _first_parsed(tiers: list[Column], opening: str) -> Column:
+    return F.coalesce(*[F.when(F.try_parse_json(t).isNotNull() & F.ltrim(t).startswith(opening), t) for t in tiers])
+
+
 def object_text(text: Column) -> Column:
     """The JSON object in a response: as it stands, without fences, or between its outermost braces; null if none parses."""
-    tiers = [text, without_fences(text), outermost(without_fences(text)), repaired(outermost(without_fences(text)))]
-    return F.coalesce(*[F.when(F.try_parse_json(t).isNotNull() & F.ltrim(t).startswith("{"), t) for t in tiers])
+    tiers = lambda t: let(without_fences(t), lambda plain: _first_parsed([t, plain, outermost(plain), repaired(outermost(plain))], "{"))
+    return let(text, tiers)
+
+
+def object_or_list_text(text: Column) -> Column:
+    """The JSON object in a response, or else its list: a plan may come as a bare list of steps."""
+    tiers = lambda t: let(without_fences(t), lambda plain: F.coalesce(_first_parsed([plain], "["), object_text(t), _first_parsed([outermost_list(plain), repaired(outermost_list(plain))], "[")))
+    return let(text, tiers)
+
+
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+
+
+def outside_strings(text: Column, fix) -> Column:
+    """text with fix applied to what stands between its quoted strings, which stay as they are."""
+    between = F.transform(F.call_function("split", text, F.lit(_STRING), F.lit(-1)), fix)
+    strings = F.regexp_extract_all(text, F.lit(_STRING), F.lit(0))
+    return F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("b"), strings.alias("s")), lambda x: F.array(x["b"], F.coalesce(x["s"], F.lit(""))))), "")
 
 
 def repaired(text: Column) -> Column:
-    """Common faults mended: comments, trailing commas, bare keys, stray backslashes."""
-    out = F.regexp_replace(text, r"(?m)^\s*//.*$", "")
-    out = F.regexp_replace(out, r"(?s)/\*.*?\*/", "")
-    out = F.regexp_replace(out, r",(\s*[}\]])", "$1")
-    out = F.regexp_replace(out, r"([{,]\s*)([A-Za-z_][A-Za-z0-9_]*)(\s*:)", '$1"$2"$3')
-    return F.regexp_replace(out, r'\\(?!["\\/bfnrtu])', r"\\\\")
+    """Common faults mended, outside of strings: comments, trailing commas, bare keys; and stray backslashes within them."""
+
+    def fix(x: Column) -> Column:
+        out = F.regexp_replace(x, r"(?m)//.*$", "")
+        out = F.regexp_replace(out, r"(?s)/\*.*?\*/", "")
+        out = F.regexp_replace(out, r"([{,]\s*)([A-Za-z_][A-Za-z0-9_]*)(\s*:)", '$1"$2"$3')
+        return out
+
+    keyed = outside_strings(F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\"), fix)
+    # a comma may stand before a comment that is gone now, so trailing commas go last
+    return outside_strings(keyed, lambda x: F.regexp_replace(x, r",(\s*[}\]])", "$1"))
 
 
 def normal_labels(labels: Column, allowed: tuple[str, ...] = LABELS) -> Column:
@@ -108,7 +139,11 @@ def payload_text(texts: pd.Series) -> pd.Series:
     return texts.map(_payload)
 
 
-@F.pandas_udf(StringType())
-def python_json(texts: pd.Series) -> pd.Series:
-    """JSON text with the spacing of Python's writer, non-ASCII kept."""
-    return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), ensure_ascii=False))
+def python_json(indent: int | None = None):
+    """A function of JSON text: the same with the spacing of Python's writer, non-ASCII kept, indented if asked for."""
+
+    @F.pandas_udf(StringType())
+    def write(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), ensure_ascii=False, indent=indent))
+
+    return write

@@ -147,11 +147,28 @@ def phase_checks(phases: Column) -> Column:
 def ability_level(tags: Column, about: Column, intermediate: list[str], advanced: list[str], senior: list[str], novice: list[str]) -> Column:
     """1 to 4 for one ability: from tags (2, 3) and from phrases about oneself (4); at least 2 unless a novice by one's own words."""
     lowered = F.lower(F.coalesce(about, F.lit("")))
-    has = lambda names: F.arrays_overlap(F.transform(tags, F.lower), F.array(*[F.lit(x) for x in names]))
+    has = lambda names: F.coalesce(F.arrays_overlap(F.transform(tags, F.lower), F.array(*[F.lit(x) for x in names])), F.lit(False))
     level = F.greatest(F.lit(1), F.when(has(intermediate), 2), F.when(has(advanced), 3), F.when(contains_any(lowered, senior), 4))
     return F.when(contains_any(lowered, novice), level).otherwise(F.greatest(F.lit(2), level))
 
 
+def ability_levels(tags: Column, about: Column, abilities: list[dict], novice: list[str]) -> Column:
+    """array<int>: a level from 1 to 4 for each of abilities, in order; see ability_level.
+
+    abilities: objects with name, intermediate and advanced (tags) and senior (phrases about oneself), a parameter read from a file of the caller's.
+    """
+    return F.array(*[ability_level(tags, about, a["intermediate"], a["advanced"], a["senior"], novice) for a in abilities])
+
+
+def ability_profile(levels: Column, descriptions: list[tuple[str, list[str]]]) -> Column:
+    """Text with a line for each ability (name, its levels' descriptions from 1 on) of the learner's levels, each held within what is described."""
+    lines = []
+    for i, (name, told) in enumerate(descriptions):
+        level = F.greatest(F.lit(1), F.least(F.lit(len(told)), F.element_at(levels, i + 1)))
+        lines.append(F.concat(F.lit(f"- {name} (level "), level.cast("string"), F.lit(f"/{len(told)}): "), F.element_at(F.array(*[F.lit(t) for t in told]), level)))
+    return F.concat(F.lit("Student ability profile:\n"), F.concat_ws("\n", *lines))
+
+
 def describe_learner(fields: dict[str, Column]) -> Column:
     """Lines "name: value" of the fields that have one."""
     return F.concat_ws("\n", *[F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{k}: "), v)) for k, v in fields.items()])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from planlake.functions.nested import set_jaccard
 from planlake.functions.text import PEDAGOGY, matches, role_family, tokens
 from planlake.operators import plan as P
+from planlake.operators.ordering import ranked, shuffled
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -32,20 +33,52 @@ def same_question_pairs(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 
 def profile_divergence(rows: DataFrame) -> DataFrame:
-    """(question_id, i, j, role, family, tools, subtask, pedagogy, step_diff) from rows of features."""
-    keep = ("roles", "families", "tool_set", "subtask_tokens", "patterns", "steps")
+    """(question_id, i, j, role, family, tools, subtask, pedagogy, step_diff) from rows of features; only the sets and the number of steps go through the join."""
     named = {"role": "roles", "family": "families", "tools": "tool_set", "subtask": "subtask_tokens", "pedagogy": "patterns"}
+    small = rows.withColumn("n_steps", F.size("steps"))
+    pairs = same_question_pairs(small, (*named.values(), "n_steps"))
     out = [set_jaccard(F.col(f"x.{c}"), F.col(f"y.{c}")).alias(n) for n, c in named.items()]
-    return same_question_pairs(rows, keep).select("question_id", "i", "j", *out, F.abs(F.size("x.steps") - F.size("y.steps")).alias("step_diff"))
+    return pairs.select("question_id", "i", "j", *out, F.abs(F.col("x.n_steps") - F.col("y.n_steps")).alias("step_diff"))
+
+
+def group_divergence(pairs: DataFrame, groups: DataFrame, *measures: str) -> DataFrame:
+    """(group, pairs, measures...): the mean of 1 - each measure over rows of profile_divergence, by the group of the question (question_id, group)."""
+    joined = pairs.join(groups.select("question_id", "group"), "question_id", "left").na.fill("UNKNOWN", ["group"])
+    return joined.groupBy("group").agg(F.count("*").alias("pairs"), *[F.avg(1 - F.col(m)).alias(m) for m in measures])
 
 
 def random_pairs(rows: DataFrame, keep: tuple[str, ...], n: int = 2000, seed: int = 42) -> DataFrame:
-    """At most n pairs of plans of different questions: two digest orders of the sampled rows joined on their places."""
-    one = rows.select("question_id", F.struct(*keep).alias("x"), F.xxhash64(F.lit(seed), "question_id", "profile_index").alias("d")).orderBy("d").limit(n)
-    two = rows.select(F.col("question_id").alias("other_id"), F.struct(*keep).alias("y"), F.xxhash64(F.lit(seed + 1), "question_id", "profile_index").alias("e")).orderBy("e").limit(n)
-    left = one.withColumn("place", F.expr("row_number() OVER (ORDER BY d)"))  # n rows at most
+    """n pairs of plans of different questions, or as many as there are by this draw: two shuffled orders joined on their places.
+
+    Half as many again are drawn as are asked for, and a pair of one question is passed over, so that n are left.
+    """
+    key = F.concat_ws("|", F.col("question_id").cast("string"), F.col("profile_index").cast("string"))
+    drawn = n + n // 2 + 16
+    one = rows.select("question_id", F.struct(*keep).alias("x"), shuffled(key, seed).alias("d")).orderBy("d").limit(drawn)
+    two = rows.select(F.col("question_id").alias("other_id"), F.struct(*keep).alias("y"), shuffled(key, seed + 1).alias("e")).orderBy("e").limit(drawn)
+    left = one.withColumn("place", F.expr("row_number() OVER (ORDER BY d)"))  # 1.5 n rows at most
     right = two.withColumn("place", F.expr("row_number() OVER (ORDER BY e)"))
-    return left.join(right, "place").where("question_id <> other_id")
+    return left.join(right, "place").where("question_id <> other_id").orderBy("place").limit(n)
+
+
+def counterfactual_profiles(rows: DataFrame, seed: int = 42, tries: int = 6) -> DataFrame:
+    """(question_id, profile_index, description, skills): for each plan the profile of another, drawn from those with a description or skills.
+
+    rows: question_id, profile_index, learner (struct of description and skills). Up to tries draws are made until one differs from the plan's
+    own profile; the last counts. The pool is numbered in shuffled order and drawn from by number.
+    """
+    key = F.concat_ws("|", F.col("question_id").cast("string"), F.col("profile_index").cast("string"))
+    known = rows.select("question_id", "profile_index", F.col("learner.description").alias("own"), F.col("learner.skills").alias("own_skills"), key.alias("key"))
+    pool = known.where("own <> '' OR size(own_skills) > 0")
+    numbered = ranked(pool, shuffled(F.col("key"), seed), "key").select(F.col("place").alias("number"), F.struct(F.col("own").alias("description"), F.col("own_skills").alias("skills")).alias("profile"))
+    size = pool.count()
+    if not size:
+        return known.select("question_id", "profile_index", F.lit(None).cast("string").alias("description"), F.lit(None).cast("array<string>").alias("skills"))
+    draws = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda t: F.struct(t.alias("try"), (F.pmod(F.xxhash64(F.lit(seed), "key", t), F.lit(size)) + 1).alias("number")))
+    drawn = known.select("question_id", "profile_index", "own", "own_skills", F.explode(draws).alias("draw")).select("*", "draw.try", "draw.number").join(numbered, "number")
+    other = (F.col("profile.description") != F.col("own")) | (F.col("profile.skills") != F.col("own_skills"))
+    best = F.min_by("profile", F.struct(F.when(other, 0).otherwise(1), F.when(other, F.col("try")).otherwise(-F.col("try"))))
+    return drawn.groupBy("question_id", "profile_index").agg(best.alias("p")).select("question_id", "profile_index", "p.description", "p.skills")
 
 
 def profile_sensitivity(rows: DataFrame, n: int = 2000, seed: int = 42) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlake.functions.jsonx import LABELS
 from planlake.functions.nested import ratio, unordered_pairs
 from planlake.functions.normalize import accepted_body, first_accepted, profile_key, profile_of, question_text
+from planlake.operators.ordering import ranked, shuffled
 from planlake.sources.tables import last_of_each, with_position
 
 
@@ -105,18 +106,13 @@ def set_sizes(questions: DataFrame) -> DataFrame:
     return span.join(counts, "size", "left").na.fill(0, ["n"])
 
 
-def shuffled(key: Column, seed: int) -> Column:
-    """A stable order that looks random: a digest of the seed and a key."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
-
-
 def stratified_split(rows: DataFrame, group: str, variant: str, seed: int = 42, share: float = 0.1) -> DataFrame:
     """(group, stratum, split): groups dealt within the stratum of their number of variants; round-half-even(share * n) to test, as many to dev."""
     strata = rows.groupBy(group).agg(F.count_distinct(variant).alias("stratum"))
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy(shuffled(F.col(group), seed), group))
-    n = F.bround(F.count("*").over(Window.partitionBy("stratum")) * F.lit(share))
-    split = F.when(place <= n, "test").when(place <= 2 * n, "dev").otherwise("train")
-    return strata.withColumn("split", split)
+    placed = ranked(strata, shuffled(F.col(group), seed), group, "stratum")
+    n = F.bround(F.col("n") * F.lit(share))
+    split = F.when(F.col("place") <= n, "test").when(F.col("place") <= 2 * n, "dev").otherwise("train")
+    return placed.select(group, "stratum", split.alias("split"))
 
 
 def row_split(rows: DataFrame, key: str, seed: int = 42, share: float = 0.1) -> DataFrame:
@@ -125,6 +121,22 @@ def row_split(rows: DataFrame, key: str, seed: int = 42, share: float = 0.1) ->
     return rows.withColumn("split", F.when(u < share, "test").otherwise("train"))
 
 
+def sized_row_split(rows: DataFrame, key: str, seed: int = 42, share: float = 0.1) -> DataFrame:
+    """rows with split: exactly max(1, round-half-even(share * n)) of them, first in shuffled order, are valid and the rest train."""
+    placed = ranked(rows, shuffled(F.col(key), seed), key)
+    first = F.col("place") <= F.greatest(F.lit(1.0), F.bround(F.col("n") * F.lit(share)))
+    return placed.select(*rows.columns, F.when(first, "valid").otherwise("train").alias("split"))
+
+
+def leakage(rows: DataFrame, group: str = "question_id") -> DataFrame:
+    """(n_train, n_valid, train_groups, valid_groups, leaking, leaking_share) of rows with split: groups that stand on both sides, over the valid ones."""
+    side = lambda s: F.col("split") == s
+    groups = rows.groupBy(group).agg(F.count_if(side("train")).alias("t"), F.count_if(side("valid")).alias("v"))
+    leaking = F.count_if((F.col("t") > 0) & (F.col("v") > 0))
+    sums = groups.agg(F.sum("t").alias("n_train"), F.sum("v").alias("n_valid"), F.count_if(F.col("t") > 0).alias("train_groups"), F.count_if(F.col("v") > 0).alias("valid_groups"), leaking.alias("leaking"))
+    return sums.withColumn("leaking_share", ratio(F.col("leaking"), F.greatest(F.col("valid_groups"), F.lit(1))))
+
+
 def overlapping(rows: DataFrame, key: str = "question_id") -> DataFrame:
     """Keys that stand in more than one split."""
     return rows.groupBy(key).agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
@@ -132,14 +144,48 @@ def overlapping(rows: DataFrame, key: str = "question_id") -> DataFrame:
 
 def assigned(records: DataFrame, splits: DataFrame, strict: bool = True) -> DataFrame:
     """records with their split; strict raises on records without one, else they are left out."""
+    known = splits.select("question_id", "split")
     if strict:
-        missing = records.join(splits, "question_id", "left_anti").limit(1).count()
-        if missing:
-            raise ValueError("records without a split")
-    return records.join(splits.select("question_id", "split"), "question_id")
+        fail = F.raise_error(F.concat(F.lit("record without a split: "), F.col("question_id").cast("string"))).cast("string")
+        return records.join(known, "question_id", "left").withColumn("split", F.coalesce("split", fail))
+    return records.join(known, "question_id")
+
+
+def orphans(records: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records without a split, ids of splits without a record)."""
+    return records.join(splits, "question_id", "left_anti"), splits.select("question_id").distinct().join(records, "question_id", "left_anti")
+
+
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """rows by question_id as text, then profile_index as a number."""
+    return rows.orderBy(F.col("question_id").cast("string"), F.col("profile_index").cast("int"))
 
 
 def split_report(rows: DataFrame) -> DataFrame:
     """(split, n_rows, n_groups, n_two, n_three): rows (question_id, profile_index, split) and groups with two and three variants or more."""
     groups = rows.groupBy("split", "question_id").agg(F.count("*").alias("n"), F.count_distinct("profile_index").alias("variants"))
     return groups.groupBy("split").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), F.count_if(F.col("variants") >= 2).alias("n_two"), F.count_if(F.col("variants") >= 3).alias("n_three"))
+
+
+def split_distributions(rows: DataFrame) -> DataFrame:
+    """(split, kind, value, n): groups by number of variants, rows by profile_index, and rows whose question stands in another split as well; split all is over all."""
+    groups = rows.groupBy("question_id").agg(F.count_distinct("profile_index").alias("variants"), F.array_sort(F.collect_set("split")).alias("splits"))
+    spread = lambda splits: F.explode(F.concat(splits, F.array(F.lit("all")))).alias("split")
+    of_groups = groups.select(spread(F.col("splits")), F.lit("variants").alias("kind"), F.col("variants").cast("long").alias("value"))
+    of_rows = rows.select(spread(F.array("split")), F.lit("profile_index").alias("kind"), F.col("profile_index").cast("long").alias("value"))
+    leaking = rows.join(groups.where(F.size("splits") > 1).select("question_id"), "question_id", "left_semi").select("split", F.lit("leaking").alias("kind"), F.lit(None).cast("long").alias("value"))
+    return of_groups.union(of_rows).union(leaking).groupBy("split", "kind", "value").agg(F.count("*").alias("n"))
+
+
+def profile_counts(records: DataFrame) -> DataFrame:
+    """One row: questions, profiles, answers that are there, and the mean, least and most profiles of a question."""
+    n = F.size("profiles_answers").cast("long")
+    answered = F.size(F.filter("profiles_answers", lambda x: x["answer"].isNotNull())).cast("long")
+    sums = records.agg(F.count("*").alias("questions"), F.sum(n).alias("profiles"), F.sum(answered).alias("answers"), F.min(n).alias("least"), F.max(n).alias("most"))
+    return sums.withColumn("mean", ratio(F.col("profiles"), F.col("questions")))
+
+
+def selected(scores: DataFrame, dimensions: tuple[str, ...], total: int = 10) -> DataFrame:
+    """Rows whose dimensions add up to total or more, none of them being 1."""
+    summed = sum((F.col(d) for d in dimensions[1:]), F.col(dimensions[0]))
+    return scores.where((summed >= total) & (F.least(*dimensions) > 1))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from planlake import schemas
 from planlake.functions.nested import all_in, arrayed, let, multiset_jaccard, ratio, repeats, same_set, set_jaccard
 from planlake.functions.normalize import filled
-from planlake.functions.text import PEDAGOGY, matches, pedagogy_flags, skeleton_flags, strip
+from planlake.functions.text import PEDAGOGY, SECOND_PERSON, anchor_count, hit_ratio, matches, pedagogy_flags, skeleton_flags, strip, tokens
 
 STRINGS = "array<string>"
 
@@ -257,6 +257,32 @@ def pedagogy(rows: DataFrame) -> DataFrame:
     return rows.withColumn("diversity", sum((F.col(k).cast("int") for k in list(flags)[1:]), F.col(next(iter(flags))).cast("int")))
 
 
+def personalization(rows: DataFrame, description: Column, skills: Column) -> DataFrame:
+    """rows of components with the signals of a learner (description, skills) in a plan.
+
+    second_person: the share of steps whose instruction speaks to the learner; n_anchors: bridging phrases; skill_share and token_share: of the
+    skills, and of the description's words of four letters and more, how many the plan mentions, null where there are none.
+    """
+    body = F.lower(full_text(F.col("agents"), F.col("subtasks")))
+    spoken = F.size(F.filter("steps", lambda s: matches(F.coalesce(s["instruction"], F.lit("")), SECOND_PERSON)))
+    words = F.filter(tokens(F.coalesce(description, F.lit(""))), lambda w: F.length(w) >= 4)
+    return rows.withColumn("__body", body).withColumns(
+        {
+            "second_person": ratio(spoken, F.size("steps")),
+            "n_anchors": anchor_count(F.col("__body")),
+            "skill_share": hit_ratio(arrayed(skills), F.col("__body")),
+            "token_share": hit_ratio(words, F.col("__body")),
+        }
+    ).drop("__body")
+
+
+def personalization_summary(rows: DataFrame) -> DataFrame:
+    """One row: means over rows of personalization, those of shares over the plans that have one, and plans that mention a skill."""
+    return rows.agg(
+        *[F.coalesce(F.avg(k), F.lit(0.0)).alias(f"mean_{k}") for k in ("second_person", "n_anchors", "skill_share", "token_share")], F.count_if(F.col("skill_share") > 0).alias("n_with_skill")
+    )
+
+
 def similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Mean of five likenesses: roles as a bag; subtask names, step ids, edges and tools as sets. Keys: roles, names, step_ids, edges, step_tools."""
     parts = [multiset_jaccard(a["roles"], b["roles"]), *[set_jaccard(a[k], b[k]) for k in ("names", "step_ids", "edges", "step_tools")]]

@@ -118,12 +118,31 @@ def score(rows: DataFrame, config: RewardConfig | None = None, precedence: Colum
 
 
 def group_zscore(value: Column, *group: str, least: float = 1e-6) -> Column:
-    """Deviation from the group's mean in population deviations; 0 where there is next to none."""
+    """Deviation from the group's mean in population deviations; 0 where there is next to none. For groups that fit a task."""
     w = Window.partitionBy(*group)
     sd = F.stddev_pop(value).over(w)
     return F.when(sd > least, (value - F.avg(value).over(w)) / sd).otherwise(0.0)
 
 
+def with_group_zscore(rows: DataFrame, value: str, *group: str, least: float = 1e-6) -> DataFrame:
+    """rows with z: the deviation of value from its group's mean in population deviations, 0 where there is next to none.
+
+    Means are pre-aggregated and joined back, so that a hot group's rows stay where they are.
+    """
+    means = rows.groupBy(*group).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__sd"))
+    of = means.select(*[F.col(c).alias(f"__of_{c}") for c in group], "__mean", "__sd")
+    same = F.lit(True)
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    z = F.when(F.col("__sd") > least, (F.col(value) - F.col("__mean")) / F.col("__sd")).otherwise(0.0)
+    return rows.join(of, same).select(*rows.columns, z.alias("z"))
+
+
+def batch_means(rows: DataFrame, *components: str) -> DataFrame:
+    """One row: the mean of each reward component over the batch, 0 for a batch without rows."""
+    return rows.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in components])
+
+
 def moving_average(values: Column, decay: float) -> Column:
     """Exponential moving average over an ordered array, starting at its first value."""
     return F.aggregate(values, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(decay * a + (1 - decay) * x))
@@ -134,3 +153,19 @@ def reweighted(weights: list[Column], gains: list[Column], rate: float, low: flo
     raised = [F.greatest(F.lit(low), F.least(F.lit(high), w * F.exp(rate * g))) for w, g in zip(weights, gains, strict=True)]
     total = sum(raised[1:], raised[0])
     return [r / total for r in raised]
+
+
+def update_due(step: Column, warmup: int, every: int) -> Column:
+    """Whether weights are to be updated: past the warm-up, at every so many steps."""
+    return (step > warmup) & (step % every == 0)
+
+
+def reward_values(spark, completions: list[str], config: RewardConfig | None = None, **columns: list) -> list[float]:
+    """The rewards of a batch of completions, in their order; a shorter side column is filled up with nulls."""
+    from itertools import zip_longest
+
+    names = ("gold_plan", "learner_profile", "cf_plan")
+    side = list(zip_longest(*[columns.get(n, []) for n in names]))[: len(completions)]
+    side += [(None,) * len(names)] * (len(completions) - len(side))
+    rows = spark.createDataFrame([(i, c, *s) for i, (c, s) in enumerate(zip(completions, side, strict=True))], "place int, completion string, " + ", ".join(f"{n} string" for n in names))
+    return [r["reward"] for r in score(rows, config).select("place", "reward").orderBy("place").collect()]

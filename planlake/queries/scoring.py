@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planlake.operators.rewards import RewardConfig, compose, group_zscore
+from planlake.operators.rewards import RewardConfig, compose, with_group_zscore
 from planlake.queries.registry import catalogue
 
 query, QUERIES, SQL = catalogue()
@@ -13,7 +13,7 @@ query, QUERIES, SQL = catalogue()
 @query("""WITH s AS (SELECT event_id, user_id, value, avg(value) OVER w AS m, stddev_pop(value) OVER w AS d FROM events WINDOW w AS (PARTITION BY user_id))
 SELECT event_id, round(CASE WHEN d > 1e-6 THEN (value - m) / d ELSE 0 END, 6) AS z FROM s""")
 def q44_group_zscore(t):
-    return t.events.select("event_id", F.round(group_zscore(F.col("value"), "user_id"), 6).alias("z"))
+    return with_group_zscore(t.events.select("event_id", "user_id", "value"), "value", "user_id").select("event_id", F.round("z", 6).alias("z"))
 
 
 @query("""WITH u AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') / count(*) AS s, count(*) FILTER (event_type = 'click') / count(*) AS p, count(*) FILTER (event_type = 'view') / count(*) AS q,

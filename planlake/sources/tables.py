@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,7 +90,8 @@ def split_files(spark: SparkSession, paths: dict[str, str], schema: str) -> Data
 
 def counterfactuals(spark: SparkSession, path: str) -> DataFrame:
     """(question_id, profile_index, description, skills, cf_plan as JSON text), whether the plan was an object or text."""
-    return jsonl(spark, path, "question_id string, profile_index int, cf_profile_self_description string, cf_profile_skills array<string>, cf_plan string")
+    told = jsonl(spark, path, "question_id string, profile_index int, cf_profile_self_description string, cf_profile_skills array<string>, cf_plan string")
+    return told.withColumns({"description": F.col("cf_profile_self_description"), "skills": F.col("cf_profile_skills")}).drop("cf_profile_self_description", "cf_profile_skills")
 
 
 def scalar_params(text: str) -> dict[str, object]:
@@ -126,12 +129,20 @@ def renumbered(text: str, numbers: dict[int, int]) -> str:
     return text.replace("\0", "")
 
 
-def write_jsonl(rows: DataFrame, path: str, by: str | None = None) -> None:
-    """One object a line, nulls kept, non-ASCII as it is; by names a column to partition the folder by."""
-    writer = rows.write.mode("overwrite").option("ignoreNullFields", "false")
+def write_jsonl(rows: DataFrame, path: str, by: str | None = None, mode: str = "overwrite") -> None:
+    """One object a line, nulls kept, non-ASCII as it is; by names a column to partition the folder by; mode append adds files."""
+    writer = rows.write.mode(mode).option("ignoreNullFields", "false")
     (writer.partitionBy(by) if by else writer).json(path)
 
 
+def append_results(results: DataFrame, failures: DataFrame, path: str, native: DataFrame | None = None) -> None:
+    """Adds to the folders plans, failures and native under path; a task that is repeated adds nothing twice, as Spark commits files whole."""
+    write_jsonl(results, f"{path}/plans", mode="append")
+    write_jsonl(failures, f"{path}/failures", mode="append")
+    if native is not None:
+        write_jsonl(native, f"{path}/native", mode="append")
+
+
 def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
@@ -141,8 +152,22 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def stats_document(row: DataFrame) -> str:
-    """The single row of row as indented JSON."""
-    return json.dumps(json.loads(row.select(F.to_json(F.struct("*"))).first()[0]), indent=2, ensure_ascii=False)
+    """The single row of row as indented JSON; numbers that are none are null."""
+
+    def plain(x):
+        if isinstance(x, dict):
+            return {str(k): plain(v) for k, v in x.items()}
+        if isinstance(x, list | tuple):
+            return [plain(v) for v in x]
+        return None if isinstance(x, float) and not math.isfinite(x) else x if isinstance(x, int | float | str | bool | None) else str(x)
+
+    return json.dumps(plain(row.first().asDict(recursive=True)), indent=2, ensure_ascii=False)
+
+
+def metadata_record(spark: SparkSession, path: str, params: dict[str, object], **more: object) -> str:
+    """JSON that describes a run: its parameters, and length and SHA-256 of each file of path, by name."""
+    files = [{"name": r["path"].rsplit("/", 1)[-1], "length": r["length"], "sha256": r["sha256"]} for r in file_digests(spark, path).orderBy("path").collect()]
+    return json.dumps({"params": params, "files": files, **more}, indent=2, ensure_ascii=False, sort_keys=True)
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -162,8 +187,13 @@ def last_of_each(rows: DataFrame, key: str, position: str) -> DataFrame:
 
 
 def with_position(rows: DataFrame) -> DataFrame:
-    """Rows with their order in the scan."""
-    return rows.withColumn("position", F.monotonically_increasing_id())
+    """Rows with their order in the scan: by file name, then place in the file where rows are read from files, else as Spark numbers them."""
+    number = F.monotonically_increasing_id()
+    try:
+        place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), number.alias("row"))
+        return rows.withColumn("position", place)
+    except AnalysisException:  # not a file source
+        return rows.withColumn("position", F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), number.alias("row")))
 
 
 def batches(rows: DataFrame, size: int, order: str) -> DataFrame:
