@@ -22,9 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planlake.llm.common import columns_of, joinable, spare
+
 GRAM = 3
 RARE_FACTOR = 4
 BLOCK_WORDS = 1_000_000
@@ -35,8 +37,9 @@ THRESHOLD = 0.6
 _PUNCTUATION = b".,;:!?\"'()[]"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _NAMES = ["doc_id", "item_id", "score", "first_word", "end_word", "n_seeds"]
+_TAGGED = ["doc_id", "text_tag", *_NAMES[2:]]
 _TYPES = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-_SCHEMA = "doc_id long, item_id long, score double, first_word long, end_word long, n_seeds long"
+_SCHEMA = "doc_id long, text_tag long, score double, first_word long, end_word long, n_seeds long"
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -165,32 +168,36 @@ def aligned(words: np.ndarray, seeds: Seeds, threshold: float = THRESHOLD) -> li
     return out
 
 
-def _matches(seeds: Seeds, item_ids: list, threshold: float):
+def _matches(seeds: Seeds, tags: list, threshold: float):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [
-                (doc_id, item_ids[i], score, first, end, n)
+                (doc_id, tags[i], score, first, end, n)
                 for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)
                 for i, score, first, end, n in aligned(word_hashes(text), seeds, threshold)
                 if score >= threshold
             ]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _TAGGED)
 
     return match
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, score, first_word, end_word, n_seeds) of each document and item whose alignment reaches threshold."""
+    """(doc_id, item_id, score, first_word, end_word, n_seeds) of each document and item whose alignment reaches threshold.
+
+    Each text of the benchmark is counted and aligned once, however many items hold it, and its items are joined to what it finds.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n_words = items.agg(F.sum(F.size(F.split("text", "\\s+")))).first()[0] or 0
+    texts = items.select("text").distinct()
+    n_words = texts.agg(F.sum(F.size(F.split("text", "\\s+")))).first()[0] or 0
     blocks = max(1, -(-n_words // BLOCK_WORDS))
     found = spark.createDataFrame([], _SCHEMA)
     for k in range(blocks):
         # a block holds about BLOCK_WORDS words, whatever the benchmark's size
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
+        block = texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).select(_tag().alias("tag"), "text").orderBy("text").collect()
         hashed = [word_hashes(r["text"]) for r in block]
         every = Seeds(hashed)
         counted = rows.select("text").mapInPandas(_frequencies(every), "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).collect()
@@ -198,8 +205,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
         for r in counted:
             n_docs[r["row"]] = r["n"]
         seeds = Seeds(hashed, rare(every, n_docs))
-        found = found.union(rows.mapInArrow(_matches(seeds, [r["item_id"] for r in block], threshold), _SCHEMA))
-    return found
+        found = found.union(rows.mapInArrow(_matches(seeds, [r["tag"] for r in block], threshold), _SCHEMA))
+    named = joinable(items.select("item_id", _tag().alias("of_text")), "benchmark-items")
+    return found.join(named, F.col("text_tag") == F.col("of_text")).select(*_NAMES)
+
+
+def _tag() -> Column:
+    return F.xxhash64("text")
 
 
 def op10_rare_seed_alignment(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -207,10 +219,15 @@ def op10_rare_seed_alignment(docs: DataFrame, benchmark: DataFrame) -> DataFrame
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, keep_unnamed: bool = True) -> DataFrame:
-    """The rows of docs in which no item is found, each judged by its own text; keep_unnamed: rows without doc_id stay in any case."""
-    tagged = docs.withColumn("__tag", F.xxhash64(F.coalesce("text", F.lit(""))))
-    hit = leaks(tagged.select(F.col("__tag").alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("leaked")).distinct()
-    same = tagged["__tag"] == hit["leaked"]
+    """The rows of docs in which no item is found, each judged by its own text; keep_unnamed: rows without doc_id stay in any case.
+
+    docs' columns come out as they are, whatever their names; null and empty texts hold no item; an empty benchmark drops nothing.
+    """
+    tag = spare(docs, "of_text")
+    tagged = docs.withColumn(tag, F.xxhash64(F.coalesce("text", F.lit(""))))
+    hit = leaks(tagged.select(F.col(tag).alias("doc_id"), "text"), benchmark, threshold).select(F.struct("doc_id").alias(spare(docs, "leaked"))).distinct()
+    hit = joinable(hit, "leaked-texts")
+    same = F.col(tag) == F.col(hit.columns[0])["doc_id"]
     if keep_unnamed:
-        same = same & tagged["doc_id"].isNotNull()
-    return tagged.join(hit, same, "left_anti").select(docs.columns)
+        same = same & F.col("doc_id").isNotNull()
+    return tagged.join(hit, same, "left_anti").select(*columns_of(docs))

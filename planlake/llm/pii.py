@@ -1,11 +1,12 @@
 """Personal data by regular expressions, checksum validators and context words, in DataFrame functions only.
 
-Each kind's pattern proposes spans, a validator confirms them, and words in the characters before a span raise its score
-over the kind's own. Spans of the base kinds stay whatever their score; spans of the further kinds
-stay from ``MIN_SCORE`` on. Positions are code points, ends exclusive.
+Each kind's pattern proposes spans, a validator confirms them, and words within ``CONTEXT_CHARS`` characters of a span move its score from the kind's
+own: the kind's context words raise it, words such as "example" lower it. Spans of the base kinds stay whatever their score; spans of
+the further kinds, secrets among them, stay from ``MIN_SCORE`` on, so that digits that could be anything count only where
+the words about them say so. Positions are code points, ends exclusive.
 
 The patterns find what the plain ones do (leftmost, non-overlapping), but never re-scan a run of characters: starts inside a run are
-barred by look-behinds, loops are possessive, and digit runs are counted inside the pattern. Time is linear in the text, and long
+barred by look-behinds, loops are possessive or bounded, and digit runs are counted inside the pattern. Time is linear in the text, and long
 runs do not deepen the matcher's stack.
 
 Edge cases: null text is empty; a text without spans has zero counts and empty lists; a null doc_id and repeated rows
@@ -28,8 +29,8 @@ CONTEXT_BONUS = 0.3
 class Kind:
     name: str
     pattern: str
-    #: A cheap condition that every text with a match meets.
-    gate: str
+    #: A cheap condition that every text with a match meets: a pattern, or strings of which the text holds one.
+    gate: str | tuple[str, ...]
     score: float
     context: str
 
@@ -42,10 +43,10 @@ PHONE = "\\+[0-9][ ().0-9-]+[0-9]"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 BASE = (
-    Kind("email", EMAIL, "@", 0.9, "mail|e-mail|contact|write"),
+    Kind("email", EMAIL, ("@",), 0.9, "mail|e-mail|contact|write"),
     Kind("ip", IP, "[0-9]\\.[0-9]++\\.[0-9]++\\.[0-9]", 0.6, "ip|host|server|address"),
     Kind("card", CARD, CARD, 0.8, "card|visa|credit|debit|payment"),
-    Kind("phone", PHONE, "\\+[0-9]", 0.7, "phone|tel|call|mobile|fax"),
+    Kind("phone", PHONE, ("+",), 0.7, "phone|tel|call|mobile|fax"),
 )
 #: Countries by the length of their IBANs. A run of capitals and digits over blanks is cut at its country's length, so that words after it don't count.
 IBAN_COUNTRIES = {
@@ -70,11 +71,24 @@ IBAN_COUNTRIES = {
 }
 IBAN = "\\b(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}+(?![A-Za-z0-9])" for n, c in IBAN_COUNTRIES.items()) + ")"
 
+_HEX, _SECRET_NAME = "(?<![A-Za-z0-9])[0-9a-f]{32}(?:[0-9a-f]{8})?(?![A-Za-z0-9])", "(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|auth[_-]?token|client[_-]?secret)"
+
 FURTHER = (
     Kind("iban", IBAN, "\\b[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank"),
-    Kind("mac", "(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])", "[0-9A-Fa-f]:[0-9A-Fa-f]{2}:", 0.6, "mac|device|address"),
-    Kind("ssn", "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]{2}-[0-9]", 0.3, "ssn|social|security"),
+    Kind("mac", "(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])", (":",), 0.6, "mac|device|address"),
+    Kind("ssn", "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ("-",), 0.3, "ssn|social|security"),
+    Kind("birth", "(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])", ("-",), 0.25, "born|birth|birthday|dob"),
+    Kind("passport", "(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9])", "[A-Z][0-9]{6}", 0.25, "passport|passeport|reisepass|pasaporte"),
+    Kind("account", "(?<![0-9.-])[0-9]{8,12}(?![0-9.-])", "[0-9]{8}", 0.2, "account|konto|compte|cuenta"),
+    Kind("aws_key", "(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", ("AKIA", "ASIA"), 0.9, "aws|key|access"),
+    Kind("assigned_secret", "(?i)(?<![A-Za-z])" + _SECRET_NAME + "[\"']?[ ]?[:=][ ]?[\"']?[A-Za-z0-9+/_.~!@#$%^&*-]{8,}+", ("=", ":"), 0.8, "login|credential|credentials|config"),
+    Kind("hex_secret", _HEX, "[0-9a-f]{32}", 0.3, "token|secret|key|password|hash"),
+    Kind("service_token", "(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", ("gh", "xox", "sk_live_"), 0.9, "token|key"),
+    Kind("jwt", "(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\\.eyJ[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+", ("eyJ",), 0.9, "token|bearer|jwt"),
+    Kind("private_key", "-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", ("PRIVATE KEY",), 1.0, "key"),
 )
+#: Words that make a span an illustration rather than data, and what they take from its score.
+ILLUSTRATION, ILLUSTRATION_MALUS = "example|sample|dummy|placeholder|beispiel|exemple|ejemplo", 0.3
 
 
 def _luhn(match: Column) -> Column:
@@ -110,39 +124,54 @@ def _valid(kind: str, match: Column) -> Column:
         return F.length(F.regexp_replace(match, "[^0-9]", "")).between(9, 15)
     if kind == "iban":
         return _mod97(match)
+    if kind == "birth":
+        return F.try_to_date(match).isNotNull()
+    if kind == "assigned_secret":  # a value that mixes letters and digits, not a word
+        value = F.regexp_extract(match, "[A-Za-z0-9+/_.~!@#$%^&*-]++$", 0)
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    if kind == "hex_secret":
+        return match.rlike("[a-f]") & match.rlike("[0-9]")
     return F.lit(True)
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
+_MATCH = "array<struct<start:int,match:string,near:string>>"
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, match, before>> of a pattern's matches: code points from 0, and the segment before each match."""
+    """array<struct<start, match, near>> of a pattern's matches: code points from 0, and the characters about each, as far as the matches beside it."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    acc = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string,before:string>>").alias("out"))
-    return F.aggregate(
-        F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("before"), found.alias("match")),
-        acc,
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["before"]) + F.length(x["match"])).alias("at"),
-            F.array_append(a["out"], F.struct((a["at"] + F.length(x["before"])).alias("start"), x["match"].alias("match"), x["before"].alias("before"))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    n = F.size(found)
+    acc = F.struct(F.lit(0).alias("at"), F.array().cast(_MATCH).alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + F.length(x["before"])
+        near = F.concat(F.substring(x["before"], -CONTEXT_CHARS, CONTEXT_CHARS), F.lit(" "), F.substring(x["after"], 1, CONTEXT_CHARS))
+        return F.struct((start + F.length(x["match"])).alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), x["match"].alias("match"), near.alias("near"))).alias("out"))
+
+    zipped = F.arrays_zip(F.slice(between, F.lit(1), n).alias("before"), found.alias("match"), F.slice(between, F.lit(2), n).alias("after"))
+    return F.aggregate(zipped, acc, step, lambda a: a["out"])
 
 
 def _kind_spans(text: Column, kind: Kind, required: bool) -> Column:
     def span(m: Column) -> Column:
-        near = F.substring(m["before"], -CONTEXT_CHARS, CONTEXT_CHARS)
-        bonus = F.when(near.rlike(f"(?i)\\b(?:{kind.context})\\b"), CONTEXT_BONUS).otherwise(0.0)
-        return F.struct(
-            F.lit(kind.name).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["match"])).alias("end"), F.least(F.lit(1.0), F.lit(kind.score) + bonus).alias("score")
-        )
+        end = m["start"] + F.length(m["match"])
+        bonus = F.when(m["near"].rlike(f"(?i)\\b(?:{kind.context})\\b"), CONTEXT_BONUS).otherwise(0.0)
+        malus = F.when(m["near"].rlike(f"(?i)\\b(?:{ILLUSTRATION})\\b"), ILLUSTRATION_MALUS).otherwise(0.0)
+        score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(kind.score) + bonus - malus)), 2)
+        return F.struct(F.lit(kind.name).alias("kind"), m["start"].alias("start"), end.alias("end"), score.alias("score"))
 
     found = F.transform(F.filter(matches(text, kind.pattern), lambda m: _valid(kind.name, m["match"])), span)
     if not required:
         found = F.filter(found, lambda s: s["score"] >= MIN_SCORE)
-    gated = F.contains(text, F.lit("@")) if kind.gate == "@" else text.rlike(kind.gate)
+    if isinstance(kind.gate, str):
+        gated = text.rlike(kind.gate)
+    else:
+        gated = F.contains(text, F.lit(kind.gate[0]))
+        for g in kind.gate[1:]:
+            gated = gated | F.contains(text, F.lit(g))
     return F.when(gated, found.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
@@ -153,17 +182,22 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *base, F.concat(*[_kind_spans(text, k, False) for k in FURTHER]).alias("further"))
 
 
-def _joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+def _joined(spans: Column, *fields: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", *[s[f].cast("string") for f in ("kind", "start", "end", *fields)])), ",")
 
 
 def op9_pii_spans(docs: DataFrame) -> DataFrame:
+    """The counts and digest of the base kinds, all spans, the same with their scores, the highest of these, and the number of secrets."""
     names = [k.name for k in BASE]
-    base = F.concat(*names)
-    spans = personal_data(docs)
-    return spans.select(
+    secrets = ("aws_key", "assigned_secret", "hex_secret", "service_token", "jwt", "private_key")
+    found = personal_data(docs).withColumn("base", F.concat(*names))
+    found = found.withColumn("all", F.concat("base", "further"))
+    return found.select(
         "doc_id",
         *[F.size(n).cast("long").alias(f"n_{n}") for n in names],
-        F.sha2(_joined(base), 256).alias("base_sha256"),
-        _joined(F.concat(base, F.col("further"))).alias("spans"),
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        _joined(F.col("all")).alias("spans"),
+        _joined(F.col("all"), "score").alias("scored_spans"),
+        F.coalesce(F.array_max(F.transform("all", lambda s: s["score"])), F.lit(0.0)).alias("score"),
+        F.size(F.filter("further", lambda s: s["kind"].isin(*secrets))).cast("long").alias("n_secret"),
     )

@@ -8,7 +8,8 @@ The rows learnt from are at most ``MAX_TRAINING_ROWS`` labelled ones, those of l
 stream through one task in digest order, once for each epoch, and are never all in memory. Every document is scored whole.
 
 Edge cases: null and empty texts score by the bias alone; rows without label only get scores; a document with several labels counts as
-toxic if one says so; labels without a document count for nothing; without any training row, every score is 0.
+toxic if one says so; labels without a document count for nothing; without any training row, every score is 0; other columns
+stay as they are, one named toxicity as well.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planlake.llm.common import columns_of, spare
+
 BITS = 20
 MAX_TRAINING_ROWS = 20_000
 EPOCHS = 2
@@ -118,9 +121,9 @@ def scores(text: Column, model: tuple[np.ndarray, np.ndarray]) -> Column:
     return score(text)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs with a column toxicity."""
-    return docs.withColumn("toxicity", scores(F.col("text"), train(docs, labels, **options)))
+def score_documents(docs: DataFrame, labels: DataFrame, name: str = "toxicity", **options) -> DataFrame:
+    """docs with one more column, named name, or with underscores before that if docs has such a column."""
+    return docs.select(*columns_of(docs), scores(F.col("text"), train(docs, labels, **options)).alias(spare(docs, name)))
 
 
 def op6_toxicity_ftrl(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Plain versions of the operators, row by row and pair by pair, for small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -76,6 +77,16 @@ def licenses(text):
     return len(words), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in hits}))
 
 
+def detections(text, rules):
+    """(start, end, label) of the rules' matches that stay: every rule on every text, every match held against every other."""
+    found = [(m.start(), m.end(), i) for i, r in enumerate(rules) for m in re.finditer(r.pattern, text or "", re.ASCII)]
+
+    def goes(s):
+        return any(t[0] <= s[0] and s[1] <= t[1] and (t[:2] != s[:2] or t[2] < s[2]) for t in found)
+
+    return sorted((a, b, rules[i].label) for a, b, i in found if not goes((a, b, i)))
+
+
 def luhn(digits):
     return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
@@ -119,3 +130,69 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
             open_.discard(s)
         left = share * sum(sizes.values()) - sum(out.values())
     return out
+
+
+def features(text):
+    """The set of hashed words, pairs and pairs that skip a word, and the bias 0, by whole numbers."""
+    mask = (1 << 64) - 1
+    word, pair, skip = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+    words = (text or "").lower().encode().translate(None, b".,;:!?\"'()[]").split()
+    h = [zlib.crc32(w) + 1 for w in words]
+    mixed = [x * word & mask for x in h]
+    mixed += [(a * word + b) * pair & mask for a, b in zip(h, h[1:], strict=False)] + [(a * word + b) * skip & mask for a, b in zip(h, h[2:], strict=False)]
+    return {max(1, ((m ^ (m >> 29)) * word & mask) >> 44) for m in mixed} | {0}
+
+
+def ftrl(rows, alpha, beta, l1, l2):
+    """{feature: weight} of rows (features, label) learnt one by one, each coordinate in its own dictionary entry."""
+    z, n = {}, {}
+
+    def weight(f):
+        x = z.get(f, 0.0)
+        return 0.0 if abs(x) <= l1 else -(x - math.copysign(l1, x)) / ((beta + math.sqrt(n.get(f, 0.0))) / alpha + l2)
+
+    for at, label in rows:
+        w = {f: weight(f) for f in at}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for f in at:
+            before = n.get(f, 0.0)
+            n[f] = before + g * g
+            z[f] = z.get(f, 0.0) + g - (math.sqrt(n[f]) - math.sqrt(before)) / alpha * w[f]
+    return {f: weight(f) for f in z if weight(f)}
+
+
+def local_alignment(item, words, match, mismatch, gap):
+    """The best Smith-Waterman score of two lists of words, over the item's length."""
+    row, best = [0.0] * (len(words) + 1), 0.0
+    for a in item:
+        new = [0.0]
+        for j, b in enumerate(words):
+            new.append(max(0.0, row[j] + (match if a == b else mismatch), row[j + 1] + gap, new[j] + gap))
+        row, best = new, max(best, *new)
+    return best / (match * len(item)) if item else 0.0
+
+
+def plain_words(text):
+    return (text or "").lower().translate(str.maketrans("", "", ".,;:!?\"'()[]")).split()
+
+
+def leaked(docs, items, width, rare, threshold, points):
+    """{(doc_id, item_id): score} of (doc_id, text) and (item_id, text): whole texts aligned wherever an item's rare gram stands in a document."""
+    def grams(words):
+        return [tuple(words[i : i + min(width, len(words))]) for i in range(max(1, len(words) - width + 1))] if words else []
+
+    texts = [(i, plain_words(t)) for i, t in docs]
+    held = [{g[i : i + n] for g in [tuple(w)] for n in range(1, width + 1) for i in range(len(g) - n + 1)} for _, w in texts]
+    out = {}
+    for item_id, t in items:
+        item = plain_words(t)
+        counts = {g: sum(g in h for h in held) for g in grams(item)}
+        if not counts:
+            continue
+        each = sorted(counts[g] for g in grams(item))
+        median = (each[(len(each) - 1) // 2] + each[len(each) // 2]) / 2
+        seeds = {g for g, n in counts.items() if n <= rare * max(1.0, median)}
+        for (doc_id, words), h in zip(texts, held, strict=True):
+            if seeds & h and (score := local_alignment(item, words, *points)) >= threshold:
+                out[doc_id, item_id] = score
+    return out

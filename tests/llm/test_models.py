@@ -9,6 +9,7 @@ import pytest
 import corpus_pipeline
 from planlake.llm import ann, components, decontam, preference, toxicity
 from planlake.llm.common import table
+from tests.llm import brute
 
 
 def nearest(ids, vectors, k=5):
@@ -228,17 +229,113 @@ def test_leaks_in_blocks(spark, sf, monkeypatch):
     assert decontam.leaks(docs.where("false"), bench).count() == decontam.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_leaks_equal_whole_alignments(spark, sf):
+    """The whole query against every item aligned with every whole text that holds one of its rare grams."""
+    docs = table(spark, sf, "documents").where("length(text) < 2500").select("doc_id", "text")
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    known = [r.text for r in items.collect()]
+    rng = random.Random(6)
+    edited = []
+    for k, t in enumerate(known[:12]):
+        words = t.split(" ")
+        for _ in range(len(words) // (3 + k % 5)):
+            i = rng.randrange(len(words))
+            words[i : i + 1] = rng.choice([[], ["inserted", words[i]], ["changed"]])
+        edited.append((10_000 + k, "before " * k + " ".join(words) + " after" * k))
+    docs = docs.union(spark.createDataFrame([*edited, (None, known[0]), (20_000, None), (20_001, "")], "doc_id long, text string"))
+    items = items.union(spark.createDataFrame([(900, known[3]), (901, "two words"), (902, None), (903, "")], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.op10_rare_seed_alignment(docs, items).collect()}
+    pairs = lambda df: [tuple(r) for r in df.collect()]
+    want = brute.leaked(pairs(docs), pairs(items), decontam.GRAM, decontam.RARE_FACTOR, decontam.THRESHOLD, (decontam.MATCH, decontam.MISMATCH, decontam.GAP))
+    assert got == pytest.approx(want) and len(want) > 12 and (None, 0) in {(d, 0) for d, _ in want}
+
+
+def test_leaks_of_repeated_items_over_blocks(spark, monkeypatch):
+    """A benchmark that repeats its texts is counted and aligned once a text, whatever the blocks."""
+    texts = [" ".join(f"{c}{i}" for i in range(12)) for c in "abcdef"]
+    items = spark.createDataFrame([(i, texts[i % 6]) for i in range(60)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x y {t} z") for i, t in enumerate(texts)], "doc_id long, text string")
+    for words in (10**6, 24):
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", words)
+        got = sorted((r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect())
+        assert got == [(d, i) for d in range(6) for i in range(d, 60, 6)]
+
+
+def test_toxicity_equals_plain_ftrl(spark, sf):
+    """Weights and scores against learning with dictionaries, row by row."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    features, weights = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: r.toxic for r in labels.where("toxic IS NOT NULL").collect()}
+    order = [r.doc_id for r in labels.where(~toxicity.held_out(labels["doc_id"])).selectExpr("doc_id", "xxhash64(doc_id) AS place").orderBy("place").collect()]
+    rows = [(sorted(brute.features(texts[i])), known[i]) for i in order if i in texts and i in known] * toxicity.EPOCHS
+    want = brute.ftrl(rows, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    assert dict(zip(features.tolist(), weights.tolist(), strict=True)) == pytest.approx(want, abs=1e-9) and len(want) > 5
+    got = {r.doc_id: r.score for r in toxicity.op6_toxicity_ftrl(docs, labels).collect()}
+    assert got == pytest.approx({i: 1 / (1 + np.exp(-sum(want.get(f, 0.0) for f in brute.features(t)))) for i, t in texts.items()}, abs=1e-9)
+
+
+def test_names_of_other_columns_are_kept(spark, sf):
+    from planlake.llm import mixing
+
+    docs = table(spark, sf, "documents").limit(60)
+    for c in ("toxicity", "__tag", "of_text", "of_doc", "got", "times", "copy", "leaked", "a.b"):
+        docs = docs.withColumn(c, docs["lang"])
+    scored = toxicity.score_documents(docs, table(spark, sf, "labels"))
+    assert scored.columns == [*docs.columns, "_toxicity"] and scored.where("toxicity <> lang").count() == 0
+    assert mixing.mixed(docs).where("times <> lang OR `a.b` <> lang").count() == 0 and mixing.mixed(docs).columns == docs.columns
+    assert decontam.without_leaks(docs, table(spark, sf, "benchmark")).columns == docs.columns
+
+
 def test_preferences(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, "user", "v"), (1, 4, "assistant", "b"), (1, 5, "user", "w"), (2, 0, "user", "only"), (3, 0, "assistant", "alone"), (4, 0, "user", "same"), (4, 1, "assistant", "same"), (None, 0, "user", "x"), (5, None, "user", "x"), (6, 0, None, None), (6, 1, "assistant", "b"), (1, 1, "user", "u")]
     df = spark.createDataFrame([(*t, "extra") for t in turns], "conv_id long, turn long, role string, text string, part string")
-    got = sorted(tuple(r) for r in preference.op7_preference_format(df).collect())
+    got = sorted(tuple(r)[:7] for r in preference.rendered_turns(preference.stale_reply_sides(df)).collect())
     head = lambda role: f"<|{role}|>\n"
     want = [(1, p, t, r, head(r), f"{x}<|end|>\n", p != "prompt" and r == "assistant") for p, t, r, x in [("prompt", 0, "system", "s"), ("prompt", 1, "user", "u"), ("prompt", 2, "assistant", "a"), ("prompt", 3, "user", "v"), ("chosen", 4, "assistant", "b"), ("rejected", 4, "assistant", "a")]]
     want += [(6, "prompt", 0, "", head(""), "<|end|>\n", False), (6, "chosen", 1, "assistant", head("assistant"), "b<|end|>\n", True), (6, "rejected", 1, "assistant", head("assistant"), "<|end|>\n", True)]
     assert got == sorted(want)
+    assert sorted(tuple(r)[:7] for r in preference.format_preferences(*preference.stale_reply_pairs(df)).collect()) == sorted(want)
+    records = {r.conv_id: r for r in preference.op7_preference_format(df).collect()}
+    text = lambda pair, part: "".join(h + b for p, x, _, _, h, b, _ in sorted(want) if (p, x) == (pair, part))
+    assert sorted(records) == [1, 6]
+    for pair, r in records.items():
+        assert (r.block, r.prompt, r.chosen, r.rejected) == (0, text(pair, "prompt"), text(pair, "chosen"), text(pair, "rejected"))
+        for side, spans in ((r.chosen, r.chosen_learnt), (r.rejected, r.rejected_learnt)):
+            a, b = map(int, spans.split(":"))
+            assert side[:a] == head("assistant") and side[a:b] == side[a:] and side.endswith("<|end|>\n")
     assert preference.op7_preference_format(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 50, 1])
+def test_preferences_of_very_long_conversations(spark, monkeypatch, block):
+    """Rows put together are the whole, and spans count from the start of the completion, in blocks of any length."""
+    monkeypatch.setattr(preference, "BLOCK_TURNS", block)
+    n, rng = 700, random.Random(4)
+    said = [(1, t, "assistant" if t % 3 else "user", "w" * rng.randint(0, 30)) for t in range(n)]
+    other = [(p, t, r, x if t < 300 else x + "!") for p, t, r, x in said if t < 650]
+    schema = "pair long, turn long, role string, text string"
+    got = preference.preference_records(preference.sides_of(spark.createDataFrame(said, schema), spark.createDataFrame(other, schema)))
+    parts = sorted(got.collect(), key=lambda r: r.block)
+    assert len(parts) == -(-n // block)
+    whole = {c: "".join(r[c] for r in parts) for c in ("prompt", "chosen", "rejected")}
+    text = lambda turns: "".join(f"<|{r}|>\n{x}<|end|>\n" for _, _, r, x in turns)
+    assert whole == {"prompt": text(said[:300]), "chosen": text(said[300:]), "rejected": text(other[300:])}
+    for side, turns in (("chosen", said), ("rejected", other)):
+        spans = [tuple(map(int, x.split(":"))) for x in ",".join(r[f"{side}_learnt"] for r in parts if r[f"{side}_learnt"]).split(",")]
+        assert [whole[side][a:b] for a, b in spans] == [f"{x}<|end|>\n" for _, t, r, x in turns if t >= 300 and r == "assistant"]
+
+
+def test_stale_replies_from_another_block(spark, monkeypatch):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "old"), (1, 5, "user", "again"), (1, 6, "user", "and"), (1, 9, "assistant", "new"), (2, 0, "user", "only"), (2, 9, "assistant", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = []
+    for block in (256, 3):
+        monkeypatch.setattr(preference, "BLOCK_TURNS", block)
+        got.append(sorted((r.pair, r.part, r.turn, r.body) for r in preference.rendered_turns(preference.stale_reply_sides(df)).collect()))
+    assert got[0] == got[1] and (1, "rejected", 9, "old<|end|>\n") in got[0] and (2, "rejected", 9, "only<|end|>\n") in got[0]
+
+
 def test_preferences_of_two_tables(spark):
     a = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "x"), (1, 2, "user", "more"), (2, 0, "user", "q")], "pair_id long, turn long, role string, text string")
     b = spark.createDataFrame([(1, 0, "user", "q"), (2, 0, "user", "other"), (3, 0, "user", "q")], "pair_id long, turn long, role string, text string")
