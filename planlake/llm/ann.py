@@ -7,8 +7,10 @@ entries over the stored norm, and the rows of the best ``RERANK`` distinct codes
 codebooks follows the dimension, so that an estimate's error is small beside the gap between the nearest rows and the last ones reranked, which
 narrows slowly with the number of rows. Of equal vectors only those ids are indexed that can be among a query's nearest.
 
-Queries and codes meet block by block: codes lie in blocks of ``CODE_ROWS`` rows, queries in blocks of ``QUERY_ROWS``, and each two
-blocks share a task, which passes on its best candidates only.
+Queries and codes meet block by block. From ``QUERY_ROWS`` queries on, both are dealt into coarse cells, the queries of a cell to a block or several, and a
+query block is held only against the codes of the cells that its cell probes. How many that are is measured: so many that of the sample's own
+nearest neighbours ``PROBE_RECALL`` lie in them. Vectors in clusters need few cells, unit vectors without any structure nearly all. The codes
+that a query block is held against stream through its task, which keeps the best so far of each query and nothing else.
 
 Edge cases: vectors that are null, zero, hold a null or non-finite component, or differ in length from the commonest length, and rows
 without vec_id, take no part; fewer candidates than asked for are all returned; ties go to the smaller vec_id; of rows that repeat a vec_id
@@ -34,7 +36,10 @@ WORDS, BEAM = 256, 4
 SAMPLE_ROWS = 16_384
 LLOYD_STEPS, JOINT_STEPS = 8, 1
 RERANK = 200
-CODE_ROWS, QUERY_ROWS = 16_384, 1024
+#: Rows of codes and queries in a block, at most, about; rows of codes for which a task of their own is worth it.
+CODE_ROWS, QUERY_ROWS, LEAST_ROWS = 65_536, 2048, 32_768
+#: Coarse cells at most, sampled queries by which their probes are measured, and the share of these queries' neighbours that the probes must hold.
+CELLS, PROBE_QUERIES, PROBE_RECALL = 256, 1024, 0.995
 QUERY_EVERY, NEAREST = 50, 5
 _SEED = 7
 
@@ -112,13 +117,54 @@ def fit(x: np.ndarray, m: int | None = None, k: int = WORDS) -> np.ndarray:
     return books
 
 
-def _encoder(books: np.ndarray):
+def coarse_cells(x: np.ndarray, k: int) -> np.ndarray:
+    """k centres of unit vectors x, by Lloyd steps."""
+    rng = np.random.default_rng(_SEED + 1)
+    cells = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
+    for _ in range(LLOYD_STEPS):
+        at = _nearest(x, cells)
+        count = np.bincount(at, minlength=k)
+        total = np.zeros((k, x.shape[1]))
+        np.add.at(total, at, x)
+        cells = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], cells).astype(np.float32)
+    return cells
+
+
+def probes_for(x: np.ndarray, cells: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
+    """(cells, n): for each cell the n cells that its queries probe, nearest first; n is the least that holds PROBE_RECALL of the sample's neighbours."""
+    k = len(cells)
+    half = (cells * cells).sum(1) / 2
+    order = np.argsort(-(cells @ cells.T - half), axis=1, kind="stable")
+    own = np.arange(k)[:, None]
+    order = np.concatenate([own, order[order != own].reshape(k, k - 1)], axis=1)  # a cell probes itself first
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(k), order.shape), axis=1)
+    at, asked = _nearest(x, cells), np.arange(min(len(x), PROBE_QUERIES))
+    likeness = x[asked] @ x.T
+    likeness[asked, asked] = -np.inf
+    found = np.argpartition(-likeness, min(nearest, len(x) - 1) - 1, axis=1)[:, :nearest] if len(x) > 1 else np.zeros((0, 1), int)
+    needed = np.sort(place[at[asked][: len(found), None], at[found]].ravel()) if len(found) else np.zeros(1, int)
+    n = int(needed[min(len(needed) - 1, int(np.ceil(PROBE_RECALL * len(needed))) - 1)]) + 1
+    return order[:, :n]
+
+
+def _encoder(books: np.ndarray, cells: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 1024):
                 part = b.iloc[at : at + 1024]
-                codes, norms = encode(_units(np.stack(part["v"].to_numpy())), books)
-                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "code": [c.tobytes() for c in codes], "norm": norms})
+                units = _units(np.stack(part["v"].to_numpy()))
+                codes, norms = encode(units, books)
+                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "code": [c.tobytes() for c in codes], "norm": norms, "cell": _nearest(units, cells)})
+
+    return run
+
+
+def _cell_of(cells: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b.assign(cell=_nearest(_units(np.stack(b["v"].to_numpy())), cells))
 
     return run
 
@@ -130,54 +176,82 @@ def _best(score: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(score >= np.partition(score, len(score) - n)[len(score) - n])
 
 
+class _Asked:
+    """The queries of a block and the rows of the best distinct codes so far of each."""
+
+    def __init__(self, ids: list[int], vectors: list[list[float]], books: np.ndarray, rerank: int):
+        self.ids, self.books, self.rerank = ids, books, rerank
+        self.units = _units(np.array(vectors, np.float64))
+        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.float32)) for _ in ids]
+
+    def meet(self, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> None:
+        _, first, code_of = np.unique(codes.view(f"V{codes.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        by_code = np.argsort(code_of, kind="stable")
+        n_rows = np.bincount(code_of)
+        starts = np.cumsum(n_rows) - n_rows
+        codes, norms = np.ascontiguousarray(codes[first].T), np.maximum(norms[first], 1e-9)
+        for lo in range(0, len(self.ids), 256):
+            tables = np.einsum("qd,mkd->qmk", self.units[lo : lo + 256], self.books)
+            for i, table in enumerate(tables, lo):
+                score = table[0][codes[0]]
+                for j in range(1, len(table)):
+                    score += table[j][codes[j]]
+                score /= norms
+                best = _best(score, self.rerank + 1)  # one may be the query's own
+                n = n_rows[best]
+                at = by_code[np.repeat(starts[best] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                v = np.concatenate([self.found[i][0], ids[at]])
+                s = np.concatenate([self.found[i][1], np.repeat(score[best], n)])
+                distinct = np.unique(s)
+                keep = (v != self.ids[i]) & (s >= distinct[max(0, len(distinct) - self.rerank - 1)])
+                self.found[i] = (v[keep], s[keep])
+
+    def candidates(self) -> pa.RecordBatch:
+        q = np.repeat(np.array(self.ids, np.int64), [len(v) for v, _ in self.found])
+        v, s = (np.concatenate(c) for c in zip(*self.found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s.astype(np.float64))], ["query_id", "vec_id", "estimate"])
+
+
 def _scan(books: np.ndarray, rerank: int):
-    """Rows (block, query_block) with lists of codes and queries: the rows of each query's best distinct codes in the block by lookup tables."""
+    """Rows sorted by task: one with the queries of a block, then the blocks of codes that they meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, asked = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.array(row["vec_ids"], np.int64)
-                codes = np.frombuffer(b"".join(row["codes"]), np.uint8).reshape(len(ids), -1)
-                _, first, code_of = np.unique(codes.view(f"V{codes.shape[1]}").ravel(), return_index=True, return_inverse=True)
-                by_code = np.argsort(code_of, kind="stable")
-                n_rows = np.bincount(code_of)
-                starts = np.cumsum(n_rows) - n_rows
-                codes, norms = codes[first], np.array(row["norms"], np.float32)[first]
-                queries, vectors = np.array(row["query_ids"], np.int64), _units(np.array(row["query_vs"], np.float64))
-                tables = np.einsum("qd,mkd->qmk", vectors, books)
-                found = []
-                for q, table in zip(queries.tolist(), tables, strict=True):
-                    score = table[0][codes[:, 0]]
-                    for j in range(1, len(table)):
-                        score = score + table[j][codes[:, j]]
-                    score = score / np.maximum(norms, 1e-9)
-                    best = _best(score, rerank + 1)  # one may be the query's own
-                    n = n_rows[best]
-                    at = by_code[np.repeat(starts[best] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                    other = ids[at] != q
-                    found.append((np.full(other.sum(), q), ids[at][other], np.repeat(score[best], n)[other]))
-                q, v, s = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "estimate"])
+                if row["task"] != task:
+                    if asked:
+                        yield asked.candidates()
+                    task, asked = row["task"], None
+                if row["vs"] is not None:
+                    asked = _Asked(row["ids"], row["vs"], books, rerank)
+                elif asked:
+                    codes = np.frombuffer(b"".join(row["codes"]), np.uint8).reshape(len(row["ids"]), -1)
+                    asked.meet(np.array(row["ids"], np.int64), codes, np.array(row["norms"], np.float32))
+        if asked:
+            yield asked.candidates()
 
     return run
 
 
-def _blocks(df: DataFrame, rows: int, *columns: str) -> DataFrame:
-    """Rows dealt by digest into blocks of about that many, a list of each column to a block."""
-    n = max(1, -(-df.count() // rows))
-    block = F.pmod(F.xxhash64(F.lit(_SEED), "vec_id"), F.lit(n)).cast("int")
-    packed = df.groupBy(block.alias("block")).agg(F.collect_list(F.struct("vec_id", *columns)).alias("rows"))
-    return packed.select("block", F.col("rows.vec_id").alias("ids"), *[F.col(f"rows.{c}").alias(c) for c in columns])
+def _blocks(df: DataFrame, rows: int, *columns: str) -> tuple[DataFrame, dict[int, int]]:
+    """(cell, block, ids, columns...): the rows of each cell dealt by digest into blocks of about that many, and the number of blocks of each cell."""
+    counts = {r["cell"]: -(-r["count"] // rows) for r in df.groupBy("cell").count().collect()}  # a row a cell
+    per_cell = F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("cell"))
+    block = F.pmod(F.xxhash64(F.lit(_SEED), "vec_id"), per_cell).cast("int")
+    packed = df.groupBy("cell", block.alias("block")).agg(F.collect_list(F.struct("vec_id", *columns)).alias("rows"))
+    return packed.select("cell", "block", F.col("rows.vec_id").alias("ids"), *[F.col(f"rows.{c}").alias(c) for c in columns]), counts
 
 
-def index(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, DataFrame]:
-    """The codebooks, and (vec_id, code, norm) of each of rows (vec_id, v)."""
+def index(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, n_cells: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """The codebooks, the cells, the cells that each probes, and (vec_id, code, norm, cell) of each of rows (vec_id, v)."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()  # at most sample_rows vectors
     if sample.empty:
-        return np.zeros((0, 0, 0), np.float32), rows.select("vec_id", F.lit(b"").alias("code"), F.lit(0.0).cast("float").alias("norm"))
-    books = fit(_units(np.stack(sample["v"].to_numpy())))
-    codes = rows.mapInPandas(_encoder(books), "vec_id long, code binary, norm float")
-    return books, materialize(codes, "aq-codes")
+        return np.zeros((0, 0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros((0, 0), int), rows.select("vec_id", F.lit(b"").alias("code"), F.lit(0.0).cast("float").alias("norm"), F.lit(0).alias("cell"))
+    units = _units(np.stack(sample["v"].to_numpy()))
+    books, cells = fit(units), coarse_cells(units, n_cells)
+    codes = rows.mapInPandas(_encoder(books, cells), "vec_id long, code binary, norm float, cell int")
+    return books, cells, probes_for(units, cells), materialize(codes, "aq-codes")
 
 
 def _dot(a: str, b: str) -> F.Column:
@@ -186,24 +260,35 @@ def _dot(a: str, b: str) -> F.Column:
 
 def search(queries: DataFrame, rows: DataFrame, nearest: int = NEAREST, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each of queries, the nearest other rows; both tables have (vec_id, v)."""
+    spark = rows.sparkSession
     # ties go to the smaller id: behind `nearest` others and the query itself, a copy of theirs never comes in
     nth = F.row_number().over(_by("v", "vec_id"))
-    rows = materialize(rows.withColumn("nth", nth).where(F.col("nth") <= nearest + 1).select("vec_id", "v"), "unlike-vectors")
-    books, codes = index(rows, sample_rows)
-    spark = rows.sparkSession
-    if not len(books):
+    rows = materialize(rows.withColumn("nth", nth).where(F.col("nth") <= nearest + 1).select("vec_id", "v", F.sqrt(_dot("v", "v")).alias("length")), "unlike-vectors")
+    asking = queries.count()
+    books, cells, probes, codes = index(rows, sample_rows, min(CELLS, max(1, -(-asking // QUERY_ROWS))))
+    if not len(books) or not asking:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    code_blocks = _blocks(codes, CODE_ROWS, "code", "norm")
-    query_blocks = _blocks(queries, QUERY_ROWS, "v")
-    n_codes = max(1, -(-codes.count() // CODE_ROWS))
-    asked = query_blocks.select(F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("v").alias("query_vs"), F.explode(F.sequence(F.lit(0), F.lit(n_codes - 1))).alias("block"))
-    met = asked.join(code_blocks.select("block", F.col("ids").alias("vec_ids"), F.col("code").alias("codes"), F.col("norm").alias("norms")), "block")
-    met = met.repartition("block", "query_block")
-    candidates = met.select("vec_ids", "codes", "norms", "query_ids", "query_vs").mapInArrow(_scan(books, rerank), "query_id long, vec_id long, estimate double")
+    placed = queries.select("vec_id", "v").mapInPandas(_cell_of(cells), "vec_id long, v array<double>, cell int")
+    query_blocks, asked = _blocks(materialize(placed, "placed-queries"), QUERY_ROWS, "v")
+    groups = sum(asked.values())
+    stripes = max(1, min(-(-2 * spark.sparkContext.defaultParallelism // groups), codes.count() // LEAST_ROWS))
+    code_rows = max(LEAST_ROWS, min(CODE_ROWS, codes.count() // stripes))
+    code_blocks, _ = _blocks(codes, code_rows, "code", "norm")
+    pairs = [(c, q, asked[q]) for q in asked for c in probes[q].tolist()]  # at most CELLS ** 2
+    meets = F.broadcast(spark.createDataFrame(pairs, "of_cell int, to_cell int, n int"))
+    stripe = F.pmod(F.xxhash64(F.lit(_SEED + 1), "cell", "block"), F.lit(stripes)).cast("string")
+    told = code_blocks.join(meets, F.col("cell") == F.col("of_cell")).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("to_block"))
+    of_codes = told.select(F.concat_ws("-", "to_cell", "to_block").alias("to"), stripe.alias("stripe"), "ids", F.col("code").alias("codes"), F.col("norm").alias("norms"), F.lit(None).cast("array<array<double>>").alias("vs"))
+    every = F.explode(F.array(*[F.lit(str(s)) for s in range(stripes)])).alias("stripe")
+    of_queries = query_blocks.select(F.concat_ws("-", "cell", "block").alias("to"), every, "ids", F.lit(None).cast("array<binary>").alias("codes"), F.lit(None).cast("array<float>").alias("norms"), F.col("v").alias("vs"))
+    met = of_queries.union(of_codes).withColumn("task", F.concat_ws("/", "to", "stripe"))
+    met = met.repartition("task").sortWithinPartitions("task", F.col("vs").isNull())
+    candidates = met.select("task", "ids", "codes", "norms", "vs").mapInArrow(_scan(books, rerank), "query_id long, vec_id long, estimate double")
     place = F.dense_rank().over(_by("query_id", F.desc("estimate")))
     short = candidates.withColumn("place", place).where(F.col("place") <= rerank).select("query_id", "vec_id")
-    exact = short.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(rows.select("vec_id", "v"), "vec_id")
-    scored = exact.select("query_id", "vec_id", (_dot("q", "v") / (F.sqrt(_dot("q", "q")) * F.sqrt(_dot("v", "v")))).alias("score"))
+    asked_for = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.sqrt(_dot("v", "v")).alias("query_length"))
+    exact = short.join(asked_for, "query_id").join(rows.select("vec_id", "v", "length"), "vec_id")
+    scored = exact.select("query_id", "vec_id", (_dot("q", "v") / (F.col("query_length") * F.col("length"))).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(_by("query_id", F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 

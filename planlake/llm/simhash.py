@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from planlake.llm.common import joinable, materialize
+from planlake.llm.common import columns_of, joinable, materialize, spare
 from planlake.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -360,14 +360,20 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the near copies: of each component of ``near_copies`` the row of least doc_id stays, and rows without doc_id stay.
 
     Rows are told apart by doc_id and text, so unlike texts that share a doc_id are judged each by itself; of rows alike in both the one of
-    the least digest of the other columns stays.
+    the least digest of the other columns stays. What stays is decided on ids and digests, and texts move once, to meet the decision, or not at
+    all where that is few enough to be broadcast. Null and empty texts are one text; an empty table stays empty; columns keep their names.
     """
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.xxhash64(F.col("text").isNull(), *[x for c in others for x in (c, c.isNull())])
-    known = docs.where("doc_id IS NOT NULL").withColumns({"__tag": text_tag(), "__rest": rest})
-    rows = known.select("doc_id", "__tag", "__rest").join(near_copies(docs.where("doc_id IS NOT NULL")), F.col("__tag") == F.col("tag"))
-    least = rows.groupBy("component").agg(F.min(F.struct("doc_id", "__tag", "__rest")).alias("row"))
-    kept = least.select(F.col("row.doc_id").alias("kept_id"), F.col("row.__tag").alias("kept_tag"), F.col("row.__rest").alias("kept_rest"))
-    same = (known["doc_id"] == kept["kept_id"]) & (known["__tag"] == kept["kept_tag"]) & (known["__rest"] == kept["kept_rest"])
-    stay = known.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__tag", "__rest"])
-    return stay.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    others = columns_of(docs, "doc_id", "text")
+    tag, rest = spare(docs, "of_text"), spare(docs, "of_rest")
+    told = F.xxhash64(F.col("text").isNull(), *[x for c in others for x in (c, c.isNull())])
+    known = docs.where("doc_id IS NOT NULL").withColumns({tag: text_tag(), rest: told})
+    rows = known.select("doc_id", F.col(tag).alias("own_tag"), F.col(rest).alias("own_rest"))
+    counted = materialize(rows.groupBy("doc_id", "own_tag", "own_rest").agg(F.count("*").alias("n")), "distinct-rows")
+    judged = counted.join(near_copies(docs.where("doc_id IS NOT NULL")), F.col("own_tag") == F.col("tag"))
+    least = judged.groupBy("component").agg(F.min(F.struct("doc_id", "own_tag", "own_rest", "n")).alias("row"))
+    kept = joinable(least.select(F.struct("row.*").alias(spare(docs, "kept"))), "kept-rows")
+    row = F.col(kept.columns[0])
+    stay = known.join(kept, (F.col("doc_id") == row["doc_id"]) & (F.col(tag) == row["own_tag"]) & (F.col(rest) == row["own_rest"]), "left_semi")
+    if counted.where("n > 1").limit(1).count():
+        stay = stay.dropDuplicates(["doc_id", tag, rest])
+    return stay.select(*columns_of(docs)).union(docs.where("doc_id IS NULL"))

@@ -196,3 +196,26 @@ def leaked(docs, items, width, rare, threshold, points):
             if seeds & h and (score := local_alignment(item, words, *points)) >= threshold:
                 out[doc_id, item_id] = score
     return out
+
+
+def mixture(docs, seed="mix-1", weights=(3, 1, 2), share=1.5, repeats=2):
+    """Counter of doc_ids taken of (doc_id, text, source): every offer of every document in one list, by finish time."""
+    sizes = [(i, len(re.findall(WORD, t or "")), s) for i, t, s in docs]
+    of_source = Counter()
+    for _, n, s in sizes:
+        of_source[s] += n
+    target = targets(of_source, weights, share, float(repeats))
+    key = lambda i, n: hashlib.md5(f"{seed}:{'' if i is None else i}:{n}".encode()).hexdigest()
+    offers = []
+    for s, total in of_source.items():
+        upto = 0
+        for k, n, i in sorted((key(i, n), n, i) for i, n, x in sizes if x == s and n):
+            upto += n
+            offers += [((upto + r * total) / target[s], s is None, s or "", k, n, r, i) for r in range(repeats)]
+    out, spent = Counter(), 0
+    for offer in sorted(offers, key=lambda o: o[:6]):
+        spent += offer[4]
+        if spent > sum(target.values()):
+            break
+        out[offer[6]] += 1
+    return out

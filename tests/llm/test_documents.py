@@ -123,11 +123,36 @@ def test_token_files_odd_rows(spark, odd, tmp_path):
     assert "doc_id" in some._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
 
 
+def test_token_files_hold_indexes_and_filters(spark, tmp_path):
+    """The files' own metadata: stripes, row indexes and Bloom filters on doc_id; bounds that rule stripes out; ids as run-length encoded integers."""
+    docs = spark.createDataFrame([(i, f"text {i} " * 20) for i in range(24_000)], "doc_id long, text string")
+    path = str(tmp_path / "ids")
+    tokens.write_token_ids(docs, path, files=2, stripe_bytes=1 << 16)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    stripes, bounds = 0, []
+    for f in sorted(tmp_path.glob("ids/*.orc")):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        rows = reader.rows()
+        for k, s in enumerate(reader.getStripes()):
+            footer = rows.readStripeFooter(s)
+            streams = [(footer.getStreams(i).getKind().toString(), footer.getStreams(i).getColumn()) for i in range(footer.getStreamsCount())]
+            assert ("ROW_INDEX", 1) in streams and ("BLOOM_FILTER_UTF8", 1) in streams
+            assert {footer.getColumns(i).getKind().toString() for i in (1, 2, 4)} == {"DIRECT_V2"}  # run-length encoding, second version
+            known = reader.getStripeStatistics()[k].getColumnStatistics()[1]
+            bounds.append((known.getMinimum(), known.getMaximum()))
+            stripes += 1
+        rows.close()
+    assert stripes >= 4 and all(a[1] < b[0] for a, b in zip(sorted(bounds), sorted(bounds)[1:], strict=False))
+    assert sum(a <= 4321 <= b for a, b in bounds) == 1  # one stripe is left of a search by doc_id
+    assert [r.doc_id for r in tokens.read_token_ids(spark, path, [4321]).collect()] == [4321]
+
+
 def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
     t, e = Tokenizer.from_file(tokens.vocabulary_path()), tokens.Encoder(tokens.vocabulary_path(), remembered=3)
-    for text in ["a b c d e f", "don't  stop,\nnow. ", " lead", "x <|endoftext|> y", "tail ", "a b  c\x85d \x1ce", "Straße, ñandú. 日本語 3.14 a,b ..", ", . ,"] * 2:
+    for text in ["a b c d e f", "don't  stop,\nnow. ", " lead", "x <|endoftext|> y", "tail ", "a b  c\x85d \x1ce", "Straße, ñandú. 日本語 3.14 a,b ..", ", . ,", "a\nb.\nC, d\n", "\n", "x\n\ny", "w$$$ v.%%% u!! t_ \"s\" (r)", "it's\n'tis don't. a\u2003b\u00a0 c"] * 2:
         assert e.encode(text) == b"".join(i.to_bytes(4, "little") for i in t.encode(text, add_special_tokens=False).ids)
 
 

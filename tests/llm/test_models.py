@@ -275,6 +275,26 @@ def test_toxicity_equals_plain_ftrl(spark, sf):
     assert got == pytest.approx({i: 1 / (1 + np.exp(-sum(want.get(f, 0.0) for f in brute.features(t)))) for i, t in texts.items()}, abs=1e-9)
 
 
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_with_coarse_cells(spark, monkeypatch, clusters):
+    """With many cells, recall stays; clustered vectors need few of them, unit vectors without structure most."""
+    monkeypatch.setattr(ann, "QUERY_ROWS", 8)
+    monkeypatch.setattr(ann, "LEAST_ROWS", 256)
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(3000, 24)) + (3 * rng.normal(size=(clusters, 24))[rng.integers(0, clusters, 3000)] if clusters else 0)
+    ids = list(range(3000))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>")
+    want, got = nearest(ids, vectors), {}
+    for r in ann.op2_additive_quantisation(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(got) == 60 and all(len(v) == 5 for v in got.values())
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 5 for q in want]) > 0.95
+    units = ann._units(vectors)
+    cells = ann.coarse_cells(units, 8)
+    probed = ann.probes_for(units, cells).shape[1]
+    assert probed <= 5 if clusters else probed >= 5
+
+
 def test_names_of_other_columns_are_kept(spark, sf):
     from planlake.llm import mixing
 
@@ -362,3 +382,45 @@ def test_pipeline_stages(spark, sf):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert Counter(r.doc_id for r in last) == Counter(r.doc_id for r in docs.collect())
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == Counter(r.doc_id for r in last)
+
+
+def test_pipeline_equals_plain_stages(spark, sf):
+    """run() against the plain versions of all five stages, one after the other."""
+    from tokenizers import Tokenizer
+
+    from planlake.llm import tokens
+
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    texts = {r.doc_id: (r.text, r.source) for r in docs.collect()}
+    known = {r.doc_id: r.toxic for r in labels.where("toxic IS NOT NULL").collect()}
+    order = [r.doc_id for r in labels.where(~toxicity.held_out(labels["doc_id"])).selectExpr("doc_id", "xxhash64(doc_id) AS place").orderBy("place").collect()]
+    model = brute.ftrl([(sorted(brute.features(texts[i][0])), known[i]) for i in order if i in texts and i in known] * toxicity.EPOCHS, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    left = [i for i, (t, _) in texts.items() if 1 / (1 + np.exp(-sum(model.get(f, 0.0) for f in brute.features(t)))) < toxicity.THRESHOLD]
+    left.sort()
+    words = [(texts[i][0] or "").lower().split() for i in left]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    roots = brute.classes(len(left), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    left = [left[k] for k in sorted(set(roots))]
+    items = [tuple(r) for r in table(spark, sf, "benchmark").select("item_id", "text").collect()]
+    found = brute.leaked([(i, texts[i][0]) for i in left], items, decontam.GRAM, decontam.RARE_FACTOR, decontam.THRESHOLD, (decontam.MATCH, decontam.MISMATCH, decontam.GAP))
+    left = [i for i in left if i not in {d for d, _ in found}]
+    taken = brute.mixture([(i, *texts[i]) for i in left])
+    t = Tokenizer.from_file(tokens.vocabulary_path())
+    want = brute.token_digests([(i, texts[i][0]) for i in sorted(taken.elements())], lambda x: t.encode(x, add_special_tokens=False).ids)
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, sf).collect())
+    assert got == sorted(want) and len(got) > 20
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf, odd, empty):
+    """Nulls in every column, repeated rows, very long texts, clashing names and empty tables, through each stage and all of them."""
+    named = odd.withColumnRenamed("bucket", "of_text").withColumnRenamed("size", "got").withColumn("toxicity", odd["lang"]).withColumn("n_taken", odd["doc_id"])
+    for docs in (named, empty):
+        now = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, now, sf)
+            assert after.columns == docs.columns, name
+            texts = {(r.doc_id, r.text) for r in now.select("doc_id", "text").collect()}
+            assert {(r.doc_id, r.text) for r in after.select("doc_id", "text").collect()} <= texts, name
+            now = spark.createDataFrame([tuple(r) for r in after.collect()], docs.schema)
+        last = corpus_pipeline.STAGES[-1][1](spark, now, sf)
+        assert last.count() == now.count()
