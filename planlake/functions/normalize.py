@@ -37,15 +37,22 @@ def first_accepted(answers: Column) -> Column:
     return F.when(hit.isNotNull(), F.coalesce(hit["answer"]["body"], F.lit("")))
 
 
-def learner(value: Column, own_words_first: bool = True) -> Column:
-    """struct<description, skills> of a learner in either layout; the flag says which of two descriptions wins."""
+def learner(value: Column, own_words_first: bool = True, about_only: bool = False) -> Column:
+    """struct<description, skills> of a learner in either layout; own_words_first says which of two descriptions wins, about_only reads the about_me layout alone."""
     texts = [value["self_description"], value["about_me"]]
     lists = [value["skills"], value["top_tags"]]
-    if not own_words_first:
+    if about_only:
+        texts, lists = texts[1:], lists[1:]
+    elif not own_words_first:
         texts, lists = texts[::-1], lists[::-1]
     return F.struct(strip(filled(*texts)).alias("description"), filled_list(*lists).alias("skills"))
 
 
+def slim(value: Column, *keys: str) -> Column:
+    """A struct of some of a struct's fields."""
+    return F.struct(*[value[k].alias(k) for k in keys])
+
+
 def agent(a: Column) -> Column:
     return F.struct(a["agent_role"].alias("agent_role"), a["goal"].alias("goal"), filled(a["backstory"], a["description"]).alias("backstory"), arrayed(a["tools"]).alias("tools"))
 

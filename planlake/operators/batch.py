@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +19,16 @@ from planlake.functions.nested import upper_median
 from planlake.sources.tables import not_done
 
 
-def apply_rows(rows: DataFrame, fn: Callable[[dict], dict], out_schema: str, key: str = "key", retries: int = 0, wait: float = 1.0) -> DataFrame:
-    """(key, out_schema..., error, trace): fn of each row as a dict; what it raises becomes a dead letter, not a failed task."""
+def apply_rows(rows: DataFrame, fn: Callable[[dict], dict], out_schema: str, key: str = "key", retries: int = 0, wait: float = 1.0, workers: int | None = None, stagger: float = 0.0) -> DataFrame:
+    """(key, out_schema..., error, trace): fn of each row as a dict; what it raises becomes a dead letter, not a failed task.
+
+    workers: rows are dealt to so many tasks, which bounds how often fn runs at once; stagger: each starts so many seconds after the one before it.
+    """
     names = [c.strip().split(" ")[0] for c in out_schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if stagger:
+            time.sleep(stagger * TaskContext.get().partitionId())
         for batch in batches:
             done = []
             for row in batch.to_dict("records"):
@@ -37,7 +43,8 @@ def apply_rows(rows: DataFrame, fn: Callable[[dict], dict], out_schema: str, key
                             time.sleep(wait * 2**attempt)
             yield pd.DataFrame(done, columns=[key, *names, "error", "trace"], dtype=object)
 
-    return rows.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {out_schema}, error string, trace string")
+    dealt = rows.repartition(workers) if workers else rows
+    return dealt.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {out_schema}, error string, trace string")
 
 
 def apply_batches(rows: DataFrame, fn: Callable[[list[dict]], list[dict]], out_schema: str, key: str = "key", size: int = 16, retries: int = 0, wait: float = 1.0) -> DataFrame:

@@ -117,6 +117,19 @@ def score(rows: DataFrame, config: RewardConfig | None = None, precedence: Colum
     return rows.withColumn("reward", compose(F.col("r_struct"), F.col("r_pers"), F.col("r_ped"), F.col("r_hard"), config)).drop("__c", "__g", "__f")
 
 
+def with_references(rollouts: DataFrame, gold: DataFrame, counterfactual: DataFrame | None = None) -> DataFrame:
+    """rollouts (question_id, profile_index, completion) with gold_plan and learner_profile from gold and cf_plan from counterfactual, null where there is none.
+
+    Both sides are looked up by question and profile; of several rows for one, the least counts.
+    """
+    key = ["question_id", "profile_index"]
+    known = gold.groupBy(*key).agg(F.min("gold_plan").alias("gold_plan"), F.min("learner_profile").alias("learner_profile"))
+    rows = rollouts.join(known, key, "left")
+    if counterfactual is None:
+        return rows.withColumn("cf_plan", F.lit(None).cast("string"))
+    return rows.join(counterfactual.groupBy(*key).agg(F.min("cf_plan").alias("cf_plan")), key, "left")
+
+
 def group_zscore(value: Column, *group: str, least: float = 1e-6) -> Column:
     """Deviation from the group's mean in population deviations; 0 where there is next to none. For groups that fit a task."""
     w = Window.partitionBy(*group)

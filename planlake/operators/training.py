@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planlake import schemas
@@ -86,3 +86,13 @@ def validity_rates(predictions: DataFrame, mode: str, column: str = "output") ->
 def length_report(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     n = F.length(text)
     return rows.groupBy(*keys).agg(F.min(n).alias("least"), F.max(n).alias("most"), F.expr(f"sum(length({text})) div count(*)").alias("mean"))
+
+
+def length_quantiles(rows: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, least, p50, p90, p95, p99, most, mean) of text lengths by nearest rank; a length and its count stand for equal ones, so a hot group stays small."""
+    sizes = rows.groupBy(*keys, F.length(text).cast("long").alias("n")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*keys)
+    ranked = sizes.withColumns({"upto": F.sum("c").over(w.orderBy("n")), "total": F.sum("c").over(w)})
+    at = lambda p: F.min(F.when(F.col("upto") > F.bround(F.lit(p) * (F.col("total") - 1)), F.col("n")))
+    mean = F.bround(F.sum(F.col("n") * F.col("c")) / F.sum("c")).cast("long")
+    return ranked.groupBy(*keys).agg(F.min("n").alias("least"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max("n").alias("most"), mean.alias("mean"))

@@ -274,3 +274,61 @@ def q98_joined_responses(t):
     requests = t.conversations.select(F.col("conv_id").cast("string").alias("id")).distinct()
     out = batch.joined_responses(requests, responses, "answer string")
     return out.select(F.col("id").cast("long").alias("conv_id"), F.col("response").isNotNull().alias("answered"), F.col("response.answer").isNotNull().alias("said"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+a AS (SELECT c, k, row_number() OVER (ORDER BY md5('42:' || c || '|' || i)) AS place FROM o), b AS (SELECT c, k, row_number() OVER (ORDER BY md5('43:' || c || '|' || i)) AS place FROM o)
+SELECT a.k, b.k AS other FROM a JOIN b USING (place) WHERE a.c <> b.c AND place <= 466 ORDER BY place LIMIT 300""")
+def q102_random_pairs(t):
+    from planlake.operators.compare import random_pairs
+
+    return random_pairs(variants(t), ("o_orderkey",), 300).select(F.col("x.o_orderkey").alias("k"), F.col("y.o_orderkey").alias("other"))
+
+
+_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query(f"""WITH a AS (SELECT event_id, upper(event_type) AS e, event_id % 6 AS kind FROM events) SELECT kind, CASE kind WHEN 0 THEN CASE e WHEN 'VIEW' THEN 'VIEW' ELSE e || '+VIEW' END WHEN 3 THEN CASE e WHEN 'VIEW' THEN 'VIEW' ELSE e || '+VIEW' END WHEN 4 THEN '' ELSE e END AS labels,
+ kind IN (3, 4) AS parse_warning, CASE kind WHEN 0 THEN 'r' ELSE '' END AS reasoning, count(*) AS n FROM a GROUP BY ALL""")
+def q103_label_responses(t):
+    from planlake.functions.jsonx import label_response
+
+    kind = F.col("event_id") % 6
+    e = F.col("event_type")
+    answer = (
+        F.when(kind == 0, F.concat(F.lit('{"labels": ["'), F.upper(e), F.lit('", "view", "nonsense", "'), e, F.lit('"], "reasoning": "r"}')))
+        .when(kind == 1, F.concat(F.lit('```json\n{"labels": "'), e, F.lit(' "}\n```')))
+        .when(kind == 2, F.concat(F.lit('It is: {"labels": ["'), e, F.lit('"],}')))
+        .when(kind == 3, F.concat(F.lit("I say "), e, F.lit(" or View")))
+        .when(kind == 4, "nothing")
+        .otherwise(F.concat(F.lit('<think>{"labels": []}</think>{"labels": ["'), e, F.lit('"]}')))
+    )
+    read = label_response(F.col("answer"), tuple(x.upper() for x in _TYPES))
+    rows = t.events.select(kind.alias("kind"), answer.alias("answer")).select("kind", read.alias("r"))
+    return rows.groupBy("kind", F.array_join("r.labels", "+").alias("labels"), F.col("r.parse_warning").alias("parse_warning"), F.col("r.reasoning").alias("reasoning")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT role, min(length(text))::BIGINT AS least, max(length(text))::BIGINT AS most, (sum(length(text)) // count(*))::BIGINT AS mean FROM conversations GROUP BY role""")
+def q104_length_report(t):
+    from planlake.operators.training import length_report
+
+    rows = length_report(t.conversations, "text", "role")
+    return rows.select("role", *[F.col(c).cast("long").alias(c) for c in ("least", "most", "mean")])
+
+
+@query("""WITH w AS (SELECT p_partkey, list_distinct(list_transform(regexp_extract_all(p_name || ' with the ' || p_type || ' ' || p_brand, '\\b([A-Za-z][A-Za-z0-9+#\\-]{2,})\\b', 1), lambda x: lower(x))) AS ws, lower(p_brand) AS own FROM part),
+k AS (SELECT p_partkey, own, list_filter(ws, lambda x: length(x) >= 4 AND NOT list_contains(['with', 'the', 'from', 'this', 'that'], x) AND x <> own) AS ws FROM w) SELECT p_partkey, array_to_string(list_sort(list_concat([own], ws)), ',') AS signals FROM k""")
+def q105_profile_signals(t):
+    from planlake.functions.text import profile_signals
+
+    said = F.concat("p_name", F.lit(" with the "), "p_type", F.lit(" "), "p_brand")
+    return t.part.select("p_partkey", F.array_join(F.array_sort(profile_signals(said, F.array(F.concat(F.lit(" "), "p_brand", F.lit(" "))))), ",").alias("signals"))
+
+
+@query("""SELECT event_type, count(*) AS n, count(DISTINCT props) AS kinds, min(sha256(props)) AS least_digest FROM events GROUP BY 1""")
+def q106_fences_and_digests(t):
+    from planlake.functions.text import without_fences
+
+    wrapped = F.concat(F.lit("<think>hm { </think>\n```json\n"), "props", F.lit("\n```\n"))
+    rows = t.events.select("event_type", without_fences(wrapped).alias("props"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("props").alias("kinds"), F.min(F.sha2("props", 256)).alias("least_digest"))

@@ -324,3 +324,29 @@ def q77_normal_agents(t):
     shown = F.transform("plan.output.agents", agent)
     line = F.transform(shown, lambda a: F.concat_ws(":", a["agent_role"], a["goal"], a["backstory"], F.array_join(a["tools"], ",")))
     return plans.select("k", F.array_join(line, ";").alias("agents"), F.size(schedule(F.col("plan.output"))["execution_order"]).cast("long").alias("n_order"))
+
+
+@query(f"""WITH {LINES}, n AS (SELECT c_mktsegment AS segment, CAST(length({_USER}) AS BIGINT) AS n FROM g JOIN customer ON c_custkey = c), s AS (SELECT segment, list_sort(list(n)) AS v, avg(n) AS mean FROM n GROUP BY segment)
+SELECT segment, v[1] AS least, v[CAST(round_even(0.5 * (len(v) - 1), 0) AS INT) + 1] AS p50, v[CAST(round_even(0.9 * (len(v) - 1), 0) AS INT) + 1] AS p90, v[CAST(round_even(CAST(0.95 AS DOUBLE) * (len(v) - 1), 0) AS INT) + 1] AS p95,
+ v[CAST(round_even(CAST(0.99 AS DOUBLE) * (len(v) - 1), 0) AS INT) + 1] AS p99, v[-1] AS most, CAST(round_even(mean, 0) AS BIGINT) AS mean FROM s""")
+def q99_payload_quantiles(t):
+    rows = training.reward_prompts(order_plans(t), "sys").join(order_plans(t).select("question_id", "profile_index", "segment"), ["question_id", "profile_index"])
+    return training.length_quantiles(rows.select("segment", F.element_at("prompt", -1)["content"].alias("asked")), "asked", "segment")
+
+
+@query(f"""WITH {LINES}, r AS (SELECT c, i FROM g UNION ALL SELECT c, i + 100 FROM g WHERE i = 0) SELECT count(*) AS n, count(*) FILTER (i < 100) AS with_gold, count(*) FILTER (i < 100 AND i > 0) AS with_other FROM r""")
+def q100_reward_references(t):
+    plans = order_plans(t).select("question_id", "profile_index", F.to_json("plan.output").alias("gold_plan"), F.to_json("plan.input.learner").alias("learner_profile"))
+    rollouts = plans.select("question_id", "profile_index", F.col("gold_plan").alias("completion"))
+    rollouts = rollouts.union(rollouts.where("profile_index = 0").withColumn("profile_index", F.col("profile_index") + 100))
+    others = plans.where("profile_index > 0").select("question_id", "profile_index", F.col("gold_plan").alias("cf_plan"))
+    rows = rewards.with_references(rollouts, plans.union(plans), others)
+    return rows.agg(F.count("*").alias("n"), F.count("gold_plan").alias("with_gold"), F.count("cf_plan").alias("with_other"))
+
+
+@query(f"""WITH {LINES} SELECT agent, count(*) AS n_steps, round(avg(length(instruction)), 6) AS mean_length FROM l GROUP BY agent""")
+def q101_step_shapes(t):
+    from planlake.functions.normalize import slim
+
+    rows = order_components(t).select(F.explode("steps").alias("s")).select(slim(F.col("s"), "agent", "instruction").alias("s"))
+    return rows.groupBy("s.agent").agg(F.count("*").alias("n_steps"), F.round(F.avg(F.length("s.instruction")), 6).alias("mean_length"))
