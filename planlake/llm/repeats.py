@@ -11,7 +11,9 @@ exactly the repeated windows. Three things keep that small and spread out:
   within the anchor, group by group; singletons leave after each digit. An anchor with more than ``CROWD`` classes is not gathered: its
   windows are counted by their whole digests instead, in a distributed aggregate.
 
-Digits are compared by 64-bit digests. Counts are pre-aggregated, and the joins leave hot anchors to AQE's splitting.
+Bytes are equal where two 64-bit digests are, that of the anchor and that of a run's or a window's bytes, so that unlike passages pass for equal with a
+probability of about their number within one anchor over 2 ** 64. Counts are pre-aggregated and written before they are joined back, which leaves
+hot anchors to AQE's splitting. What a document gathers is a few numbers for each of its anchors, about a tenth of its own length at most.
 
 Edge cases: null text is empty; texts shorter than the window lose nothing; windows never cross documents, and a document may
 repeat itself, overlapping or not; rows are told apart by doc_id and text, so a repeated row counts as a copy and both lose alike; null
@@ -29,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlake.llm.common import materialize
+from planlake.llm.common import joinable, materialize
 
 WINDOW = 400
 GRAM = 40
 DIGIT = 100
 #: Classes of an anchor that are compared in one task.
-CROWD = 8192
+CROWD = 2048
 #: Bytes scanned at a time, and classes compared at a time.
 CHUNK, SLICE = 1 << 18, 2000
 
@@ -214,11 +216,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.unique(np.array(keys, np.int64), return_inverse=True)[1]
         group = number[of] * 2048 + (offset - np.array(rel)[of] + 1024)
         found = repeated_windows(group, digits)
-        out = [(cls[c], a, b) for c, a, b in _runs(of[found], offset[found])]
+        out = [(keys[c], cls[c], a, b) for c, a, b in _runs(of[found], offset[found])]
         if not out:
             return None
-        c, a, b = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32()))], ["cls", "first", "last"])
+        k, c, a, b = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(c, pa.int64()), pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32()))], ["key", "cls", "first", "last"])
 
     held: list[tuple] = []
     for batch in batches:
@@ -233,7 +235,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, start, digest) of every window of the contexts; the digest also stands for the anchor and the offset to it."""
+    """(key, cls, start, digest) of every window of the contexts; the digest also stands for the anchor and the offset to it."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
@@ -241,7 +243,8 @@ def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             code = part.column("key").to_numpy().view(np.uint64)[of] + (offset - part.column("rel").to_numpy()[of]).astype(np.uint64) * _MIX
             for d in range(digits.shape[1]):
                 code = _mixed(code + digits[:, d])
-            yield pa.RecordBatch.from_arrays([part.column("cls").take(pa.array(of)), pa.array(offset.astype(np.int32)), pa.array(code.view(np.int64))], ["cls", "start", "digest"])
+            take = pa.array(of)
+            yield pa.RecordBatch.from_arrays([part.column("key").take(take), part.column("cls").take(take), pa.array(offset.astype(np.int32)), pa.array(code.view(np.int64))], ["key", "cls", "start", "digest"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -249,7 +252,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = materialize(docs.mapInArrow(_scan, _RECORDS), "anchors")
     keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("a"), F.max("cls").alias("b"))
     shared = keys.where("n > 1").select(F.col("key").alias("of_key"), (F.col("a") == F.col("b")).alias("alike"))
-    shared = materialize(shared, "shared-keys")  # an aggregate right below the join would keep a hot anchor's rows in one task
+    shared = joinable(shared, "shared-keys")
     members = found.join(shared, F.col("key") == F.col("of_key")).drop("of_key")
     members = materialize(members, "shared-anchors")
     lo, length = F.shiftright("pos", 18), F.col("pos").bitwiseAND(F.lit(511))
@@ -263,21 +266,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # of rows that repeat in both doc_id and text, each gives the same contexts
     contexts = fetched.select("text", "wanted").mapInArrow(_contexts, _CONTEXTS)
     crowds = classes.groupBy("key").count().where(F.col("count") > CROWD).select(F.col("key").alias("crowded"))
-    contexts = materialize(contexts.join(crowds, F.col("key") == F.col("crowded"), "left"), "anchor-contexts")
+    contexts = materialize(contexts.join(joinable(crowds, "crowded-anchors"), F.col("key") == F.col("crowded"), "left"), "anchor-contexts")
     few = contexts.where("crowded IS NULL").select("key", "cls", "rel", "bytes").dropDuplicates(["key", "cls"])
-    spans_of = "cls long, first array<int>, last array<int>"
+    spans_of = "key long, cls long, first array<int>, last array<int>"
     by_digits = few.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, spans_of)
-    many = contexts.where("crowded IS NOT NULL").select("key", "cls", "rel", "bytes").dropDuplicates(["key", "cls"]).mapInArrow(_window_digests, "cls long, start int, digest long")
-    again = many.groupBy("digest").count().where("count > 1").select(F.col("digest").alias("again"))
-    starts = many.join(again, F.col("digest") == F.col("again"), "left_semi").groupBy("cls").agg(F.collect_set("start").alias("first"))
-    by_counts = starts.select("cls", "first", F.transform("first", lambda s: s + WINDOW).alias("last"))
-    covered = materialize(by_digits.union(by_counts), "covered").select(F.col("cls").alias("c_cls"), F.arrays_zip("first", "last").alias("covered"))
-    copied = classes.where("n > 1").select(F.col("cls").alias("c_cls"))
-
+    many = contexts.where("crowded IS NOT NULL").select("key", "cls", "rel", "bytes").dropDuplicates(["key", "cls"]).mapInArrow(_window_digests, "key long, cls long, start int, digest long")
+    again = many.groupBy("key", "digest").count().where("count > 1").select(F.col("key").alias("of_key"), F.col("digest").alias("again"))
+    repeated = many.join(joinable(again, "repeated-windows"), (F.col("key") == F.col("of_key")) & (F.col("digest") == F.col("again")), "left_semi")
+    starts = repeated.groupBy("key", "cls").agg(F.collect_set("start").alias("first"))  # 360 numbers at most
+    by_counts = starts.select("key", "cls", "first", F.transform("first", lambda s: s + WINDOW).alias("last"))
+    covered = materialize(by_digits.union(by_counts), "covered").select(F.col("key").alias("c_key"), F.col("cls").alias("c_cls"), F.arrays_zip("first", "last").alias("covered"))
+    copied = classes.where("n > 1").select(F.col("key").alias("c_key"), F.col("cls").alias("c_cls"))
+
+    same = (F.col("key") == F.col("c_key")) & (F.col("cls") == F.col("c_cls"))
     alike = members.where("alike").select("did", "th", F.array(whole).alias("spans"))
-    copies = mixed.join(copied, mixed["cls"] == F.col("c_cls"), "left_semi").select("did", "th", F.array(whole).alias("spans"))
+    copies = mixed.join(copied, same, "left_semi").select("did", "th", F.array(whole).alias("spans"))
     shifted = F.transform("covered", lambda c: F.struct((lo + c["first"]).alias("first"), (lo + c["last"]).alias("last")))
-    others = mixed.join(covered, mixed["cls"] == F.col("c_cls")).select("did", "th", shifted.alias("spans"))
+    others = mixed.join(covered, same).select("did", "th", shifted.alias("spans"))
     return alike.union(copies).union(others).groupBy("did", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
