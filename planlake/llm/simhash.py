@@ -56,7 +56,7 @@ COPY_SIMILARITY = 0.8
 #: Texts of similarity s share none of the bands with probability (1 - s ** BAND_ROWS) ** BANDS: 1.3e-7 at 0.8.
 BANDS, BAND_ROWS = 40, 5
 #: Candidates of more characters than this are compared tile by tile.
-TILE_CHARS = 8_000_000
+TILE_CHARS = 4_000_000
 
 _MULTIPLIERS = np.random.default_rng(HASH_SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -271,33 +271,45 @@ def sketch(texts: pd.Series) -> pd.DataFrame:
 
 
 def similar(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """(root, member) over sets of hashes by breadth-first search along the pairs whose Jaccard similarity is COPY_SIMILARITY or more."""
+    """(root, member) over sets of hashes by breadth-first search along the pairs whose Jaccard similarity is COPY_SIMILARITY or more.
+
+    A set is held against those not yet reached only: an inverted list of their hashes is built anew whenever half of them have been reached, so
+    a crowd of copies beside a few strangers costs little.
+    """
     sizes = np.array([len(s) for s in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    order = np.argsort(ids, kind="stable")
-    holders = np.repeat(np.arange(len(sets)), sizes)[order]  # of each hash in turn
-    count = np.bincount(ids, minlength=1)
-    first = np.cumsum(count) - count
+    left = np.arange(len(sets))
+
+    def listed(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        values = np.concatenate([sets[i] for i in of]) if len(of) else np.zeros(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        return values[order], np.repeat(np.arange(len(of)), sizes[of])[order]
+
+    hashes, holders = listed(left)
+    there = np.ones(len(left), bool)
 
     def near(k: int) -> np.ndarray:
-        mine = ids[ends[k] - sizes[k] : ends[k]]
-        n = count[mine]
-        at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        shared = np.bincount(holders[at], minlength=len(sets))
+        first, end = np.searchsorted(hashes, sets[k]), np.searchsorted(hashes, sets[k], "right")
+        n = end - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(holders[at], minlength=len(left))
+        of = sizes[left]
         # two empty sets are alike
-        return shared >= COPY_SIMILARITY * (sizes + sizes[k] - shared) - 1e-9 if sizes[k] else sizes == 0
-
-    left = np.ones(len(sets), bool)
-    for root in range(len(sets)):
-        if not left[root]:
-            continue
-        left[root], frontier = False, [root]
-        while frontier and left.any():
-            new = np.flatnonzero(near(frontier.pop()) & left)
-            left[new] = False
-            frontier.extend(new.tolist())
-            yield from ((root, k) for k in new.tolist())
+        return there & (shared >= COPY_SIMILARITY * (of + sizes[k] - shared) - 1e-9 if sizes[k] else of == 0)
+
+    while there.any():
+        place = int(there.argmax())
+        root = int(left[place])
+        there[place], frontier = False, [root]
+        while frontier and there.any():
+            new = np.flatnonzero(near(frontier.pop()))
+            there[new] = False
+            members = left[new].tolist()
+            frontier.extend(members)
+            yield from ((root, k) for k in members)
+            if 2 * there.sum() < len(left):
+                left = left[there]
+                hashes, holders = listed(left)
+                there = np.ones(len(left), bool)
 
 
 def _similar_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
