@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a few numbers each that may be broadcast: some megabytes.
-BROADCAST_ROWS = 50_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,32 +49,56 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Has the driver remove path when it ends; a driver that is killed leaves it."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+
+
+_passing = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``materialize`` writes within, at the end: what is needed of them later must be written outside or checkpointed."""
+    paths: list[str] = []
+    _passing.stack = [*getattr(_passing, "stack", []), paths]
+    try:
+        yield
+    finally:
+        _passing.stack.pop()
+        for path in paths:
+            place, files = _place(spark, path)
+            files.delete(place, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: later plans start from files that outlive any executor.
 
-    The files go when the driver ends, as lazy results may still read them.
+    The files go with the innermost ``scratch``, or with keep the one around that; without one when the driver ends, as lazy results may still read them.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    around = getattr(_passing, "stack", [])[: -1 if keep else None]
+    if around:
+        around[-1].append(path)
     df.write.parquet(path)
     remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def joinable(df: DataFrame, name: str) -> DataFrame:
-    """df, of a few numbers a row, written and made ready for the right side of a join on a hot key.
+    """df, an aggregate, written and made ready for one side of a join on a hot key.
 
-    Up to BROADCAST_ROWS rows are broadcast. More are shuffled, and as they come from files the join's left side is a shuffle of its own, whose
-    hot partitions AQE can split; an aggregate right below the join would keep them whole.
+    A join with an aggregate right below it keeps the partitioning of that, and with it a hot key's rows in one task. From files, both sides are shuffles
+    of the join's own, whose hot partitions AQE can split, or the engine broadcasts the table if its files are small.
     """
-    written = materialize(df, name)
-    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+    return materialize(df, name)
 
 
 def cut(df: DataFrame) -> DataFrame:

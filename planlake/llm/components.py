@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlake.llm.common import cut, joinable
+from planlake.llm.common import cut, joinable, scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,5 +37,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before or not state[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = state
-        now = cut(_small_star(_large_star(now)))
+        with scratch(edges.sparkSession):
+            now = cut(_small_star(_large_star(now)))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

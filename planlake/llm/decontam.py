@@ -93,10 +93,13 @@ class Seeds:
 
     def __init__(self, items: list[np.ndarray], keep: list[np.ndarray] | None = None):
         self.items = items
-        rows = [(g, i, o) for i, it in enumerate(items) for o, g in enumerate(grams(it, GRAM).tolist()) if keep is None or keep[i][o]]
-        table = np.array(rows, np.uint64).reshape(-1, 3)
-        table = table[np.argsort(table[:, 0], kind="stable")]
-        self.grams, self.item, self.offset = table[:, 0].copy(), table[:, 1].astype(np.int64), table[:, 2].astype(np.int64)
+        found = [grams(it, GRAM) for it in items]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *found])
+        item = np.repeat(np.arange(len(items)), [len(g) for g in found])
+        offset = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in found]])
+        kept = np.concatenate([np.zeros(0, bool), *keep]) if keep is not None else np.ones(len(hashes), bool)
+        order = np.flatnonzero(kept)[np.argsort(hashes[kept], kind="stable")]
+        self.grams, self.item, self.offset = hashes[order], item[order], offset[order]
         self.short = sorted({len(it) for it in items if 0 < len(it) < GRAM})
         self.bits = np.zeros(1 << 16, bool)
         self.bits[self.grams >> np.uint64(48)] = True
@@ -137,8 +140,10 @@ def _frequencies(seeds: Seeds):
 def rare(seeds: Seeds, n_docs: np.ndarray) -> list[np.ndarray]:
     """For each item, which of its grams are seeds."""
     keep = []
+    by_item = np.argsort(seeds.item, kind="stable")
+    bounds = np.searchsorted(seeds.item[by_item], np.arange(len(seeds.items) + 1))
     for i, item in enumerate(seeds.items):
-        mine = np.flatnonzero(seeds.item == i)
+        mine = by_item[bounds[i] : bounds[i + 1]]
         counts = np.zeros(len(grams(item, GRAM)), np.int64)
         counts[seeds.offset[mine]] = n_docs[mine]
         keep.append(counts <= RARE_FACTOR * max(1.0, float(np.median(counts)) if len(counts) else 1.0))
@@ -200,10 +205,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
         block = texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).select(_tag().alias("tag"), "text").orderBy("text").collect()
         hashed = [word_hashes(r["text"]) for r in block]
         every = Seeds(hashed)
-        counted = rows.select("text").mapInPandas(_frequencies(every), "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).collect()
+        counted = rows.select("text").mapInPandas(_frequencies(every), "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).toPandas()  # a row for a gram of the block
         n_docs = np.zeros(len(every.grams), np.int64)
-        for r in counted:
-            n_docs[r["row"]] = r["n"]
+        n_docs[counted["row"].to_numpy()] = counted["n"].to_numpy()
         seeds = Seeds(hashed, rare(every, n_docs))
         found = found.union(rows.mapInArrow(_matches(seeds, [r["tag"] for r in block], threshold), _SCHEMA))
     named = joinable(items.select("item_id", _tag().alias("of_text")), "benchmark-items")

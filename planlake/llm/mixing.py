@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planlake.llm.common import BROADCAST_ROWS, columns_of, materialize, spare
+from planlake.llm.common import columns_of, materialize, spare
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -164,8 +164,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the mix takes, as often as it takes them, with the columns of docs.
 
     Rows are matched by doc_id and a digest of text and source, and rows that repeat in both share what was taken of them: of n alike rows the
-    k-th comes out floor or ceil of taken / n times, together exactly taken times. Texts move once, to meet what is taken of them, and
-    not at all where that is few enough to be broadcast and no rows are alike.
+    k-th comes out floor or ceil of taken / n times, together exactly taken times. Texts move once, to meet what is taken of them; the windows over
+    alike rows keep that partitioning.
     """
     doc, tag = spare(docs, "of_doc"), spare(docs, "of_text")
     told = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")), F.col("text").isNull(), F.col("source").isNull(), F.col("doc_id").isNull())
@@ -175,8 +175,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     got = sizes.groupBy("doc_id", "tag").agg(F.sum("copies_taken").cast("int").alias("n_taken"), F.count("*").alias("n_rows")).where("n_taken > 0")
     got = materialize(got, "mix-taken")
     several = got.where("n_rows > 1").limit(1).count() > 0
-    right = F.broadcast(got) if got.count() <= BROADCAST_ROWS else got
-    right = right.select(F.struct("doc_id", "tag", "n_taken", "n_rows").alias(spare(docs, "got")))
+    right = got.select(F.struct("doc_id", "tag", "n_taken", "n_rows").alias(spare(docs, "got")))
     taken = F.col(right.columns[0])
     joined = tagged.join(right, (F.col(doc) == taken["doc_id"]) & (F.col(tag) == taken["tag"]))
     times = taken["n_taken"]

@@ -83,7 +83,7 @@ FURTHER = (
     Kind("aws_key", "(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", ("AKIA", "ASIA"), 0.9, "aws|key|access"),
     Kind("assigned_secret", "(?i)(?<![A-Za-z])" + _SECRET_NAME + "[\"']?[ ]?[:=][ ]?[\"']?[A-Za-z0-9+/_.~!@#$%^&*-]{8,}+", ("=", ":"), 0.8, "login|credential|credentials|config"),
     Kind("hex_secret", _HEX, "[0-9a-f]{32}", 0.3, "token|secret|key|password|hash"),
-    Kind("service_token", "(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", ("gh", "xox", "sk_live_"), 0.9, "token|key"),
+    Kind("service_token", "(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_"), 0.9, "token|key"),
     Kind("jwt", "(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\\.eyJ[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+", ("eyJ",), 0.9, "token|bearer|jwt"),
     Kind("private_key", "-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", ("PRIVATE KEY",), 1.0, "key"),
 )

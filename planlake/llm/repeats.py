@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlake.llm.common import joinable, materialize
+from planlake.llm.common import joinable, materialize, scratch
 
 WINDOW = 400
 GRAM = 40
@@ -249,33 +249,36 @@ def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(did, th, spans array<struct<first, last>>) of documents with repeated windows, from docs (did, th, text)."""
-    found = materialize(docs.mapInArrow(_scan, _RECORDS), "anchors")
-    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("a"), F.max("cls").alias("b"))
-    shared = keys.where("n > 1").select(F.col("key").alias("of_key"), (F.col("a") == F.col("b")).alias("alike"))
-    shared = joinable(shared, "shared-keys")
-    members = found.join(shared, F.col("key") == F.col("of_key")).drop("of_key")
-    members = materialize(members, "shared-anchors")
+    spark = docs.sparkSession
+    with scratch(spark):
+        found = materialize(docs.mapInArrow(_scan, _RECORDS), "anchors")
+        keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("a"), F.max("cls").alias("b"))
+        shared = keys.where("n > 1").select(F.col("key").alias("of_key"), (F.col("a") == F.col("b")).alias("alike"))
+        members = found.join(joinable(shared, "shared-keys"), F.col("key") == F.col("of_key")).drop("of_key")
+        members = materialize(members, "shared-anchors", keep=True)
     lo, length = F.shiftright("pos", 18), F.col("pos").bitwiseAND(F.lit(511))
     whole = F.struct(lo.alias("first"), (lo + length + WINDOW).alias("last"))
 
     mixed = members.where("NOT alike")
     classes = mixed.groupBy("key", "cls").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "pos")).alias("rep"))
     classes = materialize(classes, "anchor-classes")
-    wanted = classes.groupBy(F.col("rep.did").alias("w_did"), F.col("rep.th").alias("w_th")).agg(F.collect_list(F.struct("key", "cls", "rep.pos")).alias("wanted"))
-    fetched = docs.join(wanted, (F.col("did") == F.col("w_did")) & (F.col("th") == F.col("w_th"))).select("did", "th", "text", "wanted")
-    # of rows that repeat in both doc_id and text, each gives the same contexts
-    contexts = fetched.select("text", "wanted").mapInArrow(_contexts, _CONTEXTS)
-    crowds = classes.groupBy("key").count().where(F.col("count") > CROWD).select(F.col("key").alias("crowded"))
-    contexts = materialize(contexts.join(joinable(crowds, "crowded-anchors"), F.col("key") == F.col("crowded"), "left"), "anchor-contexts")
-    few = contexts.where("crowded IS NULL").select("key", "cls", "rel", "bytes").dropDuplicates(["key", "cls"])
-    spans_of = "key long, cls long, first array<int>, last array<int>"
-    by_digits = few.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, spans_of)
-    many = contexts.where("crowded IS NOT NULL").select("key", "cls", "rel", "bytes").dropDuplicates(["key", "cls"]).mapInArrow(_window_digests, "key long, cls long, start int, digest long")
-    again = many.groupBy("key", "digest").count().where("count > 1").select(F.col("key").alias("of_key"), F.col("digest").alias("again"))
-    repeated = many.join(joinable(again, "repeated-windows"), (F.col("key") == F.col("of_key")) & (F.col("digest") == F.col("again")), "left_semi")
-    starts = repeated.groupBy("key", "cls").agg(F.collect_set("start").alias("first"))  # 360 numbers at most
-    by_counts = starts.select("key", "cls", "first", F.transform("first", lambda s: s + WINDOW).alias("last"))
-    covered = materialize(by_digits.union(by_counts), "covered").select(F.col("key").alias("c_key"), F.col("cls").alias("c_cls"), F.arrays_zip("first", "last").alias("covered"))
+    with scratch(spark):
+        wanted = classes.groupBy(F.col("rep.did").alias("w_did"), F.col("rep.th").alias("w_th")).agg(F.collect_list(F.struct("key", "cls", "rep.pos")).alias("wanted"))
+        fetched = docs.join(wanted, (F.col("did") == F.col("w_did")) & (F.col("th") == F.col("w_th"))).select("did", "th", "text", "wanted")
+        # of rows that repeat in both doc_id and text, each gives the same contexts
+        contexts = fetched.select("text", "wanted").mapInArrow(_contexts, _CONTEXTS)
+        crowds = classes.groupBy("key").count().where(F.col("count") > CROWD).select(F.col("key").alias("crowded"))
+        contexts = materialize(contexts.join(joinable(crowds, "crowded-anchors"), F.col("key") == F.col("crowded"), "left"), "anchor-contexts")
+        few = contexts.where("crowded IS NULL").select("key", "cls", "rel", "bytes").dropDuplicates(["key", "cls"])
+        spans_of = "key long, cls long, first array<int>, last array<int>"
+        by_digits = few.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, spans_of)
+        many = contexts.where("crowded IS NOT NULL").select("key", "cls", "rel", "bytes").dropDuplicates(["key", "cls"]).mapInArrow(_window_digests, "key long, cls long, start int, digest long")
+        again = many.groupBy("key", "digest").count().where("count > 1").select(F.col("key").alias("of_key"), F.col("digest").alias("again"))
+        repeated = many.join(joinable(again, "repeated-windows"), (F.col("key") == F.col("of_key")) & (F.col("digest") == F.col("again")), "left_semi")
+        starts = repeated.groupBy("key", "cls").agg(F.collect_set("start").alias("first"))  # 360 numbers at most
+        by_counts = starts.select("key", "cls", "first", F.transform("first", lambda s: s + WINDOW).alias("last"))
+        covered = materialize(by_digits.union(by_counts), "covered", keep=True)
+    covered = covered.select(F.col("key").alias("c_key"), F.col("cls").alias("c_cls"), F.arrays_zip("first", "last").alias("covered"))
     copied = classes.where("n > 1").select(F.col("key").alias("c_key"), F.col("cls").alias("c_cls"))
 
     same = (F.col("key") == F.col("c_key")) & (F.col("cls") == F.col("c_cls"))

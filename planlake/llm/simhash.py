@@ -33,12 +33,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from planlake.llm.common import columns_of, joinable, materialize, spare
+from planlake.llm.common import columns_of, joinable, materialize, scratch, spare
 from planlake.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -237,7 +238,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint("text").alias("fp")), "fingerprints")
     distinct = known.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"))
     distinct = materialize(distinct, "distinct-fingerprints")
-    components = connected_components(fingerprint_links(distinct))
+    with scratch(docs.sparkSession):
+        components = connected_components(fingerprint_links(distinct))
     of = distinct.join(components, "node", "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "node").alias("component"))
     joined = known.join(of, known["fp"] == of["of_fp"], "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
@@ -330,6 +332,7 @@ def _similar_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held.append(rows)
     if held:
         yield links(pd.concat(held))
+    pa.default_memory_pool().release_unused()
 
 
 def text_tag() -> Column:
@@ -337,15 +340,8 @@ def text_tag() -> Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(tag, component) for each distinct text of docs: texts joined by similarities of COPY_SIMILARITY or more share a component.
-
-    Texts whose fingerprints the pivot tables link, and texts that share a band, are candidates. What candidates connect meets in one task, or
-    tile by tile where it is more than TILE_CHARS characters, and there all pairs are held against each other by their exact shingle sets.
-    """
-    keyed = docs.select(text_tag().alias("tag"), F.length(F.coalesce("text", F.lit(""))).alias("chars"), sketch("text").alias("sketch"))
-    distinct = keyed.groupBy("tag").agg(F.min("chars").alias("chars"), F.min("sketch").alias("sketch"))
-    distinct = materialize(distinct.select("tag", "chars", "sketch.fp", "sketch.bands", F.monotonically_increasing_id().alias("node")), "distinct-texts")
+def _similar_texts(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes of distinct (tag, chars, fp, bands, node) whose texts are similar, enough to connect all that similarity connects."""
     alike = materialize(distinct.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     linked = fingerprint_links(alike.select("fp", F.col("least").alias("node")))
     same = distinct.select("fp", "node").join(joinable(alike.where("n > 1").select("fp", "least"), "shared-fingerprints"), "fp")
@@ -364,7 +360,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
     met = dealt.select("tag", "node", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
     texts = docs.select(text_tag().alias("tag"), F.coalesce("text", F.lit("")).alias("text")).join(members.select("tag"), "tag", "left_semi").dropDuplicates(["tag"])
     held = texts.join(met, "tag").select("bucket", "node", "text").repartition("bucket").sortWithinPartitions("bucket")
-    components = connected_components(materialize(held.mapInPandas(_similar_nodes, "a long, b long"), "similar-texts"))
+    return materialize(held.mapInPandas(_similar_nodes, "a long, b long"), "similar-texts")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(tag, component) for each distinct text of docs: texts joined by similarities of COPY_SIMILARITY or more share a component.
+
+    Texts whose fingerprints the pivot tables link, and texts that share a band, are candidates. What candidates connect meets in one task, or
+    tile by tile where it is more than TILE_CHARS characters, and there all pairs are held against each other by their exact shingle sets.
+    """
+    keyed = docs.select(text_tag().alias("tag"), F.length(F.coalesce("text", F.lit(""))).alias("chars"), sketch("text").alias("sketch"))
+    distinct = keyed.groupBy("tag").agg(F.min("chars").alias("chars"), F.min("sketch").alias("sketch"))
+    distinct = materialize(distinct.select("tag", "chars", "sketch.fp", "sketch.bands", F.monotonically_increasing_id().alias("node")), "distinct-texts")
+    with scratch(docs.sparkSession):
+        components = connected_components(_similar_texts(docs, distinct))
     return distinct.select("tag", "node").join(components, "node", "left").select("tag", F.coalesce("component", "node").alias("component"))
 
 
@@ -372,8 +381,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the near copies: of each component of ``near_copies`` the row of least doc_id stays, and rows without doc_id stay.
 
     Rows are told apart by doc_id and text, so unlike texts that share a doc_id are judged each by itself; of rows alike in both the one of
-    the least digest of the other columns stays. What stays is decided on ids and digests, and texts move once, to meet the decision, or not at
-    all where that is few enough to be broadcast. Null and empty texts are one text; an empty table stays empty; columns keep their names.
+    the least digest of the other columns stays. What stays is decided on ids and digests, and texts move once, to meet the decision. Null and empty texts are one text; an empty table stays empty; columns keep their names.
     """
     others = columns_of(docs, "doc_id", "text")
     tag, rest = spare(docs, "of_text"), spare(docs, "of_rest")

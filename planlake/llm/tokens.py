@@ -123,6 +123,10 @@ class Encoder:
         self.young[piece] = ids
         return ids
 
+    def rest(self) -> None:
+        """Lets go of the older generation, between tasks."""
+        self.old = {}
+
     def encode(self, text: str) -> bytes:
         """The ids of text."""
         if _awkward(text):
@@ -157,6 +161,8 @@ def _encode(path: str, end_id: int):
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), lists], ["doc_id", "n_tokens", "ids"])
+        encoder.rest()  # the worker lives on, perhaps for other work
+        pa.default_memory_pool().release_unused()
 
     return encode
 

@@ -424,3 +424,20 @@ def test_pipeline_stages_on_odd_rows(spark, sf, odd, empty):
             now = spark.createDataFrame([tuple(r) for r in after.collect()], docs.schema)
         last = corpus_pipeline.STAGES[-1][1](spark, now, sf)
         assert last.count() == now.count()
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    import os
+
+    from planlake.llm.common import joinable, materialize, scratch
+
+    place = lambda df: df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    with scratch(spark):
+        with scratch(spark):
+            gone, kept = materialize(spark.range(5), "gone"), materialize(spark.range(6), "kept", keep=True)
+            paths = [place(gone), place(kept)]
+            assert joinable(gone, "again").count() == 5 and all(map(os.path.exists, paths))
+        assert [os.path.exists(p) for p in paths] == [False, True] and kept.count() == 6
+    assert not os.path.exists(paths[1])
+    outside = materialize(spark.range(7), "outside")
+    assert outside.count() == 7 and os.path.exists(place(outside))
