@@ -358,7 +358,9 @@ def _similar_texts(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     dealt = dealt.select("tag", "node", "component", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("own"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = dealt.select("tag", "node", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
-    texts = docs.select(text_tag().alias("tag"), F.coalesce("text", F.lit("")).alias("text")).join(members.select("tag"), "tag", "left_semi").dropDuplicates(["tag"])
+    texts = docs.select(text_tag().alias("tag"), F.coalesce("text", F.lit("")).alias("text")).join(members.select("tag"), "tag", "left_semi")
+    # written before copies are dropped: the join can then be split at a text that many rows hold, and the copies go before the next shuffle
+    texts = materialize(texts, "candidate-texts").dropDuplicates(["tag"])
     held = texts.join(met, "tag").select("bucket", "node", "text").repartition("bucket").sortWithinPartitions("bucket")
     return materialize(held.mapInPandas(_similar_nodes, "a long, b long"), "similar-texts")
 
