@@ -71,7 +71,7 @@ def q58_mechanical_audit(t):
 
 @query(f"""WITH {LINES}, p AS (SELECT CASE WHEN bare THEN 0 ELSE len(roles) END AS a, len(subs) AS s FROM g)
 SELECT count(*) AS n, round(avg(a), 6) AS mean_agents, median(a)::DOUBLE AS median_agents, min(a)::BIGINT AS min_agents, max(a)::BIGINT AS max_agents, round(avg(s), 6) AS mean_subtasks, median(s)::DOUBLE AS median_subtasks, min(s)::BIGINT AS min_subtasks,
- max(s)::BIGINT AS max_subtasks, 0.0 AS repeated_roles, 0.0 AS repeated_ids, 0.0 AS empty_role, 0.0 AS empty_name FROM p""")
+ max(s)::BIGINT AS max_subtasks, 0.0::DOUBLE AS repeated_roles, 0.0::DOUBLE AS repeated_ids, 0.0::DOUBLE AS empty_role, 0.0::DOUBLE AS empty_name FROM p""")
 def q59_outline_audit(t):
     out = audit.outlines(order_components(t))
     cast = {c: F.col(c).cast("long") for c in ("min_agents", "max_agents", "min_subtasks", "max_subtasks")}
@@ -79,7 +79,7 @@ def q59_outline_audit(t):
 
 
 @query(f"""WITH {LINES}, s AS (SELECT l.k, count(*) AS steps, count(*) FILTER (bare OR NOT list_contains(roles, agent)) AS agent, count(*) FILTER (tool IS NOT NULL AND NOT coalesce({DECLARED}, false)) AS tool, (l.k % 7 = 0)::INT AS extra, (count(*) >= 4 AND l.k % 31 = 0)::INT AS loops FROM l JOIN g USING (k) GROUP BY l.k)
-SELECT count(*) AS n, round(sum(agent) / sum(steps), 6) AS unknown_agent, round(sum(tool) / sum(steps), 6) AS bad_tool, 0.0 AS bad_prefix, round(sum(extra) / count(*), 6) AS unknown_in_order, sum(loops)::BIGINT AS bad_loops,
+SELECT count(*) AS n, round(sum(agent) / sum(steps), 6) AS unknown_agent, round(sum(tool) / sum(steps), 6) AS bad_tool, 0.0::DOUBLE AS bad_prefix, round(sum(extra) / count(*), 6) AS unknown_in_order, sum(loops)::BIGINT AS bad_loops,
  round(avg(steps), 6) AS mean_steps, median(steps)::DOUBLE AS median_steps, min(steps)::BIGINT AS min_steps, max(steps)::BIGINT AS max_steps FROM s""")
 def q60_schedule_audit(t):
     out = audit.schedules(order_components(t))
@@ -224,7 +224,7 @@ _JOINED = "st JOIN x USING (k) JOIN y USING (k) JOIN phases USING (k) JOIN perso
 
 def _reward_sql(pers: str, ped: str) -> str:
     return f"""WITH {LINES}, {_SETS}, {_PHASED}, {_PERSONAL}, {_STRUCT}, {_PAIRED}, r AS (SELECT k, own + 0.30 * x.sim AS s, hard, {pers} AS p, {ped} AS d FROM {_JOINED})
-SELECT k, round(s, 9) AS r_struct, hard AS r_hard, round(p, 9)::DOUBLE + 0.0 AS r_pers, round(d, 9)::DOUBLE AS r_ped, round(0.55 * s + 0.25 * p + 0.20 * d + hard, 9) AS reward FROM r"""
+SELECT k, round(s, 9) AS r_struct, hard::DOUBLE AS r_hard, round(p, 9)::DOUBLE + 0.0 AS r_pers, round(d, 9)::DOUBLE AS r_ped, round(0.55 * s + 0.25 * p + 0.20 * d + hard, 9) AS reward FROM r"""
 
 
 @query(_reward_sql("0.0", "0.0"))
