@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from planlake.llm import ann, decontam, licenses, mixing, pii, preference, repeats, simhash, tokens, toxicity
+from planlake.llm import ann, debruijn, decontam, licenses, merkle, mixing, pii, preference, repeats, runs, simhash, tokens, toxicity
 from planlake.llm.common import table
 
 
@@ -27,9 +27,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fair_queueing": _over(mixing.op8_fair_queueing, "documents"),
         "op9_pii_spans": _over(pii.op9_pii_spans, "documents"),
         "op10_rare_seed_alignment": _over(decontam.op10_rare_seed_alignment, "documents", "benchmark"),
+        "op11_debruijn_paths": _over(debruijn.op11_debruijn_paths, "documents"),
+        "op12_lyndon_runs": _over(runs.op12_lyndon_runs, "documents"),
+        "op13_merkle_manifest": _over(merkle.op13_merkle_manifest, "documents"),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_preference_format": preference.OP7_SQL, "op8_fair_queueing": mixing.OP8_SQL}
+    return {"op7_preference_format": preference.OP7_SQL, "op8_fair_queueing": mixing.OP8_SQL, "op11_debruijn_paths": debruijn.OP11_SQL}

@@ -219,3 +219,88 @@ def mixture(docs, seed="mix-1", weights=(3, 1, 2), share=1.5, repeats=2):
             break
         out[offer[6]] += 1
     return out
+
+
+def words(text):
+    return re.findall(WORD, text or "")
+
+
+def repeated_passages(rows, window=35):
+    """(doc_id, n_words, n_removed, digest of the kept words) of each (doc_id, text)."""
+    split = [words(t) for _, t in rows]
+    places = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
+    out = []
+    for (doc_id, _), w in zip(rows, split, strict=True):
+        gone = {k for i in range(len(w) - window + 1) if places[tuple(w[i : i + window])] > 1 for k in range(i, i + window)}
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((doc_id, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+def runs(s, power=4, least=6):
+    """(start, length, period) of the maximal periodic stretches, one period after the other."""
+    ids = {x: i for i, x in enumerate(dict.fromkeys(s))}
+    a, n, out = np.array([ids[x] for x in s], int), len(s), []
+    for q in range(1, n // power + 1):
+        same = np.flatnonzero(np.diff(np.r_[0, a[:-q] == a[q:], 0]))
+        for i, j in zip(same[::2].tolist(), same[1::2].tolist(), strict=True):
+            length = j + q - i
+            shorter = any(q % d == 0 and all(s[x] == s[x + d] for x in range(i, i + length - d)) for d in range(1, q))
+            if length >= max(least, power * q) and not shorter:
+                out.append((i, length, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def periodic(doc_id, text):
+    """The row of the twelfth query."""
+    w = words(text)
+    h = None if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h is not None and h % 10 == 0 and w:
+        g, n = h // 10, len(w)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    found = runs(w)
+    gone = {i for s, length, q in found for i in range(s + q, s + length)}
+    best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
+    told = "".join(f"{s},{length},{q}\n" for s, length, q in found)
+    kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+    more = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    return (doc_id, len(found), *more, hashlib.sha256(told.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def _joined(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _levels(nodes):
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([_joined(*out[-1][i : i + 2]) for i in range(0, len(out[-1]), 2)])
+    return out
+
+
+def merkle(rows):
+    """The rows of the thirteenth query, from (doc_id, source, lang, n_chars, text)."""
+    told = lambda *r: _joined(*["-" if x is None else f"{len(str(x).encode())}:{x}" for x in r])
+    leaves = sorted(((r, told(*r)) for r in rows), key=lambda x: ((x[0][2] is not None, (x[0][2] or "").encode()), (x[0][0] is not None, x[0][0] or 0), x[1]))
+    langs = list(dict.fromkeys(r[2] for r, _ in leaves))
+    trees = {lang: _levels([h for r, h in leaves if r[2] == lang]) for lang in langs}
+    top = _levels([trees[lang][-1][0] for lang in langs])
+    out, at = [], Counter()
+    for (doc_id, source, lang, n_chars, text), h in leaves:
+        node, proof = h, []
+        if doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 0 and n_chars is not None:
+            node = told(doc_id, source, lang, n_chars + 1, text)
+        for tree, place in ((trees[lang], at[lang]), (top, langs.index(lang))):
+            for level in tree[:-1]:
+                other = place ^ 1
+                if other >= len(level):
+                    node = _joined(node)
+                else:
+                    proof.append(level[other])
+                    node = _joined(level[other], node) if other < place else _joined(node, level[other])
+                place >>= 1
+        at[lang] += 1
+        out.append((doc_id, h, trees[lang][-1][0], top[-1][0], _joined(*proof), node, node == top[-1][0]))
+    return out
