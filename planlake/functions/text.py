@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from planlake.functions.literals import matches_where_possible
 from planlake.functions.nested import contains_any, count_of, first_match, let, ratio
 
-# Keyword tables, patterns and word lists.
+# Families of roles, by keywords.
 ROLE_FAMILIES = (
     ("tutor", ("tutor", "instructor", "teacher", "coach", "explainer", "mentor", "guide", "facilitator")),
     ("retriever", ("retriever", "docs", "documentation", "searcher", "finder", "lookup", "fetcher")),
@@ -18,6 +19,7 @@ ROLE_FAMILIES = (
     ("generator", ("generator", "writer", "composer", "author", "producer", "creator")),
     ("translator", ("translator", "interpreter", "converter", "transformer")),
 )
+# Phases of a lesson, by keywords.
 PHASES = (
     ("probe", ("ask the learner", "have the learner predict", "ask them to predict", "what do you think", "your intuition", "prior knowledge", "before introducing", "before showing", "surface", "activate", "have them guess", "have them describe")),
     ("retrieve_demonstrate", ("look up", "retrieve", "documentation", "official", "demonstrate", "produce concrete", "show concrete", "execute the following", "run the following")),
@@ -26,6 +28,7 @@ PHASES = (
     ("feedback", ("explain what went wrong", "targeted feedback", "what to fix", "point to the specific", "tell the learner the precise", "give targeted feedback", "specific fix")),
     ("consolidate", ("summarize", "consolidate", "wrap up", "wrap-up", "decision rule", "transfer", "general rule", "in their own words", "decision framework", "one-line rule", "their own decision")),
 )
+# Patterns of teaching.
 PEDAGOGY = (
     ("prediction_elicitation", r"\b(predict|prediction|guess|hypothesi[sz]e|what do you think|before showing|first ask)\b"),
     ("explanation_walkthrough", r"\b(explain|walk.{0,15}through|describe to|teach|step.by.step|illustrate)\b"),
@@ -38,16 +41,23 @@ PEDAGOGY = (
     ("analogy_priorknowledge", r"\b(analog[yi]|like.{0,10}(php|html|javascript|python|c#|c\+\+|java)|in your |from your (background|portfolio)|prior knowledge)\b"),
     ("diagnostic_assessment", r"\b(diagnos|identify.{0,10}error|misconception|gap|misunderstanding|root cause)\b"),
 )
+# Patterns of the three acts.
 SKELETON = (
     ("activate", r"\b(activate|surface|reveal|elicit|baseline|prior knowledge|mental model|misconception|prediction|gap)\b"),
     ("apply", r"\b(apply|implement|fix|write|build|construct|debug|validate|verify|test|run|compile|loop)\b"),
     ("consolidate", r"\b(consolidate|generali[sz]e|reflect|takeaway|extract.{0,10}rule|summari[sz]e|decision rule|articulate)\b"),
 )
+# Words that speak to the learner.
 SECOND_PERSON = r"\b(you|your|the learner)\b"
+# Bridging phrases of a plan.
 PLAN_ANCHORS = ("your portfolio", "your background", "your project", "as a beginner", "as a senior", "your experience", "in your", "from your", "the learner's", "given your", "you mentioned", "since you", "you already")
+# Words that refer to a person.
 PERSON_REFERENCE = r"\b(?:you|your|you'?re|you'?ve|yourself|the learner|learner'?s|the user)\b"
+# Words that bridge within a sentence.
 SENTENCE_ANCHORS = ("background", "experience", "skill", "skills", "expertise", "project", "projects", "domain", "stack", "framework", "language", "analogy", "analogous", "analogies", "bridge", "intuition", "familiar", "familiarity", "owns", "already", "compared", "unlike", "similar", "like", "draws", "drawing", "your", "the learner", "learner's", "the user", "you've")
+# Stop words.
 STOP_WORDS = ("the", "and", "for", "with", "from", "your", "you", "this", "that", "have", "are", "was", "were", "will", "would", "should", "could", "but", "not", "into", "what", "when", "where", "which", "why", "how", "who", "use", "using", "they", "them", "their", "all", "any", "some", "more", "most", "many", "much", "such", "than", "then", "very", "also", "just", "only", "etc")
+# Forms of tokens, words and ends of sentences.
 TOKEN = r"[A-Za-z][A-Za-z0-9_+#\.-]+"
 DOMAIN_WORD = r"\b([A-Za-z][A-Za-z0-9+#\-]{2,})\b"
 SENTENCE_END = "(?<=[.!?])\\s+(?=[A-Z\"'])"
@@ -83,12 +93,17 @@ def matches(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike("(?i)" + pattern), F.lit(False))
 
 
-def pedagogy_flags(text: Column) -> dict[str, Column]:
-    return {name: matches(text, p) for name, p in PEDAGOGY}
+def pedagogy_flags(text: Column, lowered: Column | None = None) -> dict[str, Column]:
+    return _flags(PEDAGOGY, text, lowered)
 
 
-def skeleton_flags(text: Column) -> dict[str, Column]:
-    return {name: matches(text, p) for name, p in SKELETON}
+def skeleton_flags(text: Column, lowered: Column | None = None) -> dict[str, Column]:
+    return _flags(SKELETON, text, lowered)
+
+
+def _flags(patterns: tuple[tuple[str, str], ...], text: Column, lowered: Column | None) -> dict[str, Column]:
+    """Which patterns match; with the text in lower case at hand, each runs only where one of its literals occurs."""
+    return {name: matches(text, p) if lowered is None else matches_where_possible(text, lowered, p) for name, p in patterns}
 
 
 def role_family(role: Column) -> Column:
@@ -100,13 +115,23 @@ def phase(text: Column) -> Column:
 
 
 def anchor_count(text: Column, anchors: tuple[str, ...] = PLAN_ANCHORS) -> Column:
-    lowered = F.lower(text)
-    return sum((count_of(lowered, a) for a in anchors[1:]), count_of(lowered, anchors[0]))
+    return anchor_count_lower(F.lower(text), anchors)
+
+
+def anchor_count_lower(lowered: Column, anchors: tuple[str, ...] = PLAN_ANCHORS) -> Column:
+    """anchor_count of a text that is in lower case; a text is only searched for repeats of an anchor that it contains."""
+    counts = [F.when(F.contains(lowered, F.lit(a)), count_of(lowered, a)).otherwise(0) for a in anchors]
+    return sum(counts[1:], counts[0])
 
 
 def hit_ratio(terms: Column, text: Column) -> Column:
-    """The share of terms that text contains; null without terms."""
-    hits = F.size(F.filter(terms, lambda t: F.contains(F.lower(text), F.lower(t))))
+    """The share of terms that text contains, whatever their case; null without terms."""
+    return hit_ratio_lower(terms, F.lower(text))
+
+
+def hit_ratio_lower(terms: Column, lowered: Column) -> Column:
+    """hit_ratio of a text that is in lower case."""
+    hits = let(lowered, lambda x: F.size(F.filter(terms, lambda t: F.contains(x, F.lower(t)))))
     return F.when(F.size(terms) > 0, ratio(hits, F.size(terms)))
 
 

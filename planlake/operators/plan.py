@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planlake import schemas
+from planlake.functions.jsonx import object_variant
+from planlake.functions.literals import matches_where_possible
 from planlake.functions.nested import all_in, arrayed, let, multiset_jaccard, ratio, repeats, same_set, set_jaccard
 from planlake.functions.normalize import filled
-from planlake.functions.text import PEDAGOGY, SECOND_PERSON, anchor_count, hit_ratio, matches, pedagogy_flags, skeleton_flags, strip, tokens
+from planlake.functions.text import PEDAGOGY, SECOND_PERSON, anchor_count_lower, hit_ratio_lower, matches, pedagogy_flags, skeleton_flags, strip, tokens
+from planlake.functions.typed import PLAN, faults, has_list
 
 STRINGS = "array<string>"
 
@@ -90,7 +93,7 @@ def has_cycle(step_ids: Column, edges: Column) -> Column:
 
 
 def dag_metrics(step_ids: Column, edges: Column, all_edges: Column) -> Column:
-    """struct<n_nodes, n_edges, longest, width, parallel>; zero path measures for plans with a cycle. Edges count with repeats and unknown parents."""
+    """struct<n_nodes, n_edges, longest, width, parallel, cyclic>; zero path measures for plans with a cycle. Edges count with repeats and unknown parents."""
 
     def measured(x: Column) -> Column:
         n, ok = F.size(F.array_distinct(step_ids)), F.size(x["left"]) == 0
@@ -101,6 +104,7 @@ def dag_metrics(step_ids: Column, edges: Column, all_edges: Column) -> Column:
             longest.alias("longest"),
             F.when(ok, F.coalesce(F.array_max(x["widths"]), F.lit(0))).otherwise(0).alias("width"),
             F.when(n > 0, 1 - ratio(longest, n)).otherwise(0.0).alias("parallel"),
+            (~ok).alias("cyclic"),
         )
 
     return let(layers(step_ids, edges), measured)
@@ -118,10 +122,9 @@ def tool_relevance(steps: Column, agents: Column) -> Column:
 def graph_measures(rows: DataFrame) -> DataFrame:
     """rows of components with cyclic, dag, dependency_completeness, tool_relevance and the counts of bad references."""
     steps, agents, ids, edges = F.col("steps"), F.col("agents"), F.col("step_ids"), F.col("edges")
-    return rows.withColumns(
+    return rows.withColumn("dag", dag_metrics(ids, edges, F.col("all_edges"))).withColumns(
         {
-            "cyclic": has_cycle(ids, edges),
-            "dag": dag_metrics(ids, edges, F.col("all_edges")),
+            "cyclic": F.col("dag.cyclic"),
             "dependency_completeness": dependency_completeness(ids, edges),
             "tool_relevance": tool_relevance(steps, agents),
             "invalid_tool_calls": F.size(F.filter(steps, lambda s: present(s["tool"]) & ~_declares(agents, s["agent"], s["tool"]))),
@@ -186,11 +189,23 @@ def usable(agents: Column, subtasks: Column, steps: Column) -> Column:
     )
 
 
+#: The lists that the weakest schema test wants, by mode.
+MODES = {"pad": ("agents", "subtasks"), "sdp": ("subtasks", "execution_order"), "full": ("agents", "subtasks", "execution_order")}
+
+
+def lists_in(value: Column, mode: str) -> Column:
+    """The weakest schema test: the lists of mode pad, sdp or full of a parsed object are lists."""
+    return F.least(*[has_list(value, k) for k in MODES[mode]])
+
+
 def lists_present(text: Column, mode: str) -> Column:
-    """The weakest schema test: the object's lists of mode pad, sdp or full are lists."""
-    keys = {"pad": ("agents", "subtasks"), "sdp": ("subtasks", "execution_order"), "full": ("agents", "subtasks", "execution_order")}[mode]
-    tests = [F.coalesce(F.ltrim(F.get_json_object(text, f"$.{k}")).startswith("["), F.lit(False)) for k in keys]
-    return F.least(*tests)
+    """lists_in of an object's text."""
+    return let(F.try_parse_json(text), lambda v: lists_in(v, mode))
+
+
+def type_faults(text: Column) -> Column:
+    """array<string>: what a plan's output lacks or has of another type, by path; the text is parsed once, and one without an object is missing whole."""
+    return let(object_variant(text), lambda v: faults(v, PLAN))
 
 
 def integrity(rows: DataFrame) -> DataFrame:
@@ -245,15 +260,16 @@ def pedagogy(rows: DataFrame) -> DataFrame:
     """rows of components with a flag and a number of steps for each pattern, their diversity, and the three acts of the outline."""
     body = full_text(F.col("agents"), F.col("subtasks"))
     names = F.array_join(F.flatten(F.transform("subtasks", lambda s: F.array(F.coalesce(s["name"], F.lit("")), F.coalesce(s["subtask_objective"], F.lit(""))))), "\n")
-    rows = rows.withColumns({"body": body, "outline_text": names})
-    flags = {f"has_{k}": v for k, v in pedagogy_flags(F.col("body")).items()}
+    said = F.transform("steps", lambda s: let(F.coalesce(s["instruction"], F.lit("")), lambda t: F.struct(t.alias("text"), F.lower(t).alias("lowered"))))
+    rows = rows.withColumns({"body": body, "outline_text": names, "__said": said}).withColumns({"__body": F.lower("body"), "__outline": F.lower("outline_text")})
+    flags = {f"has_{k}": v for k, v in pedagogy_flags(F.col("body"), F.col("__body")).items()}
 
     def hits_of(pattern: str) -> Column:
-        return F.size(F.filter("steps", lambda s: matches(F.coalesce(s["instruction"], F.lit("")), pattern)))
+        return F.size(F.filter("__said", lambda s: matches_where_possible(s["text"], s["lowered"], pattern)))
 
     hits = {f"n_{k}": hits_of(p) for k, p in PEDAGOGY}
-    acts = {f"act_{k}": v for k, v in skeleton_flags(F.col("outline_text")).items()}
-    rows = rows.withColumns(flags | hits | acts)
+    acts = {f"act_{k}": v for k, v in skeleton_flags(F.col("outline_text"), F.col("__outline")).items()}
+    rows = rows.withColumns(flags | hits | acts).drop("__said", "__body", "__outline")
     return rows.withColumn("diversity", sum((F.col(k).cast("int") for k in list(flags)[1:]), F.col(next(iter(flags))).cast("int")))
 
 
@@ -269,9 +285,9 @@ def personalization(rows: DataFrame, description: Column, skills: Column) -> Dat
     return rows.withColumn("__body", body).withColumns(
         {
             "second_person": ratio(spoken, F.size("steps")),
-            "n_anchors": anchor_count(F.col("__body")),
-            "skill_share": hit_ratio(arrayed(skills), F.col("__body")),
-            "token_share": hit_ratio(words, F.col("__body")),
+            "n_anchors": anchor_count_lower(F.col("__body")),
+            "skill_share": hit_ratio_lower(arrayed(skills), F.col("__body")),
+            "token_share": hit_ratio_lower(words, F.col("__body")),
         }
     ).drop("__body")
 

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planlake import schemas
-from planlake.functions.jsonx import object_text
+from planlake.functions.jsonx import object_variant
 from planlake.functions.nested import let, ratio, upper_median
 from planlake.functions.text import PERSON_REFERENCE, matches, personal_sentence, phase, phase_checks, profile_signals, sentences
 from planlake.operators import plan as P
+from planlake.sources.folders import written
 
+#: Where a plan may stand in an object, the first that is there first.
+LAYOUTS = ("$.plan.output", "$.output", "$")
 COLUMNS = ("roles", "names", "step_ids", "edges", "step_tools")
 
 
@@ -34,13 +37,12 @@ class RewardConfig:
 
 
 def parsed(rows: DataFrame, text: str, prefix: str) -> DataFrame:
-    """rows with a struct column named prefix of a plan's components, null where text holds no object."""
-    body = object_text(F.col(text))
-    plan = F.from_json(body, schemas.OUTPUT)
-    inner = F.coalesce(F.from_json(body, f"plan struct<output:{schemas.OUTPUT}>")["plan"]["output"], F.from_json(body, f"output {schemas.OUTPUT}")["output"])
-    known = P.components(rows.withColumn("__out", F.coalesce(inner, plan)), "__out")
+    """rows with a struct column named prefix of a plan's components, null where text holds no object; the text is parsed once."""
+    known = rows.withColumn("__parsed", object_variant(F.col(text)))
+    out = F.coalesce(*[F.try_variant_get("__parsed", at, schemas.OUTPUT) for at in LAYOUTS])
+    known = P.components(known.withColumn("__out", out), "__out")
     made = ["agents", "subtasks", "entries", "steps", "loops", "step_ids", "all_edges", "edges", "roles", "names", "step_tools", "agent_tools", "order_ids"]
-    return known.withColumn(prefix, F.when(body.isNotNull(), F.struct(*made))).drop("__out", *made)
+    return known.withColumn(prefix, F.when(F.col("__out").isNotNull(), F.struct(*made))).drop("__parsed", "__out", *made)
 
 
 def _fields(c: Column) -> dict[str, Column]:
@@ -90,10 +92,12 @@ def compose(struct: Column, pers: Column, ped: Column, hard: Column, config: Rew
     return config.struct_weight * struct + config.pers_weight * pers + config.ped_weight * ped + hard
 
 
-def score(rows: DataFrame, config: RewardConfig | None = None, precedence: Column | None = None, judges: list[Column] | None = None) -> DataFrame:
+def score(rows: DataFrame, config: RewardConfig | None = None, precedence: Column | None = None, judges: list[Column] | None = None, mined: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """rows (completion, gold_plan, learner_profile, cf_plan if counterfactual) with r_struct, r_hard, r_pers, r_ped and reward.
 
-    precedence: a column with the plan's compatibility with mined subtask orders, 0 without; judges: columns of scores for ped_mode full.
+    mined: ordered pairs (a, b) of subtask names as plan.mined_precedence gives them, with which each completion's own order is compared, joined by keys, the
+    columns that tell rows apart; precedence: or a column with that share, 0 without either, and for a completion that holds no plan; judges: columns
+    of scores for ped_mode full.
     """
     config = config or RewardConfig()
     rows = parsed(parsed(rows, "completion", "__c"), "gold_plan", "__g")
@@ -108,13 +112,24 @@ def score(rows: DataFrame, config: RewardConfig | None = None, precedence: Colum
 
         pers = r_pers_lite(c, filled(who["self_description"], who["about_me"]), filled_list(who["skills"], who["top_tags"]))
     ped = F.lit(0.0)
+    if mined is not None and config.ped_mode != "off":
+        if not keys:
+            raise ValueError("keys are needed to join what is mined")
+        rows = written(rows, "parsed-completions")
+        shares = P.precedence_compatibility(rows.where("__c IS NOT NULL").select(*keys, F.col("__c.subtasks").alias("subtasks")), mined, *keys)
+        shares = shares.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col("compatibility").alias("__precedence"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+        rows = rows.join(shares, same, "left").drop(*[f"__of_{k}" for k in keys])
+        precedence = F.coalesce(F.col("__precedence"), F.lit(0.0))
     if config.ped_mode != "off":
         hard_part = precedence if precedence is not None else F.lit(0.0)
         ped = 0.5 * hard_part + 0.5 * r_ped_phases(c)
         if config.ped_mode == "full" and judges:
             ped = (1 - config.full_share) * ped + config.full_share * F.coalesce(upper_median(F.array(*judges)), F.lit(0.0))
     rows = rows.withColumns({"r_struct": r_struct(c, g), "r_hard": r_hard(c, config.penalty), "r_pers": pers, "r_ped": ped})
-    return rows.withColumn("reward", compose(F.col("r_struct"), F.col("r_pers"), F.col("r_ped"), F.col("r_hard"), config)).drop("__c", "__g", "__f")
+    return rows.withColumn("reward", compose(F.col("r_struct"), F.col("r_pers"), F.col("r_ped"), F.col("r_hard"), config)).drop("__c", "__g", "__f", "__precedence")
 
 
 def with_references(rollouts: DataFrame, gold: DataFrame, counterfactual: DataFrame | None = None) -> DataFrame:

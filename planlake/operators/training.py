@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planlake import schemas
-from planlake.functions.jsonx import object_text
+from planlake.functions.jsonx import object_text, object_variant
 from planlake.functions.normalize import learner, outline, schedule
 from planlake.operators import plan as P
 
@@ -54,9 +54,9 @@ def preference_pairs(samples: DataFrame, gold: DataFrame) -> DataFrame:
 
     samples: (question_id, profile_index, pair_idx, sample_id, raw_text); gold: (question_id, profile_index, roles, names).
     """
-    body = object_text(F.col("raw_text"))
-    out = F.from_json(body, schemas.OUTPUT)
-    known = samples.where(body.isNotNull()).withColumns({"s_roles": F.transform(F.coalesce(out["agents"], F.array()), lambda a: a["agent_role"]), "s_names": F.transform(F.coalesce(out["subtasks"], F.array()), lambda s: s["name"])})
+    out = F.col("__out")
+    known = samples.withColumn("__parsed", object_variant(F.col("raw_text"))).where("__parsed IS NOT NULL").withColumn("__out", F.try_variant_get("__parsed", "$", schemas.OUTPUT)).drop("__parsed")
+    known = known.withColumns({"s_roles": F.transform(F.coalesce(out["agents"], F.array()), lambda a: a["agent_role"]), "s_names": F.transform(F.coalesce(out["subtasks"], F.array()), lambda s: s["name"])}).drop("__out")
     scored = known.join(gold, ["question_id", "profile_index"]).withColumn("score", P.scaffold_score({"roles": F.col("s_roles"), "names": F.col("s_names")}, {"roles": F.col("roles"), "names": F.col("names")}))
     best = F.max(F.struct("score", (-F.col("sample_id")).alias("first"), "raw_text"))
     worst = F.min(F.struct("score", "sample_id", "raw_text"))
@@ -74,13 +74,20 @@ def own_scaffold_rows(samples: DataFrame, records: DataFrame, system: str) -> Da
     return joined.select(rows.alias("messages"), "question_id", "profile_index")
 
 
+def validity_by_mode(predictions: DataFrame, column: str = "output", modes: tuple[str, ...] = tuple(P.MODES)) -> DataFrame:
+    """(mode, n, schema_valid, acyclic) for each of modes, in one pass that parses each text once; acyclic counts only where the schema is valid."""
+    parsed = predictions.select(object_variant(F.col(column)).alias("__parsed"))
+    known = parsed.select(F.try_variant_get("__parsed", "$", schemas.OUTPUT).alias("__out"), *[P.lists_in(F.col("__parsed"), m).alias(m) for m in modes])
+    known = P.components(known, "__out").select(*modes, (~P.has_cycle(F.col("step_ids"), F.col("edges"))).alias("sound"))
+    share = lambda flag: F.avg(flag.cast("double"))
+    sums = known.agg(F.count("*").alias("n"), *[share(F.col(m)).alias(f"valid_{m}") for m in modes], *[share(F.col(m) & F.col("sound")).alias(f"acyclic_{m}") for m in modes])
+    each = F.array(*[F.struct(F.lit(m).alias("mode"), F.col("n"), F.col(f"valid_{m}").alias("schema_valid"), F.col(f"acyclic_{m}").alias("acyclic")) for m in modes])
+    return sums.select(F.explode(each).alias("m")).select("m.*")
+
+
 def validity_rates(predictions: DataFrame, mode: str, column: str = "output") -> DataFrame:
     """(n, schema_valid, acyclic): acyclic counts only where the schema is valid."""
-    body = object_text(F.col(column))
-    valid = F.coalesce(P.lists_present(body, mode), F.lit(False))
-    parsed = P.components(predictions.select(body.alias("body"), valid.alias("valid"), F.from_json(body, schemas.OUTPUT).alias("out")), "out")
-    acyclic = F.col("valid") & ~P.has_cycle(F.col("step_ids"), F.col("edges"))
-    return parsed.agg(F.count("*").alias("n"), F.avg(F.col("valid").cast("double")).alias("schema_valid"), F.avg(acyclic.cast("double")).alias("acyclic"))
+    return validity_by_mode(predictions, column, (mode,)).drop("mode")
 
 
 def length_report(rows: DataFrame, text: str, *keys: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planlake.queries import aggregates, construction, graphs, joins, plans, scoring, texts
+from planlake.queries import aggregates, construction, graphs, joins, plans, scoring, series, texts
 
-_MODULES = (aggregates, joins, graphs, texts, scoring, plans, construction)
+_MODULES = (aggregates, joins, graphs, texts, scoring, plans, construction, series)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

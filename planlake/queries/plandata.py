@@ -125,3 +125,28 @@ def order_plans(t) -> DataFrame:
 
 def order_components(t) -> DataFrame:
     return P.components(order_plans(t))
+
+
+def _first(xs: Column, when: Column, change) -> Column:
+    """xs with its first element changed where when holds."""
+    return F.transform(xs, lambda x, i: F.when(when & (i == 0), change(x)).otherwise(x))
+
+
+def with_faulty_roles(plans: DataFrame) -> DataFrame:
+    """plans with faults for audits to find: of every eleventh the first agent comes twice, of every thirteenth the first has no role."""
+    k, agents = F.col("k"), F.col("plan.output.agents")
+    twice = F.when(k % 11 == 0, F.concat(agents, F.slice(agents, 1, 1))).otherwise(agents)
+    return plans.withColumn("plan", F.col("plan").withField("output.agents", _first(twice, k % 13 == 0, lambda a: a.withField("agent_role", F.lit("")))))
+
+
+def with_foreign_tools(plans: DataFrame) -> DataFrame:
+    """plans with faults for audits to find: of every seventeenth the first agent has a tool outside the pool."""
+    tooled = _first(F.col("plan.output.agents"), F.col("k") % 17 == 0, lambda a: a.withField("tools", F.array_append(a["tools"], F.lit("HomeMadeTool"))))
+    return plans.withColumn("plan", F.col("plan").withField("output.agents", tooled))
+
+
+def with_faulty_subtasks(plans: DataFrame) -> DataFrame:
+    """plans with faults for audits to find: of every seventh, from the third on, all subtasks are called S1, and of every fifth, from the second on, the first has no name."""
+    k = F.col("k")
+    alike = F.transform("plan.output.subtasks", lambda s: F.when(k % 7 == 3, s.withField("id", F.lit("S1"))).otherwise(s))
+    return plans.withColumn("plan", F.col("plan").withField("output.subtasks", _first(alike, k % 5 == 2, lambda s: s.withField("name", F.lit("")))))

@@ -9,7 +9,7 @@ from planlake.functions.normalize import agent, learner, outline, schedule
 from planlake.functions.text import PEDAGOGY, PHASES, PLAN_ANCHORS, SECOND_PERSON, SKELETON
 from planlake.operators import audit, compare, rewards, training
 from planlake.operators import plan as P
-from planlake.queries.plandata import DECLARED, LINES, NAME, order_components, order_plans
+from planlake.queries.plandata import DECLARED, LINES, NAME, order_components, order_plans, with_faulty_roles, with_faulty_subtasks, with_foreign_tools
 from planlake.queries.registry import catalogue
 
 query, QUERIES, SQL = catalogue()
@@ -69,20 +69,20 @@ def q58_mechanical_audit(t):
     return audit.mechanical(order_components(t)).select("n", *[F.round(c, 6).alias(c) for c in ("schema_valid", "no_cycle", "no_invalid_tool")], "n_invalid_tool")
 
 
-@query(f"""WITH {LINES}, p AS (SELECT CASE WHEN bare THEN 0 ELSE len(roles) END AS a, len(subs) AS s FROM g)
+@query(f"""WITH {LINES}, p AS (SELECT CASE WHEN bare THEN 0 ELSE len(roles) + (k % 11 = 0)::INT END AS a, len(subs) AS s, NOT bare AND k % 11 = 0 AND k % 13 <> 0 AS twice, len(subs) = 2 AND k % 7 = 3 AS ids, NOT bare AND k % 13 = 0 AS role, k % 5 = 2 AS name FROM g)
 SELECT count(*) AS n, round(avg(a), 6) AS mean_agents, median(a)::DOUBLE AS median_agents, min(a)::BIGINT AS min_agents, max(a)::BIGINT AS max_agents, round(avg(s), 6) AS mean_subtasks, median(s)::DOUBLE AS median_subtasks, min(s)::BIGINT AS min_subtasks,
- max(s)::BIGINT AS max_subtasks, 0.0::DOUBLE AS repeated_roles, 0.0::DOUBLE AS repeated_ids, 0.0::DOUBLE AS empty_role, 0.0::DOUBLE AS empty_name FROM p""")
+ max(s)::BIGINT AS max_subtasks, round(avg(twice::INT), 6) AS repeated_roles, round(avg(ids::INT), 6) AS repeated_ids, round(avg(role::INT), 6) AS empty_role, round(avg(name::INT), 6) AS empty_name FROM p""")
 def q59_outline_audit(t):
-    out = audit.outlines(order_components(t))
+    out = audit.outlines(P.components(with_faulty_subtasks(with_faulty_roles(order_plans(t)))))
     cast = {c: F.col(c).cast("long") for c in ("min_agents", "max_agents", "min_subtasks", "max_subtasks")}
-    return out.withColumns(cast | {c: F.round(c, 6) for c in ("mean_agents", "mean_subtasks")} | {c: F.col(c).cast("double") for c in ("median_agents", "median_subtasks", "repeated_roles", "repeated_ids", "empty_role", "empty_name")})
+    return out.withColumns(cast | {c: F.round(c, 6) for c in ("mean_agents", "mean_subtasks", "repeated_roles", "repeated_ids", "empty_role", "empty_name")} | {c: F.col(c).cast("double") for c in ("median_agents", "median_subtasks")})
 
 
-@query(f"""WITH {LINES}, s AS (SELECT l.k, count(*) AS steps, count(*) FILTER (bare OR NOT list_contains(roles, agent)) AS agent, count(*) FILTER (tool IS NOT NULL AND NOT coalesce({DECLARED}, false)) AS tool, (l.k % 7 = 0)::INT AS extra, (count(*) >= 4 AND l.k % 31 = 0)::INT AS loops FROM l JOIN g USING (k) GROUP BY l.k)
-SELECT count(*) AS n, round(sum(agent) / sum(steps), 6) AS unknown_agent, round(sum(tool) / sum(steps), 6) AS bad_tool, 0.0::DOUBLE AS bad_prefix, round(sum(extra) / count(*), 6) AS unknown_in_order, sum(loops)::BIGINT AS bad_loops,
+@query(f"""WITH {LINES}, s AS (SELECT l.k, count(*) AS steps, count(*) FILTER (bare OR NOT list_contains(roles, agent)) AS agent, count(*) FILTER (tool IS NOT NULL AND NOT coalesce({DECLARED}, false)) AS tool, (l.k % 7 = 0)::INT AS extra, (count(*) >= 4 AND l.k % 31 = 0)::INT AS loops, count(*) FILTER (l.k % 7 = 3 AND sub = 'S2') AS prefix FROM l JOIN g USING (k) GROUP BY l.k)
+SELECT count(*) AS n, round(sum(agent) / sum(steps), 6) AS unknown_agent, round(sum(tool) / sum(steps), 6) AS bad_tool, round(sum(prefix) / sum(steps), 6) AS bad_prefix, round(sum(extra) / count(*), 6) AS unknown_in_order, sum(loops)::BIGINT AS bad_loops,
  round(avg(steps), 6) AS mean_steps, median(steps)::DOUBLE AS median_steps, min(steps)::BIGINT AS min_steps, max(steps)::BIGINT AS max_steps FROM s""")
 def q60_schedule_audit(t):
-    out = audit.schedules(order_components(t))
+    out = audit.schedules(P.components(with_faulty_subtasks(order_plans(t))))
     rounded = {c: F.round(c, 6) for c in ("unknown_agent", "bad_tool", "bad_prefix", "unknown_in_order", "mean_steps")}
     return out.withColumns(rounded | {"median_steps": F.col("median_steps").cast("double")})
 
@@ -108,11 +108,12 @@ _DECLARED_TOOLS = "CASE r WHEN 'A' THEN ['RagTool'] WHEN 'N' THEN ['FileReadTool
 v AS (SELECT k, bool_and(coalesce(used, CAST([] AS VARCHAR[])) = declared) AS used, bool_and(n > 0) AS busy FROM u GROUP BY k), c AS (SELECT l.k, NOT (l.k % 7 = 0 OR bool_or(NOT ordered)) AS covered,
  NOT bool_or((l.n > 1 AND po AND NOT ordered) OR (cyc AND so)) AS topological, count(*) < 4 OR (l.k % 31 <> 0 AND arg_max(q, l.n) % 6 + 1 BETWEEN 2 AND 5) AS sound
  FROM (SELECT l.*, p.ordered AS po, x.ordered AS so FROM l LEFT JOIN l p ON p.k = l.k AND p.n = l.n // 2 LEFT JOIN l x ON x.k = l.k AND x.n = 2) l GROUP BY l.k)
-SELECT count(*) AS n, count(*) FILTER (coalesce(used, true)) AS tools_declared_are_used, count(*) FILTER (coalesce(busy, true)) AS agents_are_used, count(*) AS tools_in_pool, count(*) FILTER (covered) AS order_covers_steps,
- count(*) FILTER (coalesce(topological, true)) AS order_is_topological, count(*) FILTER (sound) AS loops_are_sound FROM c LEFT JOIN v USING (k)""")
+SELECT count(*) AS n, count(*) FILTER (coalesce(used, true) AND (bare OR k % 17 <> 0)) AS tools_declared_are_used, count(*) FILTER (coalesce(busy, true)) AS agents_are_used, count(*) FILTER (bare OR k % 17 <> 0) AS tools_in_pool, count(*) FILTER (covered) AS order_covers_steps,
+ count(*) FILTER (coalesce(topological, true)) AS order_is_topological, count(*) FILTER (sound) AS loops_are_sound FROM c LEFT JOIN v USING (k) JOIN g USING (k)""")
 def q63_rubric_checks(t):
     checks = ("tools_declared_are_used", "agents_are_used", "tools_in_pool", "order_covers_steps", "order_is_topological", "loops_are_sound")
-    return P.rubric_checks(order_components(t)).agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in checks])
+    rows = P.components(with_foreign_tools(order_plans(t)))
+    return P.rubric_checks(rows).agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in checks])
 
 
 @query(f"WITH {LINES} SELECT agent, count(*) AS n_plans, sum(n)::BIGINT AS n_steps, max(n)::BIGINT AS most FROM (SELECT k, agent, count(*) AS n FROM l GROUP BY ALL) GROUP BY agent")
@@ -222,8 +223,8 @@ _PAIRED = f"x AS (SELECT a.k, {_SIMILAR} AS sim FROM f a JOIN f b ON a.c = b.c A
 _JOINED = "st JOIN x USING (k) JOIN y USING (k) JOIN phases USING (k) JOIN personal USING (k)"
 
 
-def _reward_sql(pers: str, ped: str) -> str:
-    return f"""WITH {LINES}, {_SETS}, {_PHASED}, {_PERSONAL}, {_STRUCT}, {_PAIRED}, r AS (SELECT k, own + 0.30 * x.sim AS s, hard, {pers} AS p, {ped} AS d FROM {_JOINED})
+def _reward_sql(pers: str, ped: str, more: str = "", joined: str = "") -> str:
+    return f"""WITH {LINES}, {_SETS}, {_PHASED}, {_PERSONAL}, {_STRUCT}, {_PAIRED}{', ' + more if more else ''}, r AS (SELECT k, own + 0.30 * x.sim AS s, hard, {pers} AS p, {ped} AS d FROM {_JOINED} {joined})
 SELECT k, round(s, 9) AS r_struct, hard::DOUBLE AS r_hard, round(p, 9)::DOUBLE + 0.0 AS r_pers, round(d, 9)::DOUBLE AS r_ped, round(0.55 * s + 0.25 * p + 0.20 * d + hard, 9) AS reward FROM r"""
 
 
@@ -237,10 +238,18 @@ def q69_reward_lite(t):
     return _scored(t, rewards.RewardConfig(pers_mode="lite", ped_mode="lite"))
 
 
-@query(_reward_sql("x.sim - y.sim", "0.2 * 0.5 * ped + 0.8 * 0.5"))
+#: What four judges say of a plan, told by its number, and whether a plan's subtasks stand in an order that is mined.
+_JUDGES = (5, 7, 3, 11)
+_MINED = """mo AS (SELECT k, CASE WHEN len(subs) = 2 THEN ['probe ' || k % 3, 'apply ' || k % 2] END AS pair FROM g), mm AS (SELECT DISTINCT pair FROM mo WHERE pair IS NOT NULL AND k % 4 = 0 AND k % 3 <> 0),
+mined AS (SELECT mo.k, CASE WHEN mo.pair IS NULL THEN 1.0 ELSE (mm.pair IS NOT NULL)::INT END::DOUBLE AS prec FROM mo LEFT JOIN mm ON mm.pair = mo.pair)"""
+_MEDIAN = f"list_sort([{', '.join(f'(k % {j})::DOUBLE / {j}' for j in _JUDGES)}])[3]"
+
+
+@query(_reward_sql("x.sim - y.sim", f"0.2 * (0.5 * prec + 0.5 * ped) + 0.8 * {_MEDIAN}", _MINED, "JOIN mined USING (k)"))
 def q70_reward_full(t):
-    judges = [F.lit(0.1), F.lit(0.5), F.lit(0.4), F.lit(0.9)]
-    return _scored(t, rewards.RewardConfig(pers_mode="counterfactual", ped_mode="full"), judges=judges)
+    judges = [(F.col("k") % j).cast("double") / j for j in _JUDGES]
+    mined = P.mined_precedence(order_components(t).where("k % 4 = 0 AND k % 3 <> 0"))
+    return _scored(t, rewards.RewardConfig(pers_mode="counterfactual", ped_mode="full"), judges=judges, mined=mined, keys=("k",))
 
 
 @query(f"""WITH {LINES}, o AS (SELECT k, subs, CASE WHEN len(subs) = 2 THEN ['probe ' || k % 3, 'apply ' || k % 2] END AS pair FROM g), m AS (SELECT DISTINCT pair FROM o WHERE pair IS NOT NULL AND k % 4 = 0 AND k % 3 <> 0)
@@ -274,8 +283,7 @@ def q73_validity_rates(t):
     cut = F.to_json(F.struct("plan.output.agents", "plan.output.subtasks"))
     text = F.when(kind == 0, F.concat(F.lit("```json\n"), out, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("Here: "), out, F.lit(" so."))).when(kind == 2, cut).when(kind == 3, "no plan").otherwise(out)
     rows = order_plans(t).select(text.alias("output"))
-    rates = [training.validity_rates(rows, m).select(F.lit(m).alias("mode"), "n", F.round("schema_valid", 6).alias("schema_valid"), F.round("acyclic", 6).alias("acyclic")) for m in ("pad", "sdp", "full")]
-    return rates[0].union(rates[1]).union(rates[2])
+    return training.validity_by_mode(rows).select("mode", "n", F.round("schema_valid", 6).alias("schema_valid"), F.round("acyclic", 6).alias("acyclic"))
 
 
 @query(f"""WITH {LINES}, {_SETS}, d AS (SELECT b.c, a.i AS sample, 0.5 * ({_jaccard('roles')}) + 0.5 * ({_jaccard('names')}) AS score FROM f a JOIN f b ON a.c = b.c AND b.i = 0 WHERE a.i > 0 AND a.k % 5 <> 3)
