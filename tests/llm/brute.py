@@ -245,8 +245,7 @@ def runs(s, power=4, least=6):
         same = np.flatnonzero(np.diff(np.r_[0, a[:-q] == a[q:], 0]))
         for i, j in zip(same[::2].tolist(), same[1::2].tolist(), strict=True):
             length = j + q - i
-            shorter = any(q % d == 0 and all(s[x] == s[x + d] for x in range(i, i + length - d)) for d in range(1, q))
-            if length >= max(least, power * q) and not shorter:
+            if length >= max(least, power * q) and not any(q % d == 0 and all(s[x] == s[x + d] for x in range(i, i + length - d)) for d in range(1, q)):
                 out.append((i, length, q))
     return sorted(out, key=lambda r: (r[0], r[2]))
 
