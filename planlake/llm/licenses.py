@@ -28,6 +28,7 @@ WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
 GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
+_CC = "(?: [1-4]\\.[05])?(?: (?:International|Unported|Generic))?"
 #: (label, keywords, names as regular expressions), most specific first. The keywords occur in every name.
 NAMES = (
     ("agpl-3.0", "affero", ("GNU Affero General Public License,? (?:version|v)\\.? ?3(?:\\.0)?", "Affero GPL ?v?3")),
@@ -63,13 +64,30 @@ NAMES = (
     ("python", "python", ("Python Software Foundation License", "Python License")),
     ("eupl", "eupl", ("European Union Public Licence \\(EUPL\\)", "EUPL")),
     ("ofl", "font licen", ("SIL Open Font License,? (?:version|v)?\\.? ?1\\.1", "SIL Open Font License")),
+    ("sspl", "server licen", ("Server Side Public License(?:,? (?:version|v)?\\.? ?1)?",)),
+    ("elastic-2.0", "elastic licen", ("Elastic License,? (?:version|v)?\\.? ?2(?:\\.0)?",)),
+    ("elastic-2.0", "elv2", ("ELv2",)),
+    ("elastic", "elastic licen", ("Elastic License",)),
+    ("busl-1.1", "business licen", ("Business Source License,? (?:version|v)?\\.? ?1\\.1",)),
+    ("busl", "business licen", ("Business Source License",)),
+    ("odbl", "database licen", ("(?:Open Data Commons )?Open Database License(?: \\(ODbL\\))?",)),
+    ("postgresql", "postgresql licen", ("PostgreSQL License",)),
+    ("openssl", "openssl licen", ("OpenSSL License",)),
+    ("ruby", "ruby licen", ("Ruby License",)),
+    ("x11", "x11 licen", ("X11 License",)),
     ("cc0", "cc0", ("CC0 1\\.0 Universal", "CC0")),
-    ("cc-by-nc-nd", "cc", ("CC[ -]BY[ -]NC[ -]ND(?:[ -][1-4]\\.0)?", "Creative Commons \\(?CC\\)? Attribution-NonCommercial-NoDerivatives")),
-    ("cc-by-nc-sa", "cc", ("CC[ -]BY[ -]NC[ -]SA(?:[ -][1-4]\\.0)?", "Creative Commons \\(?CC\\)? Attribution-NonCommercial-ShareAlike")),
-    ("cc-by-nc", "cc", ("CC[ -]BY[ -]NC(?:[ -][1-4]\\.0)?", "Creative Commons \\(?CC\\)? Attribution-NonCommercial")),
-    ("cc-by-nd", "cc", ("CC[ -]BY[ -]ND(?:[ -][1-4]\\.0)?", "Creative Commons \\(?CC\\)? Attribution-NoDerivatives")),
-    ("cc-by-sa", "cc", ("CC[ -]BY[ -]SA(?:[ -][1-4]\\.0)?", "Creative Commons \\(?CC\\)? Attribution-ShareAlike")),
-    ("cc-by", "cc", ("CC[ -]BY(?:[ -][1-4]\\.0)?", "Creative Commons \\(?CC\\)? Attribution")),
+    ("cc-by-nc-nd", "cc", ("CC[ -]BY[ -]NC[ -]ND(?:[ -][1-4]\\.[05])?",)),
+    ("cc-by-nc-nd", "commons", ("Creative Commons (?:\\(?CC\\)? )?Attribution[ -]Non-?Commercial[ -]No-?Deriv(?:ative)?s" + _CC,)),
+    ("cc-by-nc-sa", "cc", ("CC[ -]BY[ -]NC[ -]SA(?:[ -][1-4]\\.[05])?",)),
+    ("cc-by-nc-sa", "commons", ("Creative Commons (?:\\(?CC\\)? )?Attribution[ -]Non-?Commercial[ -]Share-?Alike" + _CC,)),
+    ("cc-by-nc", "cc", ("CC[ -]BY[ -]NC(?:[ -][1-4]\\.[05])?",)),
+    ("cc-by-nc", "commons", ("Creative Commons (?:\\(?CC\\)? )?Attribution[ -]Non-?Commercial" + _CC,)),
+    ("cc-by-nd", "cc", ("CC[ -]BY[ -]ND(?:[ -][1-4]\\.[05])?",)),
+    ("cc-by-nd", "commons", ("Creative Commons (?:\\(?CC\\)? )?Attribution[ -]No-?Deriv(?:ative)?s" + _CC,)),
+    ("cc-by-sa", "cc", ("CC[ -]BY[ -]SA(?:[ -][1-4]\\.[05])?",)),
+    ("cc-by-sa", "commons", ("Creative Commons (?:\\(?CC\\)? )?Attribution[ -]Share-?Alike" + _CC,)),
+    ("cc-by", "cc", ("CC[ -]BY(?:[ -][1-4]\\.[05])?",)),
+    ("cc-by", "commons", ("Creative Commons (?:\\(?CC\\)? )?Attribution" + _CC,)),
     ("creative-commons", "commons", ("Creative Commons license", "Creative Commons")),
     ("public-domain", "domain", ("released into the public domain", "dedicated to the public domain")),
     ("all-rights-reserved", "rights", ("All rights reserved", "rights reserved")),
@@ -110,6 +128,14 @@ SPDX = (
     ("python", ("PSF-2\\.0", "Python-2\\.0(?:\\.1)?")),
     ("eupl", ("EUPL-1\\.[012]",)),
     ("ofl", ("OFL-1\\.[01]",)),
+    ("sspl", ("SSPL-1\\.0",)),
+    ("elastic-2.0", ("Elastic-2\\.0",)),
+    ("busl-1.1", ("BUSL-1\\.1",)),
+    ("odbl", ("ODbL-1\\.0",)),
+    ("postgresql", ("PostgreSQL",)),
+    ("openssl", ("OpenSSL",)),
+    ("ruby", ("Ruby",)),
+    ("x11", ("X11",)),
     ("cc0", ("CC0-1\\.0",)),
     ("cc-by-nc-nd", ("CC-BY-NC-ND-[1-4]\\.[05]",)),
     ("cc-by-nc-sa", ("CC-BY-NC-SA-[1-4]\\.[05]",)),
@@ -143,6 +169,8 @@ SHORT = (
     ("zlib", "zlib", ("zlib",)),
     ("zlib", "libpng", ("zlib/libpng",)),
     ("boost", "bsl", ("BSL" + _VERSION.format("1"),)),
+    ("sspl", "sspl", ("SSPL(?:v1)?",)),
+    ("odbl", "odbl", ("ODbL",)),
     ("cc0", "cc", ("CC-?0",)),
     ("public-domain", "domain", ("(?:the )?public domain",)),
 )
@@ -234,26 +262,31 @@ SENTENCES = (
 #: (form of citation around a name, keyword that it needs besides the name's, score), most specific first.
 FORMS = (
     ("SPDX-License-Identifier: ?{}", "spdx", 1.0),
+    ("licen[sc]e[\"']? ?[:=] ?[\"']?{}", "licen", 0.95),
     ("(?:is |are )?licen[sc]ed under (?:the )?(?:terms of (?:the )?)?{}", "licen", 0.95),
     ("(?:re)?distributed under (?:the )?(?:terms of (?:the )?)?{}", "distributed", 0.95),
     ("(?:released|available|published|provided) under (?:the )?(?:terms of (?:the )?)?{}", "under", 0.9),
     ("under (?:the )?(?:(?:terms|conditions) of (?:the )?)?{}", "under", 0.85),
     ("subject to (?:the )?(?:(?:terms|conditions) of (?:the )?)?{}", "subject", 0.85),
     ("{}(?: (?:public )?licen[sc]e)", "licen", 0.8),
+    ("{}[,;.]? see (?:the )?(?:file )?[\"'`]?licen[sc]e", "licen", 0.8),
     ("{}", "", 0.6),
 )
+#: What a text says not to be its license: such a span is longer than those it holds, which go with it, and has no label of its own.
+DENIED = "(?:not|never|nor|neither|(?:is|are|was|were|be|been|has|have)n['’]t|cannot be) (?:(?:be|been|yet|itself|re) ?){0,2}(?:(?:licen[sc]ed|(?:re)?distributed|released|available|published|provided|used) )?under (?:the )?(?:(?:terms|conditions) of (?:the )?)?{}(?: (?:public )?licen[sc]e)?"
+NO_LABEL = ""
 #: Identifiers and short names that prose may hold by chance: only in a form of citation.
-ONLY_CITED = {"MPL" + _VERSION.format("2"), "EPL" + _VERSION.format("2"), "BSL" + _VERSION.format("1"), "MIT", "ISC", "Zlib", "zlib", "MPL", "EPL", "MIT/X11", "MIT[ -]style", "Expat", "(?:the )?public domain", "CC-?0", "(?:new |modified |simplified |revised |original )?BSD", "BSD-style"}
+ONLY_CITED = {"PostgreSQL", "OpenSSL", "Ruby", "X11", "MPL" + _VERSION.format("2"), "EPL" + _VERSION.format("2"), "BSL" + _VERSION.format("1"), "MIT", "ISC", "Zlib", "zlib", "MPL", "EPL", "MIT/X11", "MIT[ -]style", "Expat", "(?:the )?public domain", "CC-?0", "(?:new |modified |simplified |revised |original )?BSD", "BSD-style"}
 
 #: A text that holds none of these and does not match UNDER holds no rule's keywords in a form of the rule and no base phrase.
 ROOTS = (
     "licen", "gpl", "gnu", "apache", "cc", "creative", "mozilla", "eclipse", "boost", "bsd", "spdx", "opensource", "copyright", "permission", "distribut", "domain", "rights",
     "proprietary", "confidential", "wtfpl", "cddl", "eupl", "gfdl", "artistic", "affero", "lesser", "ofl-", "sil.org", "expat", "foundation", "python", "commons",
     "contributors", "endorse", "advertising", "altered", "compliance", "conditions", "subject", "accompanying", "anyone", "waived", "dedicated", "noninfringement",
-    "mit-0", "mpl-", "epl-", "bsl-", "libpng", "attribution", "documentation", "unauthorized", "reproduced", "unencumbered", "psf-", "fuck",
+    "mit-0", "sspl", "elastic-", "elv2", "busl-", "odbl", "mpl-", "epl-", "bsl-", "libpng", "attribution", "documentation", "unauthorized", "reproduced", "unencumbered", "psf-", "fuck",
 )
 #: Names that are words or parts of words in prose, for which a citation is asked.
-UNDER_NAMES = ("mit", "isc", "zlib", "mpl", "epl", "bsl")
+UNDER_NAMES = ("mit", "isc", "zlib", "mpl", "epl", "bsl", "postgresql", "openssl", "ruby", "x11")
 UNDER = "under[\\s]+(?:the[\\s]+)?(?:(?:terms|conditions)[\\s]+of[\\s]+(?:the[\\s]+)?)?(?:" + "|".join(UNDER_NAMES) + ")"
 
 
@@ -265,9 +298,13 @@ class Rule:
     score: float
 
 
+#: What stands between words: blanks, and where a line ends the marks with which a comment's next line begins.
+_SEPARATOR = "(?:[^\\S\\n]++|\\n\\s*+(?:[*#;%>]++|/{2,}+|-{2,}+)?+)"
+
+
 def _spaced(pattern: str) -> str:
-    """Blanks stand for any run of separators that prose puts between words, optional blanks for none as well."""
-    return pattern.replace(" ?", "[\\s]*").replace(" ", "[\\s]+").replace("[[\\s]+", "[ ")
+    """Blanks stand for any run of separators that prose and comments put between words, optional blanks for none as well."""
+    return re.sub(" \\?| (?![^\\[\\]]*\\])", lambda m: _SEPARATOR + ("*+" if m[0] == " ?" else "++"), pattern)
 
 
 def _rule(label: str, keywords: tuple[str, ...], pattern: str, score: float) -> Rule:
@@ -290,8 +327,9 @@ def _rules() -> tuple[Rule, ...]:
         for label, keyword, name in _named(form)
         if form != "{}" or name not in ONLY_CITED
     ]
+    denied = [_rule(NO_LABEL, (keyword, "under"), DENIED.replace("{}", f"(?:{name})"), 0.0) for label, keyword, name in _named("")]
     linked = [_rule(label, (keyword,), "(?:https?://)?(?:www\\.)?" + url, 0.9) for label, keyword, several in URLS for url in several]
-    return (*said, *cited, *linked)
+    return (*denied, *said, *cited, *linked)
 
 
 RULES = _rules()
@@ -360,7 +398,7 @@ def detections(text: Column, lowered: Column) -> Column:
         kept = F.struct(s["start"].alias("start"), end.alias("end"), s["rank"].alias("rank"), s["label"].alias("label"), s["score"].alias("score"))
         return F.when(end > a["reach"], F.struct(end.alias("reach"), F.array_append(a["out"], kept).alias("out"))).otherwise(a)
 
-    return F.aggregate(keyed, acc, step, lambda a: a["out"])
+    return F.filter(F.aggregate(keyed, acc, step, lambda a: a["out"]), lambda s: s["label"] != NO_LABEL)
 
 
 def scan(docs: DataFrame) -> DataFrame:

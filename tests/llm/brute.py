@@ -84,7 +84,7 @@ def detections(text, rules):
     def goes(s):
         return any(t[0] <= s[0] and s[1] <= t[1] and (t[:2] != s[:2] or t[2] < s[2]) for t in found)
 
-    return sorted((a, b, rules[i].label) for a, b, i in found if not goes((a, b, i)))
+    return sorted((a, b, rules[i].label) for a, b, i in found if rules[i].label and not goes((a, b, i)))
 
 
 def luhn(digits):

@@ -204,7 +204,7 @@ def test_license_detections_equal_every_rule_on_every_text(spark, documents, odd
     rng = random.Random(3)
     cited = [*AS_CITED, "Licensed under the Apache License, Version 2.0 and the MIT License", "GNU GPL v2, CC BY-NC 4.0; all rights reserved", "mit, isc, mpl, at under"]
     mixed = [" ".join(rng.sample(cited, 4)) for _ in range(25)]
-    texts = [t for _, t in [*pairs(odd), *pairs(documents.where("length(text) < 2000").orderBy("doc_id").limit(60))]] + cited + mixed
+    texts = [t for _, t in [*pairs(odd.where("length(text) < 5000")), *pairs(documents.where("length(text) < 2000").orderBy("doc_id").limit(25))]] + cited + mixed
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: sorted((d.start, d.end, d.label) for d in r.detections) for r in licenses.scan(df).collect()}
     assert {i: (got[i], t) for i, t in enumerate(texts) if got[i] != brute.detections(t, licenses.RULES)} == {}
@@ -242,7 +242,9 @@ def samples(pattern):
             if op == c.LITERAL:
                 out += chr(arg)
             elif op == c.IN:
-                out += chr(arg[0][1] if arg[0][0] == c.LITERAL else arg[0][1][0])
+                out += "x" if arg[0][0] == c.NEGATE else chr(arg[0][1] if arg[0][0] == c.LITERAL else arg[0][1][0])
+            elif op == c.MIN_REPEAT:
+                out += text(arg[2], most) * arg[0]
             elif op == c.MAX_REPEAT:
                 out += text(arg[2], most) * (1 if most else arg[0])
             elif op == c.SUBPATTERN:
@@ -285,6 +287,37 @@ def test_license_names_as_texts_cite_them(spark):
     assert labels_of(spark, ["at MIT, the ISC and zlib"]) == {0: [""]}
 
 
+def in_comment(text, mark):
+    """text with a line's end and a comment mark at every third blank."""
+    words = text.split(" ")
+    return "".join(w + (f"\n{mark}" if i % 3 == 1 else " ") for i, w in enumerate(words)).rstrip()
+
+
+def test_every_rule_finds_its_text_plain_and_in_comments(spark):
+    """Sentences, names, identifiers and short names, as they stand and broken over the lines of a comment."""
+    known = [(label, t) for label, _, several, _ in licenses.SENTENCES for n in several for t in samples(n)]
+    known += [(label, f"under the {t}") for label, _, several in (*licenses.NAMES, *licenses.SHORT) for n in several for t in samples(n)]
+    known += [(label, f"provided under the terms of {t}") for label, several in licenses.SPDX for n in several for t in samples(n)]
+    cases = [(label, f"{lead}{shown}.") for label, t in known for lead, shown in (("", t), ("/*\n * ", in_comment(t, " * ")), ("# ", in_comment(t, "# ")), ("", in_comment(t, "    // ")))]
+    got = labels_of(spark, [t for _, t in cases])
+    assert [c for i, c in enumerate(cases) if not any(x.startswith(c[0].split("-4")[0]) for x in got[i])] == []
+
+
+def test_licenses_as_files_declare_them(spark):
+    cited = {
+        "License: MIT": "mit", 'license = "MIT"': "mit", '"license": "Apache-2.0",': "apache-2.0", "License :: BSD": "", "MIT, see LICENSE": "mit", "MIT. See the file `LICENSE`": "mit",
+        "Creative Commons Attribution 4.0 International": "cc-by", "Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa", "Creative Commons (CC) Attribution-NonCommercial-NoDerivatives 3.0 Unported": "cc-by-nc-nd",
+        "Creative Commons Attribution Non-Commercial Share-Alike": "cc-by-nc-sa", "Server Side Public License, version 1": "sspl", "SSPL-1.0": "sspl", "Elastic License 2.0": "elastic-2.0", "ELv2": "elastic-2.0", "BUSL-1.1": "busl-1.1",
+        "Business Source License 1.1": "busl-1.1", "Open Data Commons Open Database License (ODbL)": "odbl", "licensed under ODbL": "odbl", "the PostgreSQL License": "postgresql", "OpenSSL License": "openssl", "under the Ruby license": "ruby", "X11 License": "x11",
+        "It is not licensed under the Apache-2.0 license": "", "never released under the terms of the GPL": "", "isn't distributed under GPLv3": "", "not licensed under the MIT license": "mit", "Ruby and PostgreSQL, X11 and OpenSSL": "",
+        "not released under GPL but licensed under MIT": "mit", "free\nof charge": "",
+    }
+    got = labels_of(spark, cited)
+    assert {t: got[i] for i, t in enumerate(cited) if got[i] not in ([cited[t]], ["creative-commons", cited[t]], ["cc-by", cited[t]])} == {}
+    scores = licenses.op4_license_rules(spark.createDataFrame([(1, "not licensed under the MIT license"), (2, "licensed under the MIT license")], "doc_id long, text string"))
+    assert {r.doc_id: r.score for r in scores.collect()} == {1: 0.6, 2: 0.95}  # of the first only the base phrase counts
+
+
 def label_missing(label, got):
     return label not in got or len(got) > 2
 
