@@ -224,7 +224,8 @@ SENTENCES = (
     ("bsd-3-clause", "endorse", ("Neither the names? of (?:[^.]{1,80}) nor the names of (?:its|their) contributors may be used to endorse or promote products",), 0.9),
     ("bsd-4-clause", "advertising", ("All advertising materials mentioning features or use of this software must display the following acknowledge?ment",), 0.9),
     ("bsd", "contributors", ("THIS SOFTWARE IS PROVIDED BY THE (?:COPYRIGHT HOLDERS|REGENTS|AUTHOR) AND CONTRIBUTORS \"?AS IS\"?",), 0.8),
-    ("zlib", "altered", ("Altered source versions must be plainly marked as such", "This software is provided 'as-is', without any express or implied warranty"), 0.9),
+    ("zlib", "altered", ("Altered source versions must be plainly marked as such",), 0.9),
+    ("zlib", "implied", ("This software is provided 'as-is', without any express or implied warranty",), 0.9),
     ("boost", "permission", ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",), 0.9),
     ("gpl", "redistribute", ("you can redistribute it and/or modify it under the terms of the GNU General Public License",), 0.9),
     ("gpl-2.0", "redistribute", ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation[;,] (?:either )?version 2",), 0.95),
@@ -252,7 +253,8 @@ SENTENCES = (
     ("cc-by-sa", "licensed", ("This work is licensed under a Creative Commons Attribution-ShareAlike [1-4]\\.0 (?:International|Unported|Generic)? ?License",), 0.95),
     ("cc-by-nc", "licensed", ("This work is licensed under a Creative Commons Attribution-NonCommercial [1-4]\\.0 (?:International|Unported|Generic)? ?License",), 0.95),
     ("cc-by", "licensed", ("This work is licensed under a Creative Commons Attribution [1-4]\\.0 (?:International|Unported|Generic)? ?License",), 0.95),
-    ("public-domain", "domain", ("(?:is|are|placed) in the public domain", "no copyright is claimed"), 0.8),
+    ("public-domain", "domain", ("(?:is|are|placed) in the public domain",), 0.8),
+    ("public-domain", "copyright", ("no copyright is claimed",), 0.8),
     ("all-rights-reserved", "copyright", ("Copyright (?:\\(c\\)|©)? ?[12][0-9]{3}(?:-[12][0-9]{3})? [^\\n]{1,60}?All rights reserved",), 0.7),
     ("proprietary", "unauthorized", ("unauthorized (?:copying|reproduction|distribution|use) of this (?:file|software|document|material)[^\\n]{0,60}? is strictly prohibited",), 0.9),
     ("proprietary", "reproduced", ("may not be reproduced[^.\\n]{0,60}? without (?:the )?(?:prior )?(?:express )?written (?:permission|consent)",), 0.8),
@@ -283,11 +285,13 @@ ROOTS = (
     "licen", "gpl", "gnu", "apache", "cc", "creative", "mozilla", "eclipse", "boost", "bsd", "spdx", "opensource", "copyright", "permission", "distribut", "domain", "rights",
     "proprietary", "confidential", "wtfpl", "cddl", "eupl", "gfdl", "artistic", "affero", "lesser", "ofl-", "sil.org", "expat", "foundation", "python", "commons",
     "contributors", "endorse", "advertising", "altered", "compliance", "conditions", "subject", "accompanying", "anyone", "waived", "dedicated", "noninfringement",
-    "mit-0", "sspl", "elastic-", "elv2", "busl-", "odbl", "mpl-", "epl-", "bsl-", "libpng", "attribution", "documentation", "unauthorized", "reproduced", "unencumbered", "psf-", "fuck",
+    "mit-0", "implied", "sspl", "elastic-", "elv2", "busl-", "odbl", "mpl-", "epl-", "bsl-", "libpng", "attribution", "documentation", "unauthorized", "reproduced", "unencumbered", "psf-", "fuck",
 )
+#: What stands between words: blanks, and where a line ends the marks with which a comment's next line begins.
+_SEPARATOR = "(?:[^\\S\\n]++|\\n\\s*+(?:[*#;%>]++|/{2,}+|-{2,}+)?+)"
 #: Names that are words or parts of words in prose, for which a citation is asked.
 UNDER_NAMES = ("mit", "isc", "zlib", "mpl", "epl", "bsl", "postgresql", "openssl", "ruby", "x11")
-UNDER = "under[\\s]+(?:the[\\s]+)?(?:(?:terms|conditions)[\\s]+of[\\s]+(?:the[\\s]+)?)?(?:" + "|".join(UNDER_NAMES) + ")"
+UNDER = "under_(?:the_)?(?:(?:terms|conditions)_of_(?:the_)?)?(?:".replace("_", _SEPARATOR + "++") + "|".join(UNDER_NAMES) + ")"
 
 
 @dataclass(frozen=True)
@@ -298,13 +302,10 @@ class Rule:
     score: float
 
 
-#: What stands between words: blanks, and where a line ends the marks with which a comment's next line begins.
-_SEPARATOR = "(?:[^\\S\\n]++|\\n\\s*+(?:[*#;%>]++|/{2,}+|-{2,}+)?+)"
-
-
 def _spaced(pattern: str) -> str:
     """Blanks stand for any run of separators that prose and comments put between words, optional blanks for none as well."""
-    return re.sub(" \\?| (?![^\\[\\]]*\\])", lambda m: _SEPARATOR + ("*+" if m[0] == " ?" else "++"), pattern)
+    told = {" ?": _SEPARATOR + "*+", " ": _SEPARATOR + "++", "[ -]": f"(?:-|{_SEPARATOR}++)", "[ -]?": f"(?:-|{_SEPARATOR}++)?+"}
+    return re.sub("\\[ -\\]\\??| \\??", lambda m: told[m[0]], pattern)
 
 
 def _rule(label: str, keywords: tuple[str, ...], pattern: str, score: float) -> Rule:

@@ -1,5 +1,6 @@
 """Plain versions of the operators, row by row and pair by pair, for small tables."""
 
+import functools
 import hashlib
 import math
 import re
@@ -77,9 +78,12 @@ def licenses(text):
     return len(words), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in hits}))
 
 
+compiled = functools.cache(lambda pattern: re.compile(pattern, re.ASCII))  # there are more rules than the module remembers
+
+
 def detections(text, rules):
     """(start, end, label) of the rules' matches that stay: every rule on every text, every match held against every other."""
-    found = [(m.start(), m.end(), i) for i, r in enumerate(rules) for m in re.finditer(r.pattern, text or "", re.ASCII)]
+    found = [(m.start(), m.end(), i) for i, r in enumerate(rules) for m in compiled(r.pattern).finditer(text or "")]
 
     def goes(s):
         return any(t[0] <= s[0] and s[1] <= t[1] and (t[:2] != s[:2] or t[2] < s[2]) for t in found)
