@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by additive quantisation.
 
 Unit vectors are approximated by sums of codewords, one from each of ``books_for`` codebooks over the full dimension. Codebooks
-are fitted to a bounded sample, residual by residual with Lloyd steps, and then jointly by least squares. Encoding is a beam search over
+are fitted to a bounded sample, residual by residual with Lloyd steps, and then jointly by least squares, one codebook after the other. Encoding is a beam search over
 the codebooks. The norm of each sum is stored beside its codes. A query's products with all codewords make a lookup table; a code's score is the sum of its
-entries over the stored norm, and the rows of the best ``RERANK`` distinct codes are ranked by cosine on the original vectors. The number of
+entries over the stored norm, and the rows of the best distinct codes, ``rerank_for`` of them as the sample shows, are ranked by cosine on the original vectors. The number of
 codebooks follows the dimension, so that an estimate's error is small beside the gap between the nearest rows and the last ones reranked, which
 narrows slowly with the number of rows. Of equal vectors only those ids are indexed that can be among a query's nearest.
 
@@ -34,8 +34,9 @@ BOOKS, BOOK_DIMENSIONS = 8, 4
 WORDS, BEAM = 256, 4
 #: Rows, of least vec_id digest, to which codebooks are fitted.
 SAMPLE_ROWS = 16_384
-LLOYD_STEPS, JOINT_STEPS = 8, 1
-RERANK = 200
+LLOYD_STEPS, JOINT_STEPS, SWEEPS = 8, 1, 8
+#: Rows of the best estimates that are ranked by their vectors, at least, and the share of a sample's neighbours that they must hold.
+RERANK, RERANK_RECALL = 200, 0.99
 #: Rows of codes and queries in a block, at most, about; rows of codes for which a task of their own is worth it.
 CODE_ROWS, QUERY_ROWS, LEAST_ROWS = 65_536, 2048, 32_768
 #: Coarse cells at most, sampled queries by which their probes are measured, and the share of these queries' neighbours that the probes must hold.
@@ -90,6 +91,38 @@ def books_for(dimension: int) -> int:
     return max(BOOKS, -(-dimension // BOOK_DIMENSIONS))
 
 
+def _sums(rows: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the sum of the rows at each of k places, how many there are)."""
+    order, count = np.argsort(at, kind="stable"), np.bincount(at, minlength=k)
+    total, filled = np.zeros((k, rows.shape[1])), np.flatnonzero(count)
+    if len(filled):
+        total[filled] = np.add.reduceat(rows[order], (np.cumsum(count) - count)[filled], axis=0, dtype=np.float64)
+    return total, count
+
+
+def _means(rows: np.ndarray, at: np.ndarray, old: np.ndarray) -> np.ndarray:
+    total, count = _sums(rows, at, len(old))
+    return np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], old).astype(np.float32)
+
+
+def refit(x: np.ndarray, books: np.ndarray, codes: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
+    """The codebooks whose sums of codewords come nearest to x for given codes: least squares, one codebook after the other with all others held.
+
+    Each step solves its codebook exactly, so the error never grows, and the sweeps near what all at once would give. What is held is the sample, its residual and the
+    codebooks, where the normal equations of all codewords would grow with the square of their number.
+    """
+    books, ridge = books.copy(), 1e-2
+    rest = x - sum(books[j][codes[:, j]] for j in range(len(books)))
+    for _ in range(sweeps):
+        for j in range(len(books)):
+            at = codes[:, j]
+            rest += books[j][at]
+            total, count = _sums(rest, at, books.shape[1])
+            books[j] = (total + ridge * books[j]) / (count + ridge)[:, None]
+            rest -= books[j][at]
+    return books
+
+
 def fit(x: np.ndarray, m: int | None = None, k: int = WORDS) -> np.ndarray:
     """Codebooks (m, k, d) for unit vectors x."""
     rng, d = np.random.default_rng(_SEED), x.shape[1]
@@ -98,35 +131,51 @@ def fit(x: np.ndarray, m: int | None = None, k: int = WORDS) -> np.ndarray:
     for j in range(m):
         books[j] = rest[rng.choice(len(rest), k, replace=len(rest) < k)]
         for _ in range(LLOYD_STEPS):
-            at = _nearest(rest, books[j])
-            count = np.bincount(at, minlength=k)
-            total = np.zeros((k, d))
-            np.add.at(total, at, rest)
-            books[j] = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], books[j])
+            books[j] = _means(rest, _nearest(rest, books[j]), books[j])
         rest -= books[j][_nearest(rest, books[j])]
     for _ in range(JOINT_STEPS):
-        codes = np.concatenate([encode(x[i : i + 2048], books)[0] for i in range(0, len(x), 2048)])
-        at = codes + k * np.arange(m)
-        gram, sums = np.zeros((m * k, m * k)), np.zeros((m * k, d))
-        for a in range(m):
-            np.add.at(sums, at[:, a], x)
-            for b in range(m):
-                np.add.at(gram, (at[:, a], at[:, b]), 1.0)
-        gram[np.diag_indices(m * k)] += 1e-2
-        books = np.linalg.solve(gram, sums + 1e-2 * books.reshape(m * k, d)).reshape(m, k, d).astype(np.float32)
+        books = refit(x, books, np.concatenate([encode(x[i : i + 2048], books)[0] for i in range(0, len(x), 2048)]))
     return books
 
 
+def _ranks(x: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray, nearest: int) -> np.ndarray:
+    """Of queries among unit vectors x, for each of their nearest others: how many rows are estimated to be as near as it, itself included."""
+    out = []
+    for q in range(min(len(x), PROBE_QUERIES)):
+        exact = x @ x[q]
+        table = books @ x[q]
+        estimate = table[0][codes[:, 0]]
+        for j in range(1, len(books)):
+            estimate += table[j][codes[:, j]]
+        estimate /= np.maximum(norms, 1e-9)
+        exact[q] = estimate[q] = -np.inf
+        found = np.argpartition(-exact, min(nearest, len(x) - 1) - 1)[:nearest]
+        out.append((estimate[:, None] >= estimate[found]).sum(0))
+    return np.sort(np.concatenate(out))
+
+
+def rerank_for(x: np.ndarray, books: np.ndarray, rows: int, nearest: int = NEAREST) -> int:
+    """How many of the best estimates to rank by their vectors in a table of rows, of which x is a sample: RERANK at least.
+
+    So many as hold RERANK_RECALL of the sample's own neighbours, carried on to the table at the growth that a quarter of the sample and the whole show; no
+    less than in proportion to the table's square root, as a sample's growth is known roughly.
+    """
+    if len(x) < 4 * nearest + 4 or rows <= len(x):
+        return RERANK
+    codes, norms = (np.concatenate(c) for c in zip(*[encode(x[i : i + 2048], books) for i in range(0, len(x), 2048)], strict=True))
+    part = len(x) // 4
+    at = lambda ranks: float(ranks[min(len(ranks) - 1, int(RERANK_RECALL * len(ranks)))])
+    fewer, all_ = (at(_ranks(x[:n], books, codes[:n], norms[:n], nearest)) for n in (part, len(x)))
+    power = min(1.0, max(0.5, np.log(max(all_, 1) / max(fewer, 1)) / np.log(4)))
+    return max(RERANK, int(np.ceil(all_ * (rows / len(x)) ** power)))
+
+
 def coarse_cells(x: np.ndarray, k: int) -> np.ndarray:
     """k centres of unit vectors x, by Lloyd steps."""
     rng = np.random.default_rng(_SEED + 1)
     cells = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(LLOYD_STEPS):
-        at = _nearest(x, cells)
-        count = np.bincount(at, minlength=k)
-        total = np.zeros((k, x.shape[1]))
-        np.add.at(total, at, x)
-        cells = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], cells).astype(np.float32)
+        cells = _means(x, _nearest(x, cells), cells)
     return cells
 
 
@@ -243,29 +292,31 @@ def _blocks(df: DataFrame, rows: int, *columns: str) -> tuple[DataFrame, dict[in
     return packed.select("cell", "block", F.col("rows.vec_id").alias("ids"), *[F.col(f"rows.{c}").alias(c) for c in columns]), counts
 
 
-def index(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, n_cells: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
-    """The codebooks, the cells, the cells that each probes, and (vec_id, code, norm, cell) of each of rows (vec_id, v)."""
+def index(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, n_cells: int = 1, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, DataFrame]:
+    """The codebooks, the cells, the cells that each probes, how many estimates to rank, and (vec_id, code, norm, cell) of each of rows (vec_id, v)."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()  # at most sample_rows vectors
     if sample.empty:
-        return np.zeros((0, 0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros((0, 0), int), rows.select("vec_id", F.lit(b"").alias("code"), F.lit(0.0).cast("float").alias("norm"), F.lit(0).alias("cell"))
+        return np.zeros((0, 0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros((0, 0), int), 0, rows.select("vec_id", F.lit(b"").alias("code"), F.lit(0.0).cast("float").alias("norm"), F.lit(0).alias("cell"))
     units = _units(np.stack(sample["v"].to_numpy()))
     books, cells = fit(units), coarse_cells(units, n_cells)
     codes = rows.mapInPandas(_encoder(books, cells), "vec_id long, code binary, norm float, cell int")
-    return books, cells, probes_for(units, cells), materialize(codes, "aq-codes")
+    codes = materialize(codes, "aq-codes")
+    return books, cells, probes_for(units, cells), rerank_for(units, books, codes.count(), nearest), codes
 
 
 def _dot(a: str, b: str) -> F.Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def search(queries: DataFrame, rows: DataFrame, nearest: int = NEAREST, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each of queries, the nearest other rows; both tables have (vec_id, v)."""
+def search(queries: DataFrame, rows: DataFrame, nearest: int = NEAREST, rerank: int | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each of queries, the nearest other rows; both tables have (vec_id, v). rerank: as measured if not given."""
     spark = rows.sparkSession
-    # ties go to the smaller id: behind `nearest` others and the query itself, a copy of theirs never comes in
+    # ties go to the smaller id: behind `nearest` others and the query itself, a copy of theirs never comes in; of each vector, every task sends so many rows only
     nth = F.row_number().over(_by("v", "vec_id"))
     rows = materialize(rows.withColumn("nth", nth).where(F.col("nth") <= nearest + 1).select("vec_id", "v", F.sqrt(_dot("v", "v")).alias("length")), "unlike-vectors")
     asking = queries.count()
-    books, cells, probes, codes = index(rows, sample_rows, min(CELLS, max(1, -(-asking // QUERY_ROWS))))
+    books, cells, probes, measured, codes = index(rows, sample_rows, min(CELLS, max(1, -(-asking // QUERY_ROWS))), nearest)
+    rerank = rerank or measured
     if not len(books) or not asking:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     placed = queries.select("vec_id", "v").mapInPandas(_cell_of(cells), "vec_id long, v array<double>, cell int")
