@@ -3,7 +3,8 @@
 Each kind's pattern proposes spans, a validator confirms them, and words within ``CONTEXT_CHARS`` characters of a span move its score from the kind's
 own: the kind's context words raise it, words such as "example" lower it. Spans of the base kinds stay whatever their score; spans of
 the further kinds, secrets among them, stay from ``MIN_SCORE`` on, so that digits that could be anything count only where
-the words about them say so. Positions are code points, ends exclusive.
+the words about them say so; a span of theirs that lies inside another's counts once, as the longer one, or the earlier kind of two over the same
+span. Positions are code points, ends exclusive.
 
 The patterns find what the plain ones do (leftmost, non-overlapping), but never re-scan a run of characters: starts inside a run are
 barred by look-behinds, loops are possessive or bounded, and digit runs are counted inside the pattern. Time is linear in the text, and long
@@ -29,8 +30,8 @@ CONTEXT_BONUS = 0.3
 class Kind:
     name: str
     pattern: str
-    #: A cheap condition that every text with a match meets: a pattern, or strings of which the text holds one.
-    gate: str | tuple[str, ...]
+    #: A cheap condition that every text with a match meets: strings of which the text holds one, or none.
+    gate: tuple[str, ...]
     score: float
     context: str
 
@@ -44,8 +45,8 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 BASE = (
     Kind("email", EMAIL, ("@",), 0.9, "mail|e-mail|contact|write"),
-    Kind("ip", IP, "[0-9]\\.[0-9]++\\.[0-9]++\\.[0-9]", 0.6, "ip|host|server|address"),
-    Kind("card", CARD, CARD, 0.8, "card|visa|credit|debit|payment"),
+    Kind("ip", IP, (".",), 0.6, "ip|host|server|address"),
+    Kind("card", CARD, (), 0.8, "card|visa|credit|debit|payment"),
     Kind("phone", PHONE, ("+",), 0.7, "phone|tel|call|mobile|fax"),
 )
 #: Countries by the length of their IBANs. A run of capitals and digits over blanks is cut at its country's length, so that words after it don't count.
@@ -73,18 +74,30 @@ IBAN = "\\b(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{
 
 _HEX, _SECRET_NAME = "(?<![A-Za-z0-9])[0-9a-f]{32}(?:[0-9a-f]{8})?(?![A-Za-z0-9])", "(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|auth[_-]?token|client[_-]?secret)"
 
+_GROUP = "[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer about a double colon; bounded, as a run of groups may be long.
+_IPV6 = f"(?<![0-9A-Za-z:.])(?:{_GROUP}(?::{_GROUP}){{7}}+|(?:{_GROUP}(?::{_GROUP}){{0,6}}+)?+::(?:{_GROUP}(?::{_GROUP}){{0,6}}+)?+)(?![0-9A-Za-z:])"
+
 FURTHER = (
-    Kind("iban", IBAN, "\\b[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank"),
+    Kind("iban", IBAN, (), 0.8, "iban|account|bank"),
     Kind("mac", "(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])", (":",), 0.6, "mac|device|address"),
     Kind("ssn", "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ("-",), 0.3, "ssn|social|security"),
     Kind("birth", "(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])", ("-",), 0.25, "born|birth|birthday|dob"),
-    Kind("passport", "(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9])", "[A-Z][0-9]{6}", 0.25, "passport|passeport|reisepass|pasaporte"),
-    Kind("account", "(?<![0-9.-])[0-9]{8,12}(?![0-9.-])", "[0-9]{8}", 0.2, "account|konto|compte|cuenta"),
+    Kind("passport", "(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9])", (), 0.25, "passport|passeport|reisepass|pasaporte"),
+    Kind("account", "(?<![0-9.-])[0-9]{8,12}(?![0-9.-])", (), 0.2, "account|konto|compte|cuenta"),
     Kind("aws_key", "(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", ("AKIA", "ASIA"), 0.9, "aws|key|access"),
-    Kind("assigned_secret", "(?i)(?<![A-Za-z])" + _SECRET_NAME + "[\"']?[ ]?[:=][ ]?[\"']?[A-Za-z0-9+/_.~!@#$%^&*-]{8,}+", ("=", ":"), 0.8, "login|credential|credentials|config"),
-    Kind("hex_secret", _HEX, "[0-9a-f]{32}", 0.3, "token|secret|key|password|hash"),
-    Kind("service_token", "(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_"), 0.9, "token|key"),
+    Kind("assigned_secret", "(?i)(?<![A-Za-z])" + _SECRET_NAME + "(?:[\"']?[ ]?[:=]|[ ](?:is|was):?)[ ]?[\"']?[A-Za-z0-9+/_.~!@#$%^&*-]{8,}+", ("=", ":", " is", " was"), 0.8, "login|credential|credentials|config"),
+    Kind("hex_secret", _HEX, (), 0.3, "token|secret|key|password|hash"),
+    Kind(
+        "service_token",
+        "(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}+|AIza[A-Za-z0-9_-]{35}|hf_[A-Za-z0-9]{30,}+)",
+        ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk_live_", "sk-", "AIza", "hf_"),
+        0.9,
+        "token|key",
+    ),
     Kind("jwt", "(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\\.eyJ[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+", ("eyJ",), 0.9, "token|bearer|jwt"),
+    Kind("ipv6", _IPV6, ("::", ":"), 0.6, "ip|ipv6|host|server|address"),
+    Kind("local_phone", "(?<![0-9A-Za-z+().-])(?:\\([0-9]{3}\\)[ ]?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z-])", (), 0.3, "phone|tel|telephone|call|mobile|cell|fax"),
     Kind("private_key", "-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", ("PRIVATE KEY",), 1.0, "key"),
 )
 #: Words that make a span an illustration rather than data, and what they take from its score.
@@ -126,6 +139,11 @@ def _valid(kind: str, match: Column) -> Column:
         return _mod97(match)
     if kind == "birth":
         return F.try_to_date(match).isNotNull()
+    if kind == "ipv6":  # at most eight groups, and not the double colon of a program
+        groups = F.size(F.filter(F.split(match, ":"), lambda g: g != ""))
+        return groups.between(2, 8) & (~F.contains(match, F.lit("::")) | (groups < 8)) & match.rlike("[0-9]")
+    if kind == "local_phone":
+        return ~match.rlike("^\\(?[01]")
     if kind == "assigned_secret":  # a value that mixes letters and digits, not a word
         value = F.regexp_extract(match, "[A-Za-z0-9+/_.~!@#$%^&*-]++$", 0)
         return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
@@ -140,10 +158,20 @@ _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 _MATCH = "array<struct<start:int,match:string,near:string>>"
 
 
+#: Control characters that mark the two ends of a match; a text's own are other ones to the patterns, none of which matches any.
+_OPEN, _CLOSE, _OTHER = "\x01", "\x02", "\x03"
+
+
+def marked(text: Column) -> Column:
+    """text without the characters that mark matches, as long as before."""
+    return F.translate(text, _OPEN + _CLOSE, _OTHER + _OTHER)
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, match, near>> of a pattern's matches: code points from 0, and the characters about each, as far as the matches beside it."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    n = F.size(found)
+    """array<struct<start, match, near>> of a pattern's matches: code points from 0, and the characters about each, as far as the matches beside it.
+
+    text has no marks of its own. The pattern runs once, and puts marks about its matches; plain searches then tell them from what stands between.
+    """
     acc = F.struct(F.lit(0).alias("at"), F.array().cast(_MATCH).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
@@ -151,8 +179,19 @@ def matches(text: Column, pattern: str) -> Column:
         near = F.concat(F.substring(x["before"], -CONTEXT_CHARS, CONTEXT_CHARS), F.lit(" "), F.substring(x["after"], 1, CONTEXT_CHARS))
         return F.struct((start + F.length(x["match"])).alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), x["match"].alias("match"), near.alias("near"))).alias("out"))
 
-    zipped = F.arrays_zip(F.slice(between, F.lit(1), n).alias("before"), found.alias("match"), F.slice(between, F.lit(2), n).alias("after"))
-    return F.aggregate(zipped, acc, step, lambda a: a["out"])
+    def located(parts: Column) -> Column:
+        between = F.filter(parts, lambda _, i: i % 2 == 0)
+        found = F.filter(parts, lambda _, i: i % 2 == 1)
+        n = F.size(found)
+        zipped = F.arrays_zip(F.slice(between, F.lit(1), n).alias("before"), found.alias("match"), F.slice(between, F.lit(2), n).alias("after"))
+        return F.when(n > 0, F.aggregate(zipped, acc, step, lambda a: a["out"])).otherwise(F.array().cast(_MATCH))
+
+    return _let(F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]", -1), located)
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, which is evaluated once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _kind_spans(text: Column, kind: Kind, required: bool) -> Column:
@@ -166,20 +205,36 @@ def _kind_spans(text: Column, kind: Kind, required: bool) -> Column:
     found = F.transform(F.filter(matches(text, kind.pattern), lambda m: _valid(kind.name, m["match"])), span)
     if not required:
         found = F.filter(found, lambda s: s["score"] >= MIN_SCORE)
-    if isinstance(kind.gate, str):
-        gated = text.rlike(kind.gate)
-    else:
-        gated = F.contains(text, F.lit(kind.gate[0]))
-        for g in kind.gate[1:]:
-            gated = gated | F.contains(text, F.lit(g))
+    if not kind.gate:
+        return found.cast(_SPAN)
+    gated = F.contains(text, F.lit(kind.gate[0]))
+    for g in kind.gate[1:]:
+        gated = gated | F.contains(text, F.lit(g))
     return F.when(gated, found.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
+def _outermost(spans: Column, names: list[str]) -> Column:
+    """spans without those that lie inside another, by kind in the order of names, then start."""
+    rank = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+    fields = ("kind", "start", "end", "score")
+    keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), rank[s["kind"]].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), s["score"].alias("score"))))
+    acc = F.struct(F.lit(-1).alias("reach"), F.array().cast("array<struct<rank:int,start:int,kind:string,end:int,score:double>>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        kept = F.struct(*[s[k].alias(k) for k in ("rank", "start", "kind", "end", "score")])
+        return F.when(s["end"] > a["reach"], F.struct(s["end"].alias("reach"), F.array_append(a["out"], kept).alias("out"))).otherwise(a)
+
+    ordered = F.array_sort(F.aggregate(keyed, acc, step, lambda a: a["out"]))
+    return F.when(F.size(spans) < 2, spans).otherwise(F.transform(ordered, lambda s: F.struct(*[s[k].alias(k) for k in fields])))
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, email, ip, card, phone, further): arrays of spans (kind, start, end, score) for each row of docs."""
-    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", marked(F.coalesce("text", F.lit(""))).alias("t"))
+    text = F.col("t")
     base = [_kind_spans(text, k, True).alias(k.name) for k in BASE]
-    return docs.select("doc_id", *base, F.concat(*[_kind_spans(text, k, False) for k in FURTHER]).alias("further"))
+    rows = rows.select("doc_id", *base, F.concat(*[_kind_spans(text, k, False) for k in FURTHER]).alias("further"))
+    return rows.withColumn("further", _outermost(F.col("further"), [k.name for k in FURTHER]))
 
 
 def _joined(spans: Column, *fields: str) -> Column:
