@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlake.functions.nested import upper_median
+from planlake.sources.folders import shared_folder
 from planlake.sources.tables import not_done
 
 
@@ -156,7 +157,8 @@ def weak_steps(plans: DataFrame, scores: DataFrame, below: float = 0.5) -> DataF
 
 
 def refined(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], done: Callable[[DataFrame], bool], rounds: int) -> DataFrame:
-    """A bounded loop of improvement; each round ends in a reliable checkpoint."""
+    """A bounded loop of improvement over all rows; each round ends in a reliable checkpoint. calls.refine leaves finished rows alone and goes on where it stopped."""
+    shared_folder(start.sparkSession)
     now = start
     for k in range(rounds):
         if done(now):

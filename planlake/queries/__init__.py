@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planlake.queries import aggregates, construction, graphs, insql, joins, plans, scoring, series, texts
+from planlake.queries import aggregates, construction, files, graphs, insql, joins, plans, scoring, series, texts
 
-_MODULES = (aggregates, joins, graphs, texts, scoring, plans, construction, series, insql)
+_MODULES = (aggregates, joins, graphs, texts, scoring, plans, construction, series, insql, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -66,11 +66,11 @@ r AS (SELECT role, step, x, row_number() OVER (PARTITION BY role ORDER BY step)
 e AS (SELECT role, k, x AS ema FROM r WHERE k = 1 UNION ALL SELECT r.role, r.k, 0.9 * ema + 0.1 * r.x FROM e JOIN r ON r.role = e.role AND r.k = e.k + 1)
 SELECT role, round(arg_max(ema, k), 4) AS ema, count(*) AS n FROM e GROUP BY role""")
 def q48_ema_fold(t):
-    from planlake.operators.rewards import moving_average
+    from planlake.operators.scan import moving_averages
 
     means = t.conversations.groupBy("role", "turn").agg(F.avg(F.length("text")).alias("x"))
-    folded = means.groupBy("role").agg(F.array_sort(F.collect_list(F.struct("turn", "x"))).alias("s"))
-    return folded.select("role", F.round(moving_average(F.transform("s", lambda s: s["x"]), 0.9), 4).alias("ema"), F.size("s").cast("long").alias("n"))
+    averages = moving_averages(means, "x", ["turn"], "role", decay=0.9)
+    return averages.groupBy("role").agg(F.round(F.max_by("average", "turn"), 4).alias("ema"), F.count("*").alias("n"))
 
 
 @query("""WITH c AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS m FROM conversations GROUP BY 1)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planlake.functions.text import strip
+from planlake.sources.objects import RANGE_BYTES, read_objects
 
 
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,11 @@ def comma_joined(spark: SparkSession, path: str, element: str) -> DataFrame:
     return files.select("path", F.posexplode("items").alias("place", "item"))
 
 
+def comma_joined_ranges(spark: SparkSession, path: str, element: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """comma_joined of files too large for a task each, on file systems that Python opens: byte ranges are read apart, and item's place is the byte where it opens."""
+    return read_objects(spark, path, range_bytes).select("path", F.col("at").alias("place"), F.from_json("text", element).alias("item"))
+
+
 def split_index(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(question_id, split) from an object of lists train_qids, dev_qids, test_qids; a missing list raises if strict."""
     wide = spark.read.option("multiLine", True).json(path)

@@ -33,3 +33,20 @@ def duck():
     for f in os.listdir(SF):
         con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
     return con
+
+
+@pytest.fixture(scope="session")
+def written_plans(spark, sf, tmp_path_factory):
+    """The plans that most queries are over, made once and written; the queries of a test module that asks for this read them."""
+    from planlake.queries import files, insql, plandata, plans, series
+    from planlake.queries.registry import Tables
+
+    path = str(tmp_path_factory.mktemp("plans"))
+    made = plandata.order_plans
+    made(Tables(spark, sf)).coalesce(4).write.mode("overwrite").parquet(path)
+    modules = [m for m in (files, insql, plandata, plans, series) if hasattr(m, "order_plans")]
+    for m in modules:
+        m.order_plans = lambda t: spark.read.parquet(path)
+    yield made
+    for m in modules:
+        m.order_plans = made

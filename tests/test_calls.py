@@ -12,9 +12,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from planlake.operators import batch, calls, graph
+from planlake.operators import batch, calls, compare, graph, rewards
 from planlake.operators import plan as P
-from planlake.queries.plandata import order_components
+from planlake.queries.plandata import order_components, order_plans
 from planlake.queries.registry import Tables
 from planlake.streaming.commitlog import CommitLog
 
@@ -213,3 +213,39 @@ def test_one_graph_of_many_nodes(spark):
     edges = nodes.where("node > 0").select("graph", F.expr("CASE WHEN node <= 50000 THEN 0 ELSE (node - 1) div 5 END").alias("src"), F.col("node").alias("dst"))
     got = graph.measures(nodes, edges).first()
     assert (got.n_nodes, got.cyclic, got.longest, got.width) == (100_000, False, 3, 50_000)
+
+
+def test_rounds_over_all_rows(spark):
+    start = spark.createDataFrame([(1, 0), (2, 5)], "key int, score int")
+    seen = []
+
+    def step(now, k):
+        seen.append(k)
+        return now.selectExpr("key", "score + 1 AS score")
+
+    got = batch.refined(start, step, lambda now: now.where("score < 3").count() == 0, 9)
+    assert seen == [0, 1, 2] and {tuple(r) for r in got.collect()} == {(1, 3), (2, 8)}
+    assert batch.refined(start, step, lambda now: False, 0).count() == 2
+
+
+def test_profile_sensitivity(spark, sf):
+    """Plans of one question are told from plans of two: the first likeness is exact, the second that of a stated draw, which no other run changes."""
+    plans = P.components(order_plans(Tables(spark, sf)).where("k % 4 = 0"))
+    got = compare.profile_sensitivity(plans, 300).first()
+    names = rewards.COLUMNS
+    rows = plans.select("question_id", "profile_index", *names).collect()
+    by_question = {}
+    for r in rows:
+        by_question.setdefault(r.question_id, []).append(r)
+
+    def jaccard(a, b):
+        a, b = set(map(str, a)), set(map(str, b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    def bag(a, b):
+        a, b = Counter(a), Counter(b)
+        return sum((a & b).values()) / sum((a | b).values()) if a | b else 1.0
+
+    alike = [(bag(a.roles, b.roles) + sum(jaccard(a[k], b[k]) for k in names[1:])) / 5 for some in by_question.values() for i, a in enumerate(some) for b in some[i + 1 :]]
+    assert got.same == pytest.approx(sum(alike) / len(alike)) and got.gap == pytest.approx(got.same - got.cross)
+    assert compare.profile_sensitivity(plans, 300).first().cross == got.cross

@@ -4,6 +4,7 @@ import math
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -22,15 +23,13 @@ def rows(frame):
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL])
-def test_query_equals_its_sql(spark, sf, duck, name):
+def test_query_equals_its_sql(spark, sf, duck, written_plans, name):
     got, want = QUERIES[name](spark, sf).toPandas(), duck.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
 
 def test_sentences_are_split_where_one_ends(spark):
-    from pyspark.sql import functions as F
-
     from planlake.functions.text import sentences
 
     df = spark.createDataFrame([("One here. Two there! three? \"Four\" ends.",)], "t string")
@@ -39,3 +38,14 @@ def test_sentences_are_split_where_one_ends(spark):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_queries_make_their_plans_themselves(spark, sf, written_plans):
+    """What the queries above read is what the makers of plans make."""
+    from planlake.queries import plandata
+    from planlake.queries.registry import Tables
+
+    made, read = written_plans(Tables(spark, sf)), plandata.order_plans(Tables(spark, sf))
+    assert made.schema.simpleString() == read.schema.simpleString()
+    told = lambda df: df.select(F.to_json(F.struct("*")).alias("j"))
+    assert told(made).exceptAll(told(read)).count() == 0 and made.count() == read.count() > 0
