@@ -7,8 +7,8 @@ targets, is spent.
 
 Running sums are two-level: the shuffle key's leading bits deal a source into buckets, about as many as rows in a bucket, buckets are summed
 before any shuffle of their offsets, and rows are only ordered within a bucket. A hot source is thus spread over as many tasks as its
-rows need. The key digests doc_id and size, so that rows without doc_id are spread as well; rows of size 0 count for nothing and stay out of the
-sums. The truncation point is found by histograms of fixed width over ever shorter ranges of finish times. Targets are computed
+rows need. The key digests doc_id and size; rows that it cannot part, which are as long as each other, are told by their number among them, and stretches of
+them counted before, so that no crowd of them is in one task. Rows of size 0 count for nothing and stay out of the sums. The truncation point is found by histograms of fixed width over ever shorter ranges of finish times. Targets are computed
 over one row a source, in one task.
 
 Edge cases: null text has size 0; a document of size 0 is never taken; null doc_ids and repeated rows are documents
@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planlake.llm.common import columns_of, materialize, spare
+from planlake.llm.common import columns_of, joinable, materialize, spare
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -72,15 +72,48 @@ def offered(sizes: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame
     keyed = sizes.where("size > 0").withColumn("key", F.md5(told))
     n = sizes.count()
     keyed = keyed.withColumn("bucket", _bucket(F.col("key"), max(1, n // max(BUCKET_ROWS, math.isqrt(n)))))
-    sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    alike = [F.col("source"), F.col("key"), F.col("size")]
+    crowds = keyed.groupBy(*alike, "bucket").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS)
+    crowds = materialize(crowds, "mix-crowds")
+    crowded = not crowds.isEmpty()
+    if crowded:  # rows alike in key and size, which a bucket cannot part: one stands for all of them there
+        hot = crowds.select(*[c.alias(f"of_{c_}") for c, c_ in zip(alike, ("source", "key", "size"), strict=True)], "n")
+        same = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("key") == F.col("of_key")) & (F.col("size") == F.col("of_size"))
+        crowd = keyed.join(joinable(hot.drop("n"), "mix-crowded"), same, "left_semi")
+        keyed = keyed.join(joinable(hot.drop("n"), "mix-crowded"), same, "left_anti").withColumn("n", F.lit(1))
+        keyed = keyed.unionByName(crowds.withColumn("stands", F.lit(True)), allowMissingColumns=True)
+    else:
+        keyed = keyed.withColumns({"n": F.lit(1), "stands": F.lit(None).cast("boolean")})
+    words = F.col("size") * F.col("n")
+    sums = keyed.groupBy("source", "bucket").agg(F.sum(words).alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"))
     offsets = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source")))
     offsets = offsets.select(F.col("o.source").alias("of_source"), F.col("bucket").alias("of_bucket"), "offset", "source_size", "target")
     within = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = keyed.withColumn("in_bucket", F.sum("size").over(within))
+    ranked = keyed.withColumn("in_bucket", F.sum(words).over(within))
     joined = ranked.join(offsets, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("bucket") == F.col("of_bucket")))
-    return joined.withColumn("upto", F.col("in_bucket") + F.col("offset")).drop("of_source", "of_bucket", "offset", "in_bucket", "bucket")
+    joined = joined.withColumn("upto", F.col("in_bucket") + F.col("offset")).drop("of_source", "of_bucket", "offset", "in_bucket", "bucket")
+    if not crowded:
+        return joined.drop("n", "stands")
+    joined = materialize(joined, "mix-places")
+    stand = joined.where("stands").select(F.col("source").alias("of_source"), F.col("key").alias("of_key"), F.col("size").alias("of_size"), "source_size", "target", (F.col("upto") - words).alias("offset"))
+    spread = _numbered(crowd.drop("bucket")).join(joinable(stand, "mix-stands"), same)
+    spread = spread.withColumn("upto", F.col("offset") + F.col("nth") * F.col("size")).drop("of_source", "of_key", "of_size", "offset", "nth")
+    return joined.where("stands IS NULL").drop("n", "stands").unionByName(spread)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with nth, from 1 among those alike in source, key and size: stretches of the written rows are counted, and rows only numbered inside one."""
+    part = F.col("row").bitwiseAND(F.lit(~0xFFF))  # 4096 rows of a written part at most
+    known = materialize(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("part", part), "mix-crowd")
+    alike = ["source", "key", "size"]
+    counts = known.groupBy(*alike, "part").agg(F.count("*").alias("in_part"))
+    before = Window.partitionBy(*alike).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(c).alias(f"n_{c}") for c in alike], F.col("part").alias("n_part"), F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("before"))
+    inside = known.withColumn("inside", F.row_number().over(Window.partitionBy(*alike, "part").orderBy("row")))
+    same = F.col("source").eqNullSafe(F.col("n_source")) & (F.col("key") == F.col("n_key")) & (F.col("size") == F.col("n_size")) & (F.col("part") == F.col("n_part"))
+    return inside.join(joinable(offsets, "mix-crowd-offsets"), same).withColumn("nth", F.col("inside") + F.col("before")).select(*rows.columns, "nth")
 
 
 def copies(queue: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -164,8 +197,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the mix takes, as often as it takes them, with the columns of docs.
 
     Rows are matched by doc_id and a digest of text and source, and rows that repeat in both share what was taken of them: of n alike rows the
-    k-th comes out floor or ceil of taken / n times, together exactly taken times. Texts move once, to meet what is taken of them; the windows over
-    alike rows keep that partitioning.
+    k-th comes out floor or ceil of taken / n times, together exactly taken times. Texts move once, to meet what is taken of them; rows that repeat in
+    all columns are counted before they move on, so that what alike rows share is told apart among unlike ones only.
     """
     doc, tag = spare(docs, "of_doc"), spare(docs, "of_text")
     told = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")), F.col("text").isNull(), F.col("source").isNull(), F.col("doc_id").isNull())
@@ -178,15 +211,25 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     right = got.select(F.struct("doc_id", "tag", "n_taken", "n_rows").alias(spare(docs, "got")))
     taken = F.col(right.columns[0])
     joined = tagged.join(right, (F.col(doc) == taken["doc_id"]) & (F.col(tag) == taken["tag"]))
-    times = taken["n_taken"]
-    if several:
-        nth = F.row_number().over(Window.partitionBy(doc, tag).orderBy(F.lit(1))) - 1
-        times = F.when(taken["n_rows"] > 1, F.floor((taken["n_taken"] - nth - 1) / taken["n_rows"]).cast("int") + 1).otherwise(times)
     again = spare(docs, "times")
-    rows = joined.withColumn(again, times).where(F.col(again) > 0)
+    rows = joined.withColumn(again, F.when(taken["n_rows"] == 1, taken["n_taken"]))
+    if several:
+        rows = rows.where(F.col(again).isNotNull()).unionByName(_shared(joined.where(taken["n_rows"] > 1), docs, [doc, tag], taken, again))
+    rows = rows.where(F.col(again) > 0)
     return rows.select(*columns_of(docs), F.explode(F.sequence(F.lit(1), F.col(again))).alias(spare(docs, "copy"))).select(*columns_of(docs))
 
 
+def _shared(rows: DataFrame, docs: DataFrame, alike: list[str], taken: Column, times: str) -> DataFrame:
+    """rows with times, their shares of what is taken of rows alike; those that repeat in all columns become one row, whose share is that of all of them."""
+    several, sums = spare(rows, "alike_rows"), spare(rows, "rows_before")
+    folded = rows.groupBy(*rows.columns).agg(F.count("*").alias(several))
+    w = Window.partitionBy(*alike).orderBy(F.xxhash64(*columns_of(docs))).rowsBetween(Window.unboundedPreceding, -1)
+    known = folded.withColumn(sums, F.coalesce(F.sum(several).over(w), F.lit(0)))
+    whole, rest = F.floor(taken["n_taken"] / taken["n_rows"]), taken["n_taken"] % taken["n_rows"]
+    share = whole * F.col(several) + F.least(rest, F.col(sums) + F.col(several)) - F.least(rest, F.col(sums))
+    return known.withColumn(times, share.cast("int")).select(*columns_of(rows), times)
+
+
 OP8_SQL = f"""
 WITH z AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT *, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || size) AS key FROM z),

@@ -451,6 +451,27 @@ def test_mix(request, which):
     assert out.columns == docs.columns and out.count() == sum(r.copies_taken for r in rows)
 
 
+def test_mix_of_rows_alike(spark, monkeypatch):
+    """A third of all rows without doc_id and of one size, and rows that repeat whole: places are as if each row had a key of its own."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    rows = [(None, f"w{i} x y", f"s{i % 2}", i) for i in range(400)] + [(7, "same text here now", "s0", 1)] * 150 + [(7, "same text here now", "s0", 2)] * 50 + [(1000 + i, "a " * (1 + i % 9), f"s{i % 3}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    sized = mixing.mix_sizes(df.select("doc_id", "text", "source"), keep=("source",)).collect()
+    assert len(sized) == len(rows)
+    for source in ("s0", "s1", "s2"):
+        mine = [r for r in sized if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 2 * 9
+        offers = sorted(round(r.first_finish * r.target) for r in mine if r.size)  # upto is a running sum without gaps or repeats
+        assert len(set(offers)) == len(offers) and offers[-1] == mine[0].source_size
+    plain = lambda rs: Counter((r.doc_id, r.size, r.taken) for r in rs)
+    assert plain(mixing.mix_sizes(df.repartition(5).select("doc_id", "text", "source"), keep=("source",)).collect()) == plain(sized)
+    got = Counter(tuple(r) for r in mixing.mixed(df).collect())
+    named = mixing.mix_sizes(df.na.fill(0, ["doc_id"]).select("doc_id", "text", "source")).collect()  # as the mix of rows keys those without doc_id
+    assert sum(got.values()) == sum(r.copies_taken for r in named)
+    alike = [v for k, v in got.items() if k[0] == 7]
+    assert sum(alike) == sum(r.copies_taken for r in named if r.doc_id == 7) and len(alike) <= 2
+
+
 def test_mix_narrows_to_the_truncation_point(documents, monkeypatch):
     whole = Counter((r.doc_id, r.taken) for r in mixing.op8_fair_queueing(documents).collect())
     monkeypatch.setattr(mixing, "FEW_COPIES", 5)
