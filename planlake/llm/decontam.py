@@ -3,7 +3,7 @@
 A first pass counts, over all documents, how many hold each word n-gram of the benchmark. An item's seeds are its n-grams that are rare
 beside its own others: those in no more documents than ``RARE_FACTOR`` times its median. A leaked passage
 raises all of its counts alike, so it never loses its seeds, while stock phrases do. A second pass finds the seeds in the
-documents and aligns each item with the words around its seeds; the best local alignment's score over the item's length, in words, decides.
+documents, with a word or none put in between their words, and aligns each item with the words around its seeds; the best local alignment's score over the item's length, in words, decides.
 
 The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents for each block, so that what is
 broadcast stays bounded. Documents never cross the network.
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from planlake.llm.common import columns_of, joinable, spare
 
 GRAM = 3
+#: Where a seed's words stand in a document that has a word put in between them.
+SPACED = ((0, 1, 3), (0, 2, 3))
 RARE_FACTOR = 4
 BLOCK_WORDS = 1_000_000
 #: Alignment: points for a match, a mismatch and a gap, and the share of an item's length that makes a leak.
@@ -59,6 +61,16 @@ def grams(words: np.ndarray, width: int) -> np.ndarray:
     return out * _B
 
 
+def spaced_grams(words: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
+    """Hashes, equal to those of grams, of the words at places from each word on."""
+    n = len(words) - places[-1]
+    out = np.full(max(0, n), len(places), np.uint64)
+    for i in places if n > 0 else ():
+        out = (out ^ words[i : n + i]) * _A
+        out ^= out >> np.uint64(31)
+    return out * _B
+
+
 def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
     """Best local alignment of item in words: score over the item's length, and its end and latest start in words.
 
@@ -104,13 +116,14 @@ class Seeds:
         self.bits = np.zeros(1 << 16, bool)
         self.bits[self.grams >> np.uint64(48)] = True
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in words, row of the table) of every seed found."""
+    def hits(self, words: np.ndarray, spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(position in words, row of the table) of every seed found; spaced: those too between whose words one word more stands."""
         at, row = [], []
-        for width in [GRAM, *self.short]:
-            if len(words) < width or not len(self.grams):
+        shapes = [tuple(range(width)) for width in [GRAM, *self.short]] + (list(SPACED) if spaced else [])
+        for places in shapes:
+            if len(words) <= places[-1] or not len(self.grams):
                 continue
-            g = grams(words, width)
+            g = spaced_grams(words, places)
             some = np.flatnonzero(self.bits[g >> np.uint64(48)])
             g = g[some]
             lo, hi = np.searchsorted(self.grams, g), np.searchsorted(self.grams, g, "right")
@@ -156,7 +169,7 @@ def aligned(words: np.ndarray, seeds: Seeds, threshold: float = THRESHOLD) -> li
     An alignment that reaches threshold has at most (MATCH - threshold) / -GAP gaps to a word of the item, which bounds how far it
     goes from a seed, and matches no word of the item that its surroundings lack, which spares most alignments that can't reach it.
     """
-    at, row = seeds.hits(words)
+    at, row = seeds.hits(words, spaced=True)
     out = []
     for i in np.unique(seeds.item[row]):
         mine = np.sort(at[seeds.item[row] == i])

@@ -197,7 +197,8 @@ def leaked(docs, items, width, rare, threshold, points):
         median = (each[(len(each) - 1) // 2] + each[len(each) // 2]) / 2
         seeds = {g for g, n in counts.items() if n <= rare * max(1.0, median)}
         for (doc_id, words), h in zip(texts, held, strict=True):
-            if seeds & h and (score := local_alignment(item, words, *points)) >= threshold:
+            spaced = {(words[i], words[i + j], words[i + 3]) for i in range(len(words) - 3) for j in (1, 2)} if width == 3 else set()
+            if seeds & (h | spaced) and (score := local_alignment(item, words, *points)) >= threshold:
                 out[doc_id, item_id] = score
     return out
 

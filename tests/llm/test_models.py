@@ -239,16 +239,27 @@ def test_leaks_with_one_seed_left(spark, words):
     df = spark.createDataFrame([(i, " ".join(c)) for i, c in enumerate(copies)], "doc_id long, text string")
     bench = spark.createDataFrame([(0, " ".join(short)), (1, " ".join(long))], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_seeds, r.score) for r in decontam.op10_rare_seed_alignment(df, bench).collect()}
-    assert got[0, 0] == (1, 0.8)
+    assert got[0, 0][0] >= 1 and got[0, 0][1] == 0.8
     items = {0: short, 1: long}
     for i, c in enumerate(copies):
         for k, item in items.items():
-            shared = {tuple(item[j : j + 3]) for j in range(len(item) - 2)} & {tuple(c[j : j + 3]) for j in range(len(c) - 2)}
+            held = {tuple(c[j : j + 3]) for j in range(len(c) - 2)} | {(c[j], c[j + m], c[j + 3]) for j in range(len(c) - 3) for m in (1, 2)}
+            shared = {tuple(item[j : j + 3]) for j in range(len(item) - 2)} & held
             score = plain_alignment(item, c)
             assert ((i, k) in got) == bool(shared and score >= 0.6)
             assert (i, k) not in got or got[i, k][1] == pytest.approx(score)
 
 
+def test_leaks_with_a_word_put_in_after_every_second(spark, words):
+    """No three words of the item stand together, yet it is found, where its start falls on either word."""
+    item = words[50:74]
+    copies = [[w for k, a in enumerate(item) for w in ([a, f"x{k}"] if k % 2 == odd else [a])] for odd in (0, 1)]
+    df = spark.createDataFrame([(i, " ".join(words[:9] + c + words[9:20])) for i, c in enumerate(copies)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontam.op10_rare_seed_alignment(df, bench).collect()}
+    assert got == {i: pytest.approx(plain_alignment(item, c)) for i, c in enumerate(copies)} and all(0.7 < x < 0.8 for x in got.values())
+
+
 def test_leaks_are_judged_by_row(spark, words):
     rng = random.Random(13)
     prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
