@@ -30,10 +30,16 @@ CONTEXT_BONUS = 0.3
 class Kind:
     name: str
     pattern: str
-    #: A cheap condition that every text with a match meets: strings of which the text holds one, or none.
-    gate: tuple[str, ...]
+    #: A cheap condition that every text with a match meets: a pattern, or strings of which the text holds one.
+    gate: str | tuple[str, ...]
     score: float
     context: str
+    #: Whether the gate is for the text in lower case, and whether a match holds MANY digits.
+    lowered: bool = False
+    digits: bool = False
+
+#: What every match of the kinds of many digits holds; looked for once for all of them.
+MANY = "[0-9](?:[ -]?[0-9]){3}"
 
 
 #: The base patterns, with look-behinds and possessive loops added.
@@ -45,8 +51,8 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 BASE = (
     Kind("email", EMAIL, ("@",), 0.9, "mail|e-mail|contact|write"),
-    Kind("ip", IP, (".",), 0.6, "ip|host|server|address"),
-    Kind("card", CARD, (), 0.8, "card|visa|credit|debit|payment"),
+    Kind("ip", IP, "[0-9]\\.[0-9]++\\.[0-9]++\\.[0-9]", 0.6, "ip|host|server|address"),
+    Kind("card", CARD, "[0-9](?:[ -]?[0-9]){12}", 0.8, "card|visa|credit|debit|payment", digits=True),
     Kind("phone", PHONE, ("+",), 0.7, "phone|tel|call|mobile|fax"),
 )
 #: Countries by the length of their IBANs. A run of capitals and digits over blanks is cut at its country's length, so that words after it don't count.
@@ -79,15 +85,15 @@ _GROUP = "[0-9A-Fa-f]{1,4}"
 _IPV6 = f"(?<![0-9A-Za-z:.])(?:{_GROUP}(?::{_GROUP}){{7}}+|(?:{_GROUP}(?::{_GROUP}){{0,6}}+)?+::(?:{_GROUP}(?::{_GROUP}){{0,6}}+)?+)(?![0-9A-Za-z:])"
 
 FURTHER = (
-    Kind("iban", IBAN, (), 0.8, "iban|account|bank"),
+    Kind("iban", IBAN, "\\b[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank"),
     Kind("mac", "(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])", (":",), 0.6, "mac|device|address"),
-    Kind("ssn", "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ("-",), 0.3, "ssn|social|security"),
-    Kind("birth", "(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])", ("-",), 0.25, "born|birth|birthday|dob"),
-    Kind("passport", "(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9])", (), 0.25, "passport|passeport|reisepass|pasaporte"),
-    Kind("account", "(?<![0-9.-])[0-9]{8,12}(?![0-9.-])", (), 0.2, "account|konto|compte|cuenta"),
+    Kind("ssn", "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ("-",), 0.3, "ssn|social|security", digits=True),
+    Kind("birth", "(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])", ("-",), 0.25, "born|birth|birthday|dob", digits=True),
+    Kind("passport", "(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9])", "[A-Z][0-9]{6}", 0.25, "passport|passeport|reisepass|pasaporte", digits=True),
+    Kind("account", "(?<![0-9.-])[0-9]{8,12}(?![0-9.-])", "[0-9]{8}", 0.2, "account|konto|compte|cuenta", digits=True),
     Kind("aws_key", "(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", ("AKIA", "ASIA"), 0.9, "aws|key|access"),
-    Kind("assigned_secret", "(?i)(?<![A-Za-z])" + _SECRET_NAME + "(?:[\"']?[ ]?[:=]|[ ](?:is|was):?)[ ]?[\"']?[A-Za-z0-9+/_.~!@#$%^&*-]{8,}+", ("=", ":", " is", " was"), 0.8, "login|credential|credentials|config"),
-    Kind("hex_secret", _HEX, (), 0.3, "token|secret|key|password|hash"),
+    Kind("assigned_secret", "(?i)(?<![A-Za-z])" + _SECRET_NAME + "(?:[\"']?[ ]?[:=]|[ ](?:is|was):?)[ ]?[\"']?[A-Za-z0-9+/_.~!@#$%^&*-]{8,}+", ("passw", "pwd", "passphrase", "secret", "token", "key"), 0.8, "login|credential|credentials|config", lowered=True),
+    Kind("hex_secret", _HEX, "[0-9a-f]{32}", 0.3, "token|secret|key|password|hash"),
     Kind(
         "service_token",
         "(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}+|AIza[A-Za-z0-9_-]{35}|hf_[A-Za-z0-9]{30,}+)",
@@ -96,8 +102,8 @@ FURTHER = (
         "token|key",
     ),
     Kind("jwt", "(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\\.eyJ[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+", ("eyJ",), 0.9, "token|bearer|jwt"),
-    Kind("ipv6", _IPV6, ("::", ":"), 0.6, "ip|ipv6|host|server|address"),
-    Kind("local_phone", "(?<![0-9A-Za-z+().-])(?:\\([0-9]{3}\\)[ ]?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z-])", (), 0.3, "phone|tel|telephone|call|mobile|cell|fax"),
+    Kind("ipv6", _IPV6, "::|(?::[0-9A-Fa-f]{1,4}){4}", 0.6, "ip|ipv6|host|server|address"),
+    Kind("local_phone", "(?<![0-9A-Za-z+().-])(?:\\([0-9]{3}\\)[ ]?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z-])", "[0-9]{3}[-. ][0-9]{4}", 0.3, "phone|tel|telephone|call|mobile|cell|fax"),
     Kind("private_key", "-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", ("PRIVATE KEY",), 1.0, "key"),
 )
 #: Words that make a span an illustration rather than data, and what they take from its score.
@@ -170,7 +176,7 @@ def marked(text: Column) -> Column:
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, match, near>> of a pattern's matches: code points from 0, and the characters about each, as far as the matches beside it.
 
-    text has no marks of its own. The pattern runs once, and puts marks about its matches; plain searches then tell them from what stands between.
+    text has no marks of its own. The pattern puts marks about its matches in one pass; plain searches then tell them from what stands between.
     """
     acc = F.struct(F.lit(0).alias("at"), F.array().cast(_MATCH).alias("out"))
 
@@ -205,12 +211,19 @@ def _kind_spans(text: Column, kind: Kind, required: bool) -> Column:
     found = F.transform(F.filter(matches(text, kind.pattern), lambda m: _valid(kind.name, m["match"])), span)
     if not required:
         found = F.filter(found, lambda s: s["score"] >= MIN_SCORE)
-    if not kind.gate:
-        return found.cast(_SPAN)
-    gated = F.contains(text, F.lit(kind.gate[0]))
-    for g in kind.gate[1:]:
-        gated = gated | F.contains(text, F.lit(g))
-    return F.when(gated, found.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+    return F.when(_gated(kind) & text.rlike(kind.pattern), found.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+
+
+def _gated(kind: Kind) -> Column:
+    """Whether a text, t, may hold a match: plain searches and cheap patterns, each only if those before it hold."""
+    text = F.col("low" if kind.lowered else "t")
+    if isinstance(kind.gate, str):
+        found = text.rlike(kind.gate)
+    else:
+        found = F.contains(text, F.lit(kind.gate[0]))
+        for g in kind.gate[1:]:
+            found = found | F.contains(text, F.lit(g))
+    return F.col("many") & found if kind.digits else found
 
 
 def _outermost(spans: Column, names: list[str]) -> Column:
@@ -230,8 +243,8 @@ def _outermost(spans: Column, names: list[str]) -> Column:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, email, ip, card, phone, further): arrays of spans (kind, start, end, score) for each row of docs."""
-    rows = docs.select("doc_id", marked(F.coalesce("text", F.lit(""))).alias("t"))
     text = F.col("t")
+    rows = docs.select("doc_id", marked(F.coalesce("text", F.lit(""))).alias("t")).withColumns({"low": F.lower(text), "many": text.rlike(MANY)})
     base = [_kind_spans(text, k, True).alias(k.name) for k in BASE]
     rows = rows.select("doc_id", *base, F.concat(*[_kind_spans(text, k, False) for k in FURTHER]).alias("further"))
     return rows.withColumn("further", _outermost(F.col("further"), [k.name for k in FURTHER]))
