@@ -92,8 +92,11 @@ def has_cycle(step_ids: Column, edges: Column) -> Column:
     return F.size(layers(step_ids, edges)["left"]) > 0
 
 
-def dag_metrics(step_ids: Column, edges: Column, all_edges: Column) -> Column:
-    """struct<n_nodes, n_edges, longest, width, parallel, cyclic>; zero path measures for plans with a cycle. Edges count with repeats and unknown parents."""
+DAG_FIELDS = ("n_nodes", "n_edges", "longest", "width", "parallel")
+
+
+def _graph_shape(step_ids: Column, edges: Column, all_edges: Column) -> Column:
+    """struct of DAG_FIELDS and cyclic, from one peeling of the layers."""
 
     def measured(x: Column) -> Column:
         n, ok = F.size(F.array_distinct(step_ids)), F.size(x["left"]) == 0
@@ -110,6 +113,11 @@ def dag_metrics(step_ids: Column, edges: Column, all_edges: Column) -> Column:
     return let(layers(step_ids, edges), measured)
 
 
+def dag_metrics(step_ids: Column, edges: Column, all_edges: Column) -> Column:
+    """struct<n_nodes, n_edges, longest, width, parallel>; zero path measures for plans with a cycle. Edges count with repeats and unknown parents."""
+    return _graph_shape(step_ids, edges, all_edges).dropFields("cyclic")
+
+
 def dependency_completeness(step_ids: Column, edges: Column) -> Column:
     return ratio(F.size(known_edges(edges, step_ids)), F.size(edges), 1.0)
 
@@ -122,16 +130,18 @@ def tool_relevance(steps: Column, agents: Column) -> Column:
 def graph_measures(rows: DataFrame) -> DataFrame:
     """rows of components with cyclic, dag, dependency_completeness, tool_relevance and the counts of bad references."""
     steps, agents, ids, edges = F.col("steps"), F.col("agents"), F.col("step_ids"), F.col("edges")
-    return rows.withColumn("dag", dag_metrics(ids, edges, F.col("all_edges"))).withColumns(
+    rows = rows.withColumn("__shape", _graph_shape(ids, edges, F.col("all_edges")))
+    return rows.withColumns(
         {
-            "cyclic": F.col("dag.cyclic"),
+            "dag": F.col("__shape").dropFields("cyclic"),
+            "cyclic": F.col("__shape.cyclic"),
             "dependency_completeness": dependency_completeness(ids, edges),
             "tool_relevance": tool_relevance(steps, agents),
             "invalid_tool_calls": F.size(F.filter(steps, lambda s: present(s["tool"]) & ~_declares(agents, s["agent"], s["tool"]))),
             "unknown_agents": F.size(F.filter(steps, lambda s: ~F.array_contains(F.col("roles"), s["agent"]))),
             "unknown_dependencies": F.size(edges) - F.size(known_edges(edges, ids)),
         }
-    )
+    ).drop("__shape")
 
 
 def order_respects_dependencies(order_ids: Column, edges: Column) -> Column:
@@ -216,7 +226,7 @@ def integrity(rows: DataFrame) -> DataFrame:
         "unknown_dependency": F.size(known_edges(edges, ids)) < F.size(edges),
         "order_unknown": ~all_in(order, ids),
         "order_missing": ~all_in(ids, order),
-        "in_cycle": has_cycle(ids, edges),
+        "in_cycle": F.col("cyclic") if "cyclic" in rows.columns else has_cycle(ids, edges),
     }
     rows = rows.withColumns(flags)
     return rows.withColumn("any_issue", F.greatest(*[F.col(k) for k in flags]))
