@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_preference_format": preference.OP7_SQL, "op8_fair_queueing": mixing.OP8_SQL, "op11_debruijn_paths": debruijn.OP11_SQL}
+    return {"op7_preference_format": preference.OP7_SQL, "op8_fair_queueing": mixing.OP8_SQL, "op11_debruijn_paths": debruijn.OP11_SQL, "op13_merkle_manifest": merkle.OP13_SQL}

@@ -213,3 +213,26 @@ def op13_merkle_manifest(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("grp"), leaf(*values).alias("leaf"), F.when(tampered, leaf(*forged)).alias("forged"))
     proofs = manifest(rows.select("doc_id", "grp", "leaf", F.coalesce("forged", "leaf").alias("told")))
     return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value}), '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(n_chars if f == "n_chars" else f) for f in FIELDS) + ")"
+
+
+#: The checksum's table and its fold over the digits of a number.
+_CRC_SQL = "list_transform(range(256), lambda i: list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_FOLDED_SQL = "CASE WHEN s.h IS NULL THEN sha256(p.told) WHEN p.i % 2 = 1 THEN sha256(s.h || p.told) ELSE sha256(p.told || s.h) END, p.proof || coalesce(s.h, '')"
+OP13_SQL = f"""WITH RECURSIVE c AS (SELECT {_CRC_SQL} AS t),
+d AS (SELECT row_number() OVER () AS r, *, xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS crc FROM documents, c),
+h AS (SELECT r, doc_id, lang, {_leaf_sql('n_chars')} AS leaf, CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL THEN {_leaf_sql('n_chars + 1')} END AS forged FROM d),
+o AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER () AS n FROM (SELECT DISTINCT lang FROM documents)),
+l AS (SELECT r, doc_id, g, leaf, coalesce(forged, leaf) AS told, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM h JOIN o ON h.lang IS NOT DISTINCT FROM o.lang),
+u AS (SELECT g, 0 AS v, i, n, leaf AS h FROM l UNION ALL SELECT g, v + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY g, v, i // 2, n),
+w AS (SELECT u.g AS i, o.n, 0 AS v, h FROM u JOIN o USING (g) WHERE u.n = 1 UNION ALL SELECT i // 2, (n + 1) // 2, v + 1, sha256(string_agg(h, '' ORDER BY i)) FROM w WHERE n > 1 GROUP BY v, i // 2, n),
+p AS (SELECT r, g, 0 AS v, i, n, told, '' AS proof FROM l UNION ALL SELECT r, p.g, p.v + 1, p.i // 2, (p.n + 1) // 2, {_FOLDED_SQL} FROM p LEFT JOIN u s ON s.g = p.g AND s.v = p.v AND s.i = xor(p.i, 1) WHERE p.n > 1),
+q AS (SELECT r, 0 AS v, p.g AS i, o.n, told, proof FROM p JOIN o USING (g) WHERE p.n = 1 UNION ALL SELECT r, p.v + 1, p.i // 2, (p.n + 1) // 2, {_FOLDED_SQL} FROM q p LEFT JOIN w s ON s.v = p.v AND s.i = xor(p.i, 1) WHERE p.n > 1)
+SELECT l.doc_id, l.leaf, u.h AS subroot, w.h AS root, sha256(q.proof) AS proof_sha256, q.told AS folded_root, q.told = w.h AS verified FROM l JOIN q ON q.r = l.r AND q.n = 1 JOIN u ON u.g = l.g AND u.n = 1 JOIN w ON w.n = 1"""
