@@ -29,7 +29,7 @@ from pyspark import RDD
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planlake.llm.common import fresh_path, joinable, materialize, remove_at_exit, scratch
+from planlake.llm.common import fresh_path, joinable, materialize, remove_at_exit
 
 #: Levels of the tree between a vertex and its parent.
 STRIDE = 5
