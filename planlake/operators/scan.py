@@ -14,8 +14,10 @@ BUCKET = 4096
 
 
 def bucket_rows(decay: float, most: int = BUCKET) -> int:
-    """Rows of a bucket: so few that the powers of decay over a bucket stay within a double's range."""
-    return most if decay >= 1 else max(1, min(most, int(200 * math.log(10) / -math.log(decay)))) if decay > 0 else most
+    """Rows of a bucket: so few that the powers of decay over a bucket stay within a double's range, but two at least, so that each level is shorter than the one below."""
+    if decay <= 0 or decay >= 1:
+        return max(2, most)
+    return max(2, min(most, int(200 * math.log(10) / -math.log(decay))))
 
 
 def placed(rows: DataFrame, order: list[str], *group: str, bucket: int = BUCKET) -> DataFrame:

@@ -48,6 +48,16 @@ def test_averages_of_a_hot_component(spark, decay):
         assert found.keys() == want.keys() and all(math.isclose(found[k], want[k], rel_tol=1e-9, abs_tol=1e-9) for k in want)
 
 
+@pytest.mark.parametrize("decay", [0.9, 0.5, 1e-3])
+def test_averages_over_whole_buckets(spark, decay):
+    """A series longer than a bucket of the production size, whose ends fade away within the next: the levels end."""
+    xs = [float(i % 101) for i in range(9000)]
+    df = spark.createDataFrame([("c", i, x) for i, x in enumerate(xs)], "component string, step long, value double")
+    got = {r.step: r.average for r in scan.moving_averages(df, "value", ["step"], "component", decay=decay).collect()}
+    assert all(math.isclose(got[i], x, rel_tol=1e-9, abs_tol=1e-9) for i, x in enumerate(fold(xs, decay))) and len(got) == 9000
+    assert all(scan.bucket_rows(d) >= 2 for d in (0.0, 1e-320, 1e-200, decay, 0.999999, 1.0))
+
+
 def test_averages_gather_no_series(spark):
     df = spark.range(100).selectExpr("'c' AS component", "id AS step", "cast(id AS double) AS value")
     plan = scan.moving_averages(df, "value", ["step"], "component")._jdf.queryExecution().executedPlan().toString()
