@@ -60,7 +60,7 @@ def q109_group_quantiles(t):
 @query("SELECT o_orderpriority AS priority, count(*) AS n, sum(CAST(o_totalprice * 100 AS BIGINT))::BIGINT AS cents FROM orders GROUP BY 1")
 def q110_committed_slices(t):
     """A run that is broken off in its third slice, with files written that were not committed, and a run that goes on from there."""
-    orders = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("priority"), (F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    orders = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("priority"), F.rint(F.col("o_totalprice") * 100).cast("long").alias("cents"))  # a cast alone cuts
     log = CommitLog(t.spark, passing_folder(t.spark, "slices"), "o_orderkey long, priority string, cents long")
     seen = []
 

@@ -49,3 +49,8 @@ def test_queries_make_their_plans_themselves(spark, sf, written_plans):
     assert made.schema.simpleString() == read.schema.simpleString()
     told = lambda df: df.select(F.to_json(F.struct("*")).alias("j"))
     assert told(made).exceptAll(told(read)).count() == 0 and made.count() == read.count() > 0
+
+
+def test_committed_slices_give_cents_to_the_last(spark, sf, duck):
+    got, want = QUERIES["q110_committed_slices"](spark, sf).collect(), duck.execute(SQL["q110_committed_slices"]).fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(want)
