@@ -3,7 +3,9 @@
 Unit vectors are approximated by sums of codewords, one from each of ``books_for`` codebooks over the full dimension. Codebooks
 are fitted to a bounded sample, residual by residual with Lloyd steps, and then jointly by least squares, one codebook after the other. Encoding is a beam search over
 the codebooks. The norm of each sum is stored beside its codes. A query's products with all codewords make a lookup table; a code's score is the sum of its
-entries over the stored norm, and the rows of the best distinct codes, ``rerank_for`` of them as the sample shows, are ranked by cosine on the original vectors. The number of
+entries over the stored norm, and the rows of the best distinct codes, ``rerank_for`` of them as the sample shows, are ranked by cosine on the original vectors. Scores and norms are
+doubles, as the cosines in a tight cluster differ by less than a float tells. What the sample shows is then held against the search itself: ``shown`` finds the nearest rows of ``ASKED``
+of the actual queries in the whole table by brute force, and where more codes or cells are needed to reach these, more are taken. The number of
 codebooks follows the dimension, so that an estimate's error is small beside the gap between the nearest rows and the last ones reranked, which
 narrows slowly with the number of rows. Of equal vectors only those ids are indexed that can be among a query's nearest.
 
@@ -37,6 +39,8 @@ SAMPLE_ROWS = 16_384
 LLOYD_STEPS, JOINT_STEPS, SWEEPS = 8, 1, 8
 #: Rows of the best estimates that are ranked by their vectors, at least, and the share of a sample's neighbours that they must hold.
 RERANK, RERANK_RECALL = 200, 0.99
+#: Queries at most whose nearest rows are found by brute force, to see how many codes and cells it takes to reach them.
+ASKED = 256
 #: Rows of codes and queries in a block, at most, about; rows of codes for which a task of their own is worth it.
 CODE_ROWS, QUERY_ROWS, LEAST_ROWS = 65_536, 2048, 32_768
 #: Coarse cells at most, sampled queries by which their probes are measured, and the share of these queries' neighbours that the probes must hold.
@@ -56,10 +60,10 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(lengths), F.size("v") == F.col("length"), "left_semi")  # broadcast: one row
 
 
-def _units(vectors: np.ndarray) -> np.ndarray:
+def _units(vectors: np.ndarray, kind: type = np.float32) -> np.ndarray:
     # scaled first, so that squares neither overflow nor vanish
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
+    return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(kind)
 
 
 def _nearest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -84,7 +88,20 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
             pick = np.take_along_axis(flat, best, 1).argmin(1)
     rows = np.arange(n)
     codes = codes[rows, pick]
-    return codes, np.linalg.norm(sum(books[j][codes[:, j]] for j in range(m)), axis=1).astype(np.float32)
+    return codes, np.linalg.norm(sum(books[j][codes[:, j]].astype(np.float64) for j in range(m)), axis=1)
+
+
+def tables(units: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """(queries, books, words): the products of queries, as doubles, with all codewords."""
+    return np.tensordot(units.astype(np.float64), books.astype(np.float64), ([1], [2]))
+
+
+def estimates(table: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """The scores of codes (books, rows) for one query's table."""
+    score = table[0][codes[0]]
+    for j in range(1, len(table)):
+        score += table[j][codes[j]]
+    return score / np.maximum(norms, 1e-9)
 
 
 def books_for(dimension: int) -> int:
@@ -140,14 +157,10 @@ def fit(x: np.ndarray, m: int | None = None, k: int = WORDS) -> np.ndarray:
 
 def _ranks(x: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray, nearest: int) -> np.ndarray:
     """Of queries among unit vectors x, for each of their nearest others: how many rows are estimated to be as near as it, itself included."""
-    out = []
+    out, by_book = [], np.ascontiguousarray(codes.T)
     for q in range(min(len(x), PROBE_QUERIES)):
         exact = x @ x[q]
-        table = books @ x[q]
-        estimate = table[0][codes[:, 0]]
-        for j in range(1, len(books)):
-            estimate += table[j][codes[:, j]]
-        estimate /= np.maximum(norms, 1e-9)
+        estimate = estimates(tables(x[q : q + 1], books)[0], by_book, norms)
         exact[q] = estimate[q] = -np.inf
         found = np.argpartition(-exact, min(nearest, len(x) - 1) - 1)[:nearest]
         out.append((estimate[:, None] >= estimate[found]).sum(0))
@@ -179,8 +192,8 @@ def coarse_cells(x: np.ndarray, k: int) -> np.ndarray:
     return cells
 
 
-def probes_for(x: np.ndarray, cells: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
-    """(cells, n): for each cell the n cells that its queries probe, nearest first; n is the least that holds PROBE_RECALL of the sample's neighbours."""
+def _from_each(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, cells) twice: all cells in the order in which each probes them, and the place of each in that order."""
     k = len(cells)
     half = (cells * cells).sum(1) / 2
     order = np.argsort(-(cells @ cells.T - half), axis=1, kind="stable")
@@ -188,13 +201,23 @@ def probes_for(x: np.ndarray, cells: np.ndarray, nearest: int = NEAREST) -> np.n
     order = np.concatenate([own, order[order != own].reshape(k, k - 1)], axis=1)  # a cell probes itself first
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.broadcast_to(np.arange(k), order.shape), axis=1)
+    return order, place
+
+
+def _at_share(values: np.ndarray, share: float) -> int:
+    """The least of values that so large a share of them does not exceed."""
+    return int(np.sort(values, axis=None)[max(0, int(np.ceil(share * values.size)) - 1)])
+
+
+def probes_for(x: np.ndarray, cells: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
+    """(cells, n): for each cell the n cells that its queries probe, nearest first; n is the least that holds PROBE_RECALL of the sample's neighbours."""
+    order, place = _from_each(cells)
     at, asked = _nearest(x, cells), np.arange(min(len(x), PROBE_QUERIES))
     likeness = x[asked] @ x.T
     likeness[asked, asked] = -np.inf
     found = np.argpartition(-likeness, min(nearest, len(x) - 1) - 1, axis=1)[:, :nearest] if len(x) > 1 else np.zeros((0, 1), int)
-    needed = np.sort(place[at[asked][: len(found), None], at[found]].ravel()) if len(found) else np.zeros(1, int)
-    n = int(needed[min(len(needed) - 1, int(np.ceil(PROBE_RECALL * len(needed))) - 1)]) + 1
-    return order[:, :n]
+    needed = place[at[asked][: len(found), None], at[found]] if len(found) else np.zeros(1, int)
+    return order[:, : _at_share(needed, PROBE_RECALL) + 1]
 
 
 def _encoder(books: np.ndarray, cells: np.ndarray):
@@ -230,22 +253,18 @@ class _Asked:
 
     def __init__(self, ids: list[int], vectors: list[list[float]], books: np.ndarray, rerank: int):
         self.ids, self.books, self.rerank = ids, books, rerank
-        self.units = _units(np.array(vectors, np.float64))
-        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.float32)) for _ in ids]
+        self.units = _units(np.array(vectors, np.float64), np.float64)
+        self.found = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
 
     def meet(self, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> None:
         _, first, code_of = np.unique(codes.view(f"V{codes.shape[1]}").ravel(), return_index=True, return_inverse=True)
         by_code = np.argsort(code_of, kind="stable")
         n_rows = np.bincount(code_of)
         starts = np.cumsum(n_rows) - n_rows
-        codes, norms = np.ascontiguousarray(codes[first].T), np.maximum(norms[first], 1e-9)
+        codes, norms = np.ascontiguousarray(codes[first].T), norms[first]
         for lo in range(0, len(self.ids), 256):
-            tables = np.einsum("qd,mkd->qmk", self.units[lo : lo + 256], self.books)
-            for i, table in enumerate(tables, lo):
-                score = table[0][codes[0]]
-                for j in range(1, len(table)):
-                    score += table[j][codes[j]]
-                score /= norms
+            for i, table in enumerate(tables(self.units[lo : lo + 256], self.books), lo):
+                score = estimates(table, codes, norms)
                 best = _best(score, self.rerank + 1)  # one may be the query's own
                 n = n_rows[best]
                 at = by_code[np.repeat(starts[best] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -258,7 +277,7 @@ class _Asked:
     def candidates(self) -> pa.RecordBatch:
         q = np.repeat(np.array(self.ids, np.int64), [len(v) for v, _ in self.found])
         v, s = (np.concatenate(c) for c in zip(*self.found, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s.astype(np.float64))], ["query_id", "vec_id", "estimate"])
+        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "estimate"])
 
 
 def _scan(books: np.ndarray, rerank: int):
@@ -276,7 +295,7 @@ def _scan(books: np.ndarray, rerank: int):
                     asked = _Asked(row["ids"], row["vs"], books, rerank)
                 elif asked:
                     codes = np.frombuffer(b"".join(row["codes"]), np.uint8).reshape(len(row["ids"]), -1)
-                    asked.meet(np.array(row["ids"], np.int64), codes, np.array(row["norms"], np.float32))
+                    asked.meet(np.array(row["ids"], np.int64), codes, np.array(row["norms"], np.float64))
         if asked:
             yield asked.candidates()
 
@@ -296,14 +315,70 @@ def index(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, n_cells: int = 1, nea
     """The codebooks, the cells, the cells that each probes, how many estimates to rank, and (vec_id, code, norm, cell) of each of rows (vec_id, v)."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()  # at most sample_rows vectors
     if sample.empty:
-        return np.zeros((0, 0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros((0, 0), int), 0, rows.select("vec_id", F.lit(b"").alias("code"), F.lit(0.0).cast("float").alias("norm"), F.lit(0).alias("cell"))
+        return np.zeros((0, 0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros((0, 0), int), 0, rows.select("vec_id", F.lit(b"").alias("code"), F.lit(0.0).alias("norm"), F.lit(0).alias("cell"))
     units = _units(np.stack(sample["v"].to_numpy()))
     books, cells = fit(units), coarse_cells(units, n_cells)
-    codes = rows.mapInPandas(_encoder(books, cells), "vec_id long, code binary, norm float, cell int")
+    codes = rows.mapInPandas(_encoder(books, cells), "vec_id long, code binary, norm double, cell int")
     codes = materialize(codes, "aq-codes")
     return books, cells, probes_for(units, cells), rerank_for(units, books, codes.count(), nearest), codes
 
 
+def _nearest_of(asked: np.ndarray, ids: np.ndarray, nearest: int):
+    """(place, vec_id, score) of the rows of each batch that are nearest to each of asked, unit vectors with these ids."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 8192):
+                part = b.iloc[at : at + 8192]
+                own = part["vec_id"].to_numpy()
+                likeness = asked @ _units(np.stack(part["v"].to_numpy()), np.float64).T
+                likeness[ids[:, None] == own] = -np.inf
+                n = min(nearest, len(part))
+                best = np.argpartition(-likeness, n - 1, axis=1)[:, :n]
+                score = np.take_along_axis(likeness, best, 1).ravel()
+                yield pd.DataFrame({"place": np.repeat(np.arange(len(asked), dtype=np.int32), n), "vec_id": own[best].ravel(), "score": score})[np.isfinite(score)]
+
+    return run
+
+
+def _as_near(units: np.ndarray, books: np.ndarray, least: np.ndarray):
+    """One row a task, what (asked, nearest) least estimates its distinct codes reach: how many of them, row by row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, by_query = np.zeros(least.shape, np.int64), tables(units, books)
+        for b in batches:
+            if len(b):
+                codes = np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1)
+                _, first = np.unique(codes.view(f"V{codes.shape[1]}").ravel(), return_index=True)
+                codes, norms = np.ascontiguousarray(codes[first].T), b["norm"].to_numpy()[first]
+                for q, table in enumerate(by_query):
+                    score = np.sort(estimates(table, codes, norms))
+                    counts[q] += len(score) - np.searchsorted(score, least[q])
+        yield pd.DataFrame({"nth": np.arange(counts.size), "n": counts.ravel()})
+
+    return run
+
+
+def shown(queries: DataFrame, rows: DataFrame, codes: DataFrame, books: np.ndarray, cells: np.ndarray, nearest: int = NEAREST) -> tuple[int, int]:
+    """(codes to rank, cells to probe) that hold RERANK_RECALL and PROBE_RECALL of the nearest rows of ASKED queries, found in the whole table by brute force."""
+    asked = queries.orderBy(F.xxhash64(F.lit(_SEED + 2), "vec_id"), "vec_id").limit(ASKED).select("vec_id", "v").collect()  # at most ASKED vectors
+    units = _units(np.array([r.v for r in asked], np.float64), np.float64)
+    met = rows.select("vec_id", "v").mapInPandas(_nearest_of(units, np.array([r.vec_id for r in asked], np.int64), nearest), "place int, vec_id long, score double")
+    found = met.withColumn("nth", F.row_number().over(_by("place", F.desc("score"), "vec_id"))).where(F.col("nth") <= nearest)
+    found = codes.join(F.broadcast(found), "vec_id").select("place", "nth", "code", "norm", "cell").collect()  # broadcast and told: `nearest` rows of ASKED queries
+    if not found:
+        return 0, 1
+    at, (_, place) = _nearest(units.astype(np.float32), cells), _from_each(cells)
+    probes = np.array([place[at[r.place], r.cell] for r in found]) + 1
+    by_query, least = tables(units, books), np.full((len(asked), nearest), np.inf)
+    for r in found:
+        least[r.place, r.nth - 1] = estimates(by_query[r.place], np.frombuffer(r.code, np.uint8)[:, None], np.array([r.norm]))[0]
+    reached = codes.select("code", "norm").mapInPandas(_as_near(units, books, least), "nth long, n long").groupBy("nth").agg(F.sum("n").alias("n")).collect()
+    needed = np.zeros(least.size, np.int64)
+    needed[[r.nth for r in reached]] = [r.n for r in reached]
+    return _at_share(needed[np.isfinite(least.ravel())], RERANK_RECALL), _at_share(probes, PROBE_RECALL)
+
+
 def _dot(a: str, b: str) -> F.Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -316,9 +391,11 @@ def search(queries: DataFrame, rows: DataFrame, nearest: int = NEAREST, rerank:
     rows = materialize(rows.withColumn("nth", nth).where(F.col("nth") <= nearest + 1).select("vec_id", "v", F.sqrt(_dot("v", "v")).alias("length")), "unlike-vectors")
     asking = queries.count()
     books, cells, probes, measured, codes = index(rows, sample_rows, min(CELLS, max(1, -(-asking // QUERY_ROWS))), nearest)
-    rerank = rerank or measured
     if not len(books) or not asking:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if not rerank or len(cells) > 1:
+        to_rank, to_probe = shown(queries, rows, codes, books, cells, nearest)
+        rerank, probes = rerank or max(measured, to_rank), _from_each(cells)[0][:, : max(probes.shape[1], to_probe)]
     placed = queries.select("vec_id", "v").mapInPandas(_cell_of(cells), "vec_id long, v array<double>, cell int")
     query_blocks, asked = _blocks(materialize(placed, "placed-queries"), QUERY_ROWS, "v")
     groups = sum(asked.values())
@@ -331,7 +408,7 @@ def search(queries: DataFrame, rows: DataFrame, nearest: int = NEAREST, rerank:
     told = code_blocks.join(meets, F.col("cell") == F.col("of_cell")).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("to_block"))
     of_codes = told.select(F.concat_ws("-", "to_cell", "to_block").alias("to"), stripe.alias("stripe"), "ids", F.col("code").alias("codes"), F.col("norm").alias("norms"), F.lit(None).cast("array<array<double>>").alias("vs"))
     every = F.explode(F.array(*[F.lit(str(s)) for s in range(stripes)])).alias("stripe")
-    of_queries = query_blocks.select(F.concat_ws("-", "cell", "block").alias("to"), every, "ids", F.lit(None).cast("array<binary>").alias("codes"), F.lit(None).cast("array<float>").alias("norms"), F.col("v").alias("vs"))
+    of_queries = query_blocks.select(F.concat_ws("-", "cell", "block").alias("to"), every, "ids", F.lit(None).cast("array<binary>").alias("codes"), F.lit(None).cast("array<double>").alias("norms"), F.col("v").alias("vs"))
     met = of_queries.union(of_codes).withColumn("task", F.concat_ws("/", "to", "stripe"))
     met = met.repartition("task").sortWithinPartitions("task", F.col("vs").isNull())
     candidates = met.select("task", "ids", "codes", "norms", "vs").mapInArrow(_scan(books, rerank), "query_id long, vec_id long, estimate double")

@@ -491,3 +491,26 @@ def test_scratch_tables_go_and_kept_ones_stay(spark):
     assert not os.path.exists(paths[1])
     outside = materialize(spark.range(7), "outside")
     assert outside.count() == 7 and os.path.exists(place(outside))
+
+
+def share_found(spark, vectors):
+    want, got = nearest(list(range(len(vectors))), vectors), {}
+    for r in ann.op2_additive_quantisation(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    return np.mean([len(got[q] & {i for i, _ in want[q]}) / 5 for q in want])
+
+
+def test_neighbours_in_tight_clusters(spark):
+    """Cosines within a cluster differ by less than a float tells, and a cluster has more rows than are reranked at least."""
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(4, 32))[np.arange(4000) % 4] + 1e-4 * rng.normal(size=(4000, 32))
+    assert share_found(spark, vectors) >= 0.95
+
+
+def test_neighbours_of_queries_unlike_the_rows(spark, monkeypatch):
+    """Rows in clusters, which a sample of rows says lie in one cell or two, and queries anywhere."""
+    monkeypatch.setattr(ann, "QUERY_ROWS", 10)
+    rng = np.random.default_rng(12)
+    vectors = 4 * rng.normal(size=(16, 24))[rng.integers(0, 16, 5000)] + rng.normal(size=(5000, 24))
+    vectors[::50] = rng.normal(size=(100, 24))
+    assert share_found(spark, vectors) >= 0.95
