@@ -89,7 +89,9 @@ TABLE_FUNCTIONS = (
     (
         "plan_steps(p PLAN)",
         "subtask_idx INT, subtask STRING, step_idx INT, id STRING, agent STRING, tool STRING, instruction STRING, depends_on ARRAY<STRING>",
-        "SELECT subtask_idx, s.name, step_idx, t.id, t.agent, t.tool, t.instruction, t.depends_on FROM (SELECT posexplode(p.subtasks) AS (subtask_idx, s)) LATERAL VIEW posexplode(s.steps) x AS step_idx, t",
+        # one generator over nothing else: a lateral join with it becomes that generator, where a subquery of several would be joined back by the whole plan
+        "SELECT * FROM inline(flatten(transform(coalesce(p.subtasks, array()), (s, i) -> transform(coalesce(s.steps, array()), (t, j) -> named_struct('subtask_idx', i, 'subtask', s.name, 'step_idx', j, "
+        "'id', t.id, 'agent', t.agent, 'tool', t.tool, 'instruction', t.instruction, 'depends_on', t.depends_on)))))",
     ),
 )
 

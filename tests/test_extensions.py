@@ -161,3 +161,15 @@ def test_personalization_summary_skips_what_is_missing(spark):
     rows = spark.createDataFrame([(0.5, 2, 1.0, None), (0.0, 0, None, 0.5)], "second_person double, n_anchors int, skill_share double, token_share double")
     got = P.personalization_summary(rows).first()
     assert (got.mean_second_person, got.mean_n_anchors, got.mean_skill_share, got.mean_token_share, got.n_with_skill) == (0.25, 1.0, 1.0, 0.5, 1)
+
+
+def test_steps_in_sql_are_not_joined_back_by_the_plan(spark):
+    from planlake import schemas
+    from planlake.sqlfunctions import register
+
+    register(spark)
+    texts = ['{"subtasks": [{"name": "a", "steps": [{"id": "S1-1"}, {"id": "S1-2", "agent": "x"}]}, {"name": "b"}, {"name": "c", "steps": [{"id": "S3-1"}]}]}', '{"subtasks": null}', "{}", None]
+    plans = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", F.from_json("t", schemas.OUTPUT).alias("p"))
+    got = spark.sql("SELECT k, x.* FROM {plans} r, LATERAL plan_steps(r.p) x", plans=plans)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.k, r.subtask_idx, r.subtask, r.step_idx, r.id, r.agent) for r in got.collect()) == [(0, 0, "a", 0, "S1-1", None), (0, 0, "a", 1, "S1-2", "x"), (0, 2, "c", 0, "S3-1", None)]
