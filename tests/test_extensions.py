@@ -173,3 +173,20 @@ def test_steps_in_sql_are_not_joined_back_by_the_plan(spark):
     got = spark.sql("SELECT k, x.* FROM {plans} r, LATERAL plan_steps(r.p) x", plans=plans)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.k, r.subtask_idx, r.subtask, r.step_idx, r.id, r.agent) for r in got.collect()) == [(0, 0, "a", 0, "S1-1", None), (0, 0, "a", 1, "S1-2", "x"), (0, 2, "c", 0, "S3-1", None)]
+
+
+def _rollout(spark, *names):
+    said = [json.dumps({"agents": [], "subtasks": [{"id": "S1", "name": n, "steps": []}, {"id": "S2", "name": "z", "steps": []}], "execution_order": []}) for n in names]
+    rows = spark.createDataFrame(list(enumerate(said)), "k int, completion string")
+    return rows.withColumns({"gold_plan": F.col("completion"), "learner_profile": F.lit(None).cast("string")})
+
+
+def test_rewards_with_mined_orders_write_no_plans(spark):
+    from planlake.sources.folders import Files, shared_folder
+
+    folder = shared_folder(spark)
+    before = Files(spark, folder).names(folder)
+    mined = spark.createDataFrame([("a", "z")], "a string, b string")
+    scored = rewards.score(_rollout(spark, "a", "b"), rewards.RewardConfig(ped_mode="full"), judges=[F.lit(0.5)], mined=mined, keys=("k",)).select("k", "r_ped", "reward")
+    assert {r.k: round(r.r_ped, 6) for r in scored.collect()} == {0: 0.5, 1: 0.4}
+    assert Files(spark, folder).names(folder) == before
