@@ -190,3 +190,21 @@ def test_rewards_with_mined_orders_write_no_plans(spark):
     scored = rewards.score(_rollout(spark, "a", "b"), rewards.RewardConfig(ped_mode="full"), judges=[F.lit(0.5)], mined=mined, keys=("k",)).select("k", "r_ped", "reward")
     assert {r.k: round(r.r_ped, 6) for r in scored.collect()} == {0: 0.5, 1: 0.4}
     assert Files(spark, folder).names(folder) == before
+
+
+def test_rewards_read_no_loops(spark):
+    """Loops are texts of their own, parsed entry by entry; no score needs them."""
+    scored = rewards.score(_rollout(spark, "a"), rewards.RewardConfig(ped_mode="lite"))
+    assert "from_json" not in scored._jdf.queryExecution().optimizedPlan().toString().replace("jsontostructs", "from_json")
+    assert scored.count() == 1
+
+
+def test_phases_follow_the_numbers_of_steps(spark):
+    said = {"S10-1": "Summarize the general rule", "S2-2": "run the test cases", "S2-10": "explain what went wrong", "S1-1": "predict the result", "odd": "x", "S99999999999-1": "y"}
+    steps = [{"id": k, "agent": "a", "instruction": v} for k, v in said.items()]
+    told = lambda xs: json.dumps({"agents": [], "subtasks": [{"id": "S1", "name": "a", "steps": xs}], "execution_order": []})
+    ordered = sorted(steps[:4], key=lambda s: tuple(int(x) for x in s["id"][1:].split("-"))) + [steps[4], steps[5]]
+    renumbered = [s | {"id": f"S1-{i}"} for i, s in enumerate(ordered, 1)]
+    rows = spark.createDataFrame([(0, told(steps)), (1, told(renumbered))], "k int, completion string").withColumns({"gold_plan": F.lit(None).cast("string"), "learner_profile": F.lit(None).cast("string")})
+    got = {r.k: r.r_ped for r in rewards.score(rows, rewards.RewardConfig(ped_mode="lite")).collect()}
+    assert got[0] == got[1] > 0
