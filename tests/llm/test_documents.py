@@ -156,6 +156,29 @@ def test_encoder_equals_the_library():
         assert e.encode(text) == b"".join(i.to_bytes(4, "little") for i in t.encode(text, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("remembered", [3, 400_000])
+def test_encoder_asks_the_library_once_for_many_words(words, remembered, monkeypatch):
+    """Texts that share words are encoded together: a few calls for all words, and every text's ids as the library has them."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(tokens.vocabulary_path()), tokens.Encoder(tokens.vocabulary_path(), remembered=remembered)
+    rng = random.Random(3)
+    plain = [" ".join(rng.choice(words).capitalize() + rng.choice(["", ",", ".\nÜber", "é!?", " ñu", "\nnext"]) for _ in range(60)) for _ in range(100)]
+    odd = ["", "\n", "\n\n", "\nx", "x\n", " ", "\t", "\tx", "x\ty\x0bz", "\x1c", "\u180e a", "a b\u180e c\u180e", "\u3000", "<|endoftext|>", "a<|endoftext|>, b", "\n<|endoftext|>\nc", "<|endoftext|", "don't, don't' rock' 'n' roll's.", "3.14, x2. ½! a1b\nc3;", "ﬁn… …. 日本。, 😀! e\u0301, \u0301.", "\nThe the\nthe. The, .", "a\x00b \x00 c."]
+    texts = plain[:50] + odd + plain[50:] + odd
+    calls = []
+    whole = e._whole
+    monkeypatch.setattr(e, "_whole", lambda x: calls.append(x) or whole(x))
+    e.encode_all(pa.array(plain), 7)
+    assert len(calls) <= 6  # marks and no words
+    for some in (texts, texts[::-1], texts[7:9], odd[:1]):
+        got = e.encode_all(pa.array(some), 7)
+        assert got.to_pylist() == [[*t.encode(x, add_special_tokens=False).ids, 7] for x in some]
+        assert e.encode_all(pa.array(some, pa.large_string()), 7).to_pylist() == got.to_pylist()
+    assert e.encode_all(pa.array(["cut off", *texts]).slice(1), 7).to_pylist() == e.encode_all(pa.array(texts), 7).to_pylist()
+
+
 @pytest.mark.parametrize("which", ["documents", "odd"])
 def test_licenses(request, which):
     docs = request.getfixturevalue(which)
